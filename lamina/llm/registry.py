@@ -1,6 +1,10 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import quality
+from . import bpe, quality, secrets
 
-QUERIES = {"op4_repetition_coverage": quality.op4_repetition_coverage}
+QUERIES = {
+    "op4_repetition_coverage": quality.op4_repetition_coverage,
+    "op6_secret_entropy": secrets.op6_secret_entropy,
+    "op9_monoid_bpe": bpe.op9_monoid_bpe,
+}
 ORACLE_SQL = {"op4_repetition_coverage": quality.ORACLE_SQL}
