@@ -11,9 +11,9 @@ from .session import small_batches, table
 from .words import SPACE, mix, per_doc, repeated, slices, windows, words
 
 #: n-gram length -> most per cent of a text's word characters that may lie in its repeated n-grams.
-LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+LIMITS = {5: 30, 6: 29, 7: 28, 8: 27, 9: 26, 10: 25}
 #: Most per cent of word characters in lines that are equal to an earlier line.
-LINE_LIMIT = 20
+LINE_LIMIT = 30
 WINDOW, MIN_WORDS, WINDOW_LIMIT = 8, 20, 30
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
