@@ -1,9 +1,10 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import bpe, quality, secrets
+from . import bpe, quality, secrets, token_store
 
 QUERIES = {
     "op4_repetition_coverage": quality.op4_repetition_coverage,
+    "op5_addressable_codes": token_store.op5_addressable_codes,
     "op6_secret_entropy": secrets.op6_secret_entropy,
     "op9_monoid_bpe": bpe.op9_monoid_bpe,
 }
