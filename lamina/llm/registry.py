@@ -1,8 +1,9 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import bpe, quality, secrets, token_store
+from . import bpe, langid, quality, secrets, token_store
 
 QUERIES = {
+    "op3_unigram_language": langid.op3_unigram_language,
     "op4_repetition_coverage": quality.op4_repetition_coverage,
     "op5_addressable_codes": token_store.op5_addressable_codes,
     "op6_secret_entropy": secrets.op6_secret_entropy,

@@ -63,10 +63,11 @@ def buffers(texts):
     return data, offs - offs[0]
 
 
-def words(texts) -> Words:
+def words(texts, other=SPACE) -> Words:
+    """`other`: the bytes that are in no word."""
     data, offs = buffers(texts)
     n = len(data)
-    solid = ~SPACE[data]
+    solid = ~other[data]
     before, after = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     before[1:], after[: n - 1 if n else 0] = solid, solid[1:]
     before[offs] = after[offs - 1] = False  # a text's first byte has nothing before it, its last nothing after
