@@ -1,12 +1,14 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import bpe, langid, quality, secrets, token_store
+from . import bpe, langid, quality, secrets, sharding, token_store, warc
 
 QUERIES = {
+    "op2_hypergeometric_shuffle": sharding.op2_hypergeometric_shuffle,
     "op3_unigram_language": langid.op3_unigram_language,
     "op4_repetition_coverage": quality.op4_repetition_coverage,
     "op5_addressable_codes": token_store.op5_addressable_codes,
     "op6_secret_entropy": secrets.op6_secret_entropy,
+    "op7_gzip_normaliser": warc.op7_gzip_normaliser,
     "op9_monoid_bpe": bpe.op9_monoid_bpe,
 }
-ORACLE_SQL = {"op4_repetition_coverage": quality.ORACLE_SQL}
+ORACLE_SQL = {"op4_repetition_coverage": quality.ORACLE_SQL, "op7_gzip_normaliser": warc.ORACLE_SQL}

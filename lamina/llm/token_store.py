@@ -13,6 +13,7 @@ Edge cases: a null text is the empty text (only the end id is written); rows of
 kept, null ones first, ties ordered by text; the empty table gives no file and no row; other columns are not read.
 """
 
+import uuid
 import zlib
 from itertools import chain
 
@@ -172,7 +173,7 @@ def write(df, place, key="doc_id", text="text", tokenizer=None, end_id=END_ID):
         seq, docs, counts, ids, tokens = 0, [], [], [], 0
 
         def flush():
-            path = f"{place}/part-{part:06d}-{seq:05d}.dac"
+            path = f"{place}/part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.dac"
             with files.Output(path) as out:
                 out.write(dump(docs, counts, np.concatenate(ids)))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(docs)], "n_tokens": [tokens], "path": [path]})
