@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import bpe, langid, quality, secrets, sharding, token_store, warc
+from . import bpe, decontam, langid, quality, secrets, sharding, token_store, warc
 
 QUERIES = {
     "op2_hypergeometric_shuffle": sharding.op2_hypergeometric_shuffle,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_secret_entropy": secrets.op6_secret_entropy,
     "op7_gzip_normaliser": warc.op7_gzip_normaliser,
     "op9_monoid_bpe": bpe.op9_monoid_bpe,
+    "op10_seed_and_align": decontam.op10_seed_and_align,
 }
 ORACLE_SQL = {"op4_repetition_coverage": quality.ORACLE_SQL, "op7_gzip_normaliser": warc.ORACLE_SQL}
