@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import bpe, decontam, langid, quality, secrets, sharding, token_store, warc
+from . import bpe, decontam, langid, neardup, quality, secrets, sharding, token_store, warc
 
 QUERIES = {
     "op2_hypergeometric_shuffle": sharding.op2_hypergeometric_shuffle,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_addressable_codes": token_store.op5_addressable_codes,
     "op6_secret_entropy": secrets.op6_secret_entropy,
     "op7_gzip_normaliser": warc.op7_gzip_normaliser,
+    "op8_weighted_minhash": neardup.op8_weighted_minhash,
     "op9_monoid_bpe": bpe.op9_monoid_bpe,
     "op10_seed_and_align": decontam.op10_seed_and_align,
 }
