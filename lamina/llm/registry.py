@@ -1,8 +1,9 @@
 """Queries of this subpackage and the SQL that checks them."""
 
-from . import bpe, decontam, langid, neardup, quality, secrets, sharding, token_store, warc
+from . import bpe, decontam, langid, neardup, pii, quality, secrets, sharding, token_store, warc
 
 QUERIES = {
+    "op1_surrogates": pii.op1_surrogates,
     "op2_hypergeometric_shuffle": sharding.op2_hypergeometric_shuffle,
     "op3_unigram_language": langid.op3_unigram_language,
     "op4_repetition_coverage": quality.op4_repetition_coverage,
