@@ -200,6 +200,35 @@ def _blocks(benchmark, item_id, text):
         yield [r.item_id for r in rows], [r.text for r in rows]
 
 
+def _limited(source, ids, texts):
+    """A broadcast of a block's Seeds, limited by their document frequencies over all rows of source (`__text`)."""
+    context = source.sparkSession.sparkContext
+    seeds = Seeds(ids, texts)
+    shared = context.broadcast(seeds)
+
+    def count(batches):
+        seeds, docs = shared.value, 0
+        found = np.zeros(len(seeds.keys), np.int64)
+        for batch in batches:
+            docs += batch.num_rows
+            for part in W.slices(batch, "__text"):
+                w = split(part.column("__text"))
+                at, k = seeds.hits(w)
+                own = np.unique(w.doc[at].astype(np.int64) * len(seeds.keys) + k)
+                found += np.bincount(own % max(1, len(seeds.keys)), minlength=len(seeds.keys))
+        k = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"k": pa.array([-1, *k], pa.int64()), "n": pa.array([docs, *found[k]], pa.int64())})
+
+    frequency, total = np.zeros(len(seeds.keys), np.int64), 0
+    for k, n in source.select("__text").mapInArrow(count, "k long, n long").groupBy("k").sum("n").collect():
+        if k < 0:
+            total = n
+        else:
+            frequency[k] = n
+    seeds.limit(frequency, total)
+    return context.broadcast(seeds)
+
+
 def pairs(docs, benchmark, keep=("doc_id",), text="text", item_id="item_id", item_text="text"):
     """The columns `keep` of docs with item_id, score, start and end: one row for each document and item that it contains."""
     spark = docs.sparkSession
@@ -209,32 +238,8 @@ def pairs(docs, benchmark, keep=("doc_id",), text="text", item_id="item_id", ite
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "item_id long, score double, start long, end long"
     out = spark.createDataFrame([], kinds)
     for ids, texts in _blocks(benchmark, item_id, item_text):
-        seeds = Seeds(ids, texts)
-        shared = spark.sparkContext.broadcast(seeds)
 
-        def count(batches, shared=shared):
-            seeds, docs = shared.value, 0
-            found = np.zeros(len(seeds.keys), np.int64)
-            for batch in batches:
-                docs += batch.num_rows
-                for part in W.slices(batch, "__text"):
-                    w = split(part.column("__text"))
-                    at, k = seeds.hits(w)
-                    own = np.unique(w.doc[at].astype(np.int64) * len(seeds.keys) + k)
-                    found += np.bincount(own % max(1, len(seeds.keys)), minlength=len(seeds.keys))
-            k = np.flatnonzero(found)
-            yield pa.RecordBatch.from_pydict({"k": pa.array([-1, *k], pa.int64()), "n": pa.array([docs, *found[k]], pa.int64())})
-
-        frequency, total = np.zeros(len(seeds.keys), np.int64), 0
-        for k, n in source.select("__text").mapInArrow(count, "k long, n long").groupBy("k").sum("n").collect():
-            if k < 0:
-                total = n
-            else:
-                frequency[k] = n
-        seeds.limit(frequency, total)
-        limited = spark.sparkContext.broadcast(seeds)
-
-        def match(batches, shared=limited):
+        def match(batches, shared=_limited(source, ids, texts)):
             seeds = shared.value
             for batch in batches:
                 for part in W.slices(batch, "__text"):
@@ -250,5 +255,22 @@ def pairs(docs, benchmark, keep=("doc_id",), text="text", item_id="item_id", ite
     return out
 
 
+def drop_contaminated(docs, benchmark, text="text", item_id="item_id", item_text="text"):
+    """The rows of docs that contain no item, with their columns; rows stay where they are, none is exchanged."""
+    small_batches(docs.sparkSession)
+    source, out = docs.select(docs[text].alias("__text")), docs
+    for ids, texts in _blocks(benchmark, item_id, item_text):
+
+        def clean(batches, shared=_limited(source, ids, texts)):
+            for batch in batches:
+                for part in W.slices(batch, text):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[d for d, *_ in find(shared.value, part.column(text))]] = False
+                    yield part.filter(pa.array(keep))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
+
+
 def op10_seed_and_align(spark, sf_dir):
     return pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
