@@ -1,5 +1,7 @@
 """Queries of this subpackage and the SQL that checks them."""
 
+import corpus_pipeline
+
 from . import bpe, decontam, langid, neardup, pii, quality, secrets, sharding, token_store, warc
 
 QUERIES = {
@@ -13,5 +15,8 @@ QUERIES = {
     "op8_weighted_minhash": neardup.op8_weighted_minhash,
     "op9_monoid_bpe": bpe.op9_monoid_bpe,
     "op10_seed_and_align": decontam.op10_seed_and_align,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op4_repetition_coverage": quality.ORACLE_SQL, "op7_gzip_normaliser": warc.ORACLE_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
