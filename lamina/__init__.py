@@ -1,17 +1,23 @@
 """lamina: keyed, composable datasets that compile to lazy Spark plans."""
 
-from .functions import py
-from .operators import Apply, CacheColumns, CacheLayer, CacheToDisk, CacheToRam, CheckIds, Filter, GroupBy, HashDigest, Join, JoinMode, Merge, Split, Transform, TransformBase
-from .plans.dataset import Callable as CallableLayer
-from .plans.dataset import Chain, Dataset, Layer, LazyChain, chained
-from .plans.declare import AsOutput, Function, Input, InverseInput, InverseOutput, Mixin, Output, Parameter, Silent, hash_by_value, impure, inverse, meta, optional, positional
-from .plans.names import DependencyError, FieldError, GraphError, HashError, Names
-from .sources import External, ExternalBase, Source, SourceBase
+import importlib
 
 __version__ = "0.1.0"
-__all__ = [
-    "Apply", "AsOutput", "CacheColumns", "CacheLayer", "CacheToDisk", "CacheToRam", "CallableLayer", "Chain", "CheckIds", "Dataset", "DependencyError",
-    "External", "ExternalBase", "FieldError", "Filter", "Function", "GraphError", "GroupBy", "HashDigest", "HashError", "Input", "InverseInput",
-    "InverseOutput", "Join", "JoinMode", "Layer", "LazyChain", "Merge", "Mixin", "Names", "Output", "Parameter", "Silent", "Source", "SourceBase",
-    "Split", "Transform", "TransformBase", "chained", "hash_by_value", "impure", "inverse", "meta", "optional", "positional", "py",
-]
+
+_PLACES = {
+    "functions": "py",
+    "operators": "Apply CacheColumns CacheLayer CacheToDisk CacheToRam CheckIds Filter GroupBy HashDigest Join JoinMode Merge Split Transform TransformBase",
+    "plans.dataset": "CallableLayer Chain Dataset Layer LazyChain chained",
+    "plans.declare": "AsOutput Function Input InverseInput InverseOutput Mixin Output Parameter Silent hash_by_value impure inverse meta optional positional",
+    "plans.names": "DependencyError FieldError GraphError HashError Names",
+    "sources": "External ExternalBase Source SourceBase",
+}
+_PLACE = {name: place for place, names in _PLACES.items() for name in names.split()}
+__all__ = sorted(_PLACE)
+
+
+def __getattr__(name):
+    """Public names, imported when they are first used: workers that need one module load no other."""
+    if name not in _PLACE:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(importlib.import_module(f"{__name__}.{_PLACE[name]}"), name)

@@ -45,13 +45,13 @@ class Reduction:
         return ("reduction", self.name)
 
 
-def _fold(start, step):
-    return lambda a: F.aggregate(F.filter(a, lambda x: x.isNotNull()), start, step)
+def _sum(array):
+    return F.aggregate(F.filter(array, lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x)
 
 
 count = Reduction("count", lambda c: F.count(F.lit(1)), lambda a: F.size(a).cast("long"))
-total = Reduction("total", F.sum, _fold(F.lit(0.0), lambda s, x: s + x))
-mean = Reduction("mean", F.avg, lambda a: _fold(F.lit(0.0), lambda s, x: s + x)(a) / F.nullif(F.size(F.filter(a, lambda x: x.isNotNull())), F.lit(0)))
+total = Reduction("total", F.sum, _sum)
+mean = Reduction("mean", F.avg, lambda a: _sum(a) / F.nullif(F.size(F.filter(a, lambda x: x.isNotNull())), F.lit(0)))
 smallest = Reduction("smallest", F.min, F.array_min)
 largest = Reduction("largest", F.max, F.array_max)
 REDUCTIONS = (count, total, mean, smallest, largest)

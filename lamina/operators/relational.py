@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import REDUCTIONS, hash_array, hash_id
-from ..plans.dataset import Callable, Dataset, Fixed, Layer, rows_digest
+from ..plans.dataset import CallableLayer, Dataset, Fixed, Layer, rows_digest
 from ..plans.declare import Declaration, LayerMeta
 from ..plans.names import DependencyError, FieldError, HashError, listed
 from ..plans.nodes import Leaf, Lowering, as_column, quoted, static_digest
@@ -15,7 +15,7 @@ from ..plans.resolve import Forward, function_node
 
 
 def _data(layer):
-    if not isinstance(layer, Callable) or layer._data.base is None:
+    if not isinstance(layer, CallableLayer) or layer._data.base is None:
         raise ValueError("datasets with a source are needed")
     return layer._data
 
@@ -202,7 +202,7 @@ def _ordered(kind):
     return all(_ordered(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else True
 
 
-class Split(Callable, metaclass=LayerMeta, abstract=True, allowed=("__inherit__", "__exclude__", "__split__")):
+class Split(CallableLayer, metaclass=LayerMeta, abstract=True, allowed=("__inherit__", "__exclude__", "__split__")):
     """Parts of entries: __split__ (its parameters are fields) gives an array of (part id, context), or a py() function that does.
 
     Parts have the fields that the methods make from those of the whole entry and, as __part__, the context.

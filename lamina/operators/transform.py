@@ -2,13 +2,13 @@
 
 from dataclasses import replace
 
-from ..plans.dataset import Callable
+from ..plans.dataset import CallableLayer
 from ..plans.declare import Declaration, Function, LayerMeta, Marked
 from ..plans.nodes import Call
 from ..plans.resolve import transformed
 
 
-class _Projection(Callable):
+class _Projection(CallableLayer):
     _values = {}
 
     def connect(self, data):

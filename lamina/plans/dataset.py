@@ -152,7 +152,7 @@ class Layer:
 OPEN = Dataset({}, virtual=Names((), True))
 
 
-class Callable(Layer):
+class CallableLayer(Layer):
     """A layer that can be read by itself: a source, a chain, or a transform of open inputs."""
 
     def _dataset(self) -> Dataset:
@@ -251,7 +251,7 @@ class Instance:
         return dir(self._layer)
 
 
-class Fixed(Callable):
+class Fixed(CallableLayer):
     """A layer with a Dataset of its own."""
 
     def __init__(self, data):
@@ -261,7 +261,7 @@ class Fixed(Callable):
         raise TypeError("a dataset can only be the head of a chain")
 
 
-class Chain(Callable):
+class Chain(CallableLayer):
     """Layers, each connected to the one before."""
 
     def __init__(self, head, *tail):
@@ -275,7 +275,7 @@ class Chain(Callable):
 
     def _dataset(self):
         first, *rest = self._layers
-        data = first._data if isinstance(first, Callable) else first.connect(OPEN)
+        data = first._data if isinstance(first, CallableLayer) else first.connect(OPEN)
         for layer in rest:
             data = layer.connect(data)
         return data

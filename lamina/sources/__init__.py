@@ -10,7 +10,7 @@ import inspect
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.dataset import Callable, Dataset, one_row, session
+from ..plans.dataset import CallableLayer, Dataset, one_row, session
 from ..plans.declare import Declaration, Function, LayerMeta, Marked
 from ..plans.names import FieldError, Names
 from ..plans.nodes import Argument, Call, Leaf, Lowering, code_digest
@@ -68,7 +68,7 @@ def _dataset(declared, values):
     return Dataset({"id": Leaf("id") if base is not None else Argument("id")} | own, base, opened, order, persistent=frozenset({"id", *properties}), optional=frozenset(optional), properties=properties, rows=rows, path=declared.name)
 
 
-class Source(Callable, metaclass=LayerMeta, abstract=True, allowed=("__table__", "__key__")):
+class Source(CallableLayer, metaclass=LayerMeta, abstract=True, allowed=("__table__", "__key__")):
     """A dataset of entries: subclass it and define ids (or __table__) and fields."""
 
     @classmethod
@@ -88,7 +88,7 @@ class Source(Callable, metaclass=LayerMeta, abstract=True, allowed=("__table__",
         return f"{type(self).__name__}({', '.join(self._made.fields())})"
 
 
-class SourceBase(Callable):
+class SourceBase(CallableLayer):
     """A source from a mapping (or pairs) of names and functions."""
 
     def __init__(self, items, table=None, key="id"):
@@ -102,7 +102,7 @@ class SourceBase(Callable):
         raise TypeError("a source can only be the head of a chain")
 
 
-class External(Callable):
+class External(CallableLayer):
     """Any object as a layer: its methods are fields (functions of the columns `inputs`), its properties are properties.
 
     With a property ids it is a source. marker(name) customises the digest of a field. Attributes are the object's own.
@@ -153,7 +153,7 @@ class ExternalBase(External):
     def __getattr__(self, name):
         if name.startswith("__") or name in ("_obj", "_made"):
             raise AttributeError(name)
-        return Callable.__getattr__(self, name)
+        return CallableLayer.__getattr__(self, name)
 
 
 __all__ = ["Source", "SourceBase", "External", "ExternalBase", "Function", "Marked", "Lowering"]
