@@ -168,7 +168,7 @@ class CallableLayer(Layer):
         return Chain(self, layer)
 
     def __getattr__(self, name):
-        if name.startswith("__") or name in ("_made", "_declared"):
+        if name.startswith("_"):
             raise AttributeError(name)
         if name in self._data.properties:
             return self._data.property(name)

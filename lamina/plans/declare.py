@@ -281,7 +281,29 @@ class Scope(dict):
         super().__setitem__(key, value)
 
 
-class LayerMeta(type):
+class MixinMeta(type):
+    def __prepare__(name, bases, **_):
+        return Scope()
+
+    def __new__(mcs, name, bases, scope, **flags):
+        cls = type.__new__(mcs, name, (), {k: v for k, v in dict(scope).items() if k in ("__module__", "__qualname__", "__doc__")})
+        pairs = [(k, v) for k, v in scope.pairs if k not in ("__module__", "__qualname__", "__doc__", "__firstlineno__", "__static_attributes__", "__classdictcell__")]
+        for b in bases:
+            if hasattr(b, "_mixed"):
+                own = {k for k, _ in pairs if not k.startswith("__")}
+                if clash := own & {k for k, _ in b._mixed if not k.startswith("__")}:
+                    raise RuntimeError(f"{sorted(clash)} are defined more than once in mixins")
+                pairs += b._mixed
+        if not flags.get("abstract") and bases and not all(hasattr(b, "_mixed") for b in bases):
+            raise TypeError("a mixin's bases must be mixins")
+        cls._mixed = pairs
+        return cls
+
+    def __call__(cls, *args, **kwargs):
+        raise RuntimeError("a mixin can't be instantiated")
+
+
+class LayerMeta(MixinMeta):
     """Makes the Declaration of a layer's class from its body and mixins."""
 
     def __prepare__(name, bases, **_):
@@ -290,7 +312,7 @@ class LayerMeta(type):
     def __new__(mcs, name, bases, scope, **flags):
         pairs = scope.pairs if isinstance(scope, Scope) else list(scope.items())
         if flags.get("abstract"):
-            cls = super().__new__(mcs, name, bases, dict(scope))
+            cls = type.__new__(mcs, name, bases, dict(scope))
             cls._abstract, cls._allowed = True, flags.get("allowed", ())
             return cls
         mains = [b for b in bases if getattr(b, "_allowed", None) is not None]
@@ -307,36 +329,14 @@ class LayerMeta(type):
             pairs = [*pairs, *more]
         helpers = {k: v for k, v in pairs if isinstance(v, (staticmethod, classmethod))}
         keep = {k: v for k, v in dict(scope).items() if k in ("__module__", "__qualname__", "__doc__", "__classcell__")} | helpers
-        cls = super().__new__(mcs, name, tuple(mains), keep)
+        cls = type.__new__(mcs, name, tuple(mains), keep)
         cls._abstract = False
         cls._declared = cls._declare(name, pairs)
         cls._scope = dict(scope)
         return cls
 
-
-class MixinMeta(type):
-    def __prepare__(name, bases, **_):
-        return Scope()
-
-    def __new__(mcs, name, bases, scope, **flags):
-        cls = super().__new__(mcs, name, (), {k: v for k, v in dict(scope).items() if k in ("__module__", "__qualname__", "__doc__")})
-        pairs = [(k, v) for k, v in scope.pairs if k not in ("__module__", "__qualname__", "__doc__", "__firstlineno__", "__static_attributes__", "__classdictcell__")]
-        for b in bases:
-            if hasattr(b, "_mixed"):
-                own = {k for k, _ in pairs if not k.startswith("__")}
-                if clash := own & {k for k, _ in b._mixed if not k.startswith("__")}:
-                    raise RuntimeError(f"{sorted(clash)} are defined more than once in mixins")
-                pairs += b._mixed
-        if not flags.get("abstract") and bases and not all(hasattr(b, "_mixed") for b in bases):
-            raise TypeError("a mixin's bases must be mixins")
-        cls._mixed = pairs
-        return cls
-
     def __call__(cls, *args, **kwargs):
-        raise RuntimeError("a mixin can't be instantiated")
-
-    def __mro_entries__(cls, bases):
-        return (cls,)
+        return type.__call__(cls, *args, **kwargs)
 
 
 class Mixin(metaclass=MixinMeta, abstract=True):

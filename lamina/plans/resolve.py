@@ -27,6 +27,8 @@ class Forward:
 
     def argument(self, place, edge):
         name = place.name
+        if name in self.extra:
+            return self.extra[name]
         if isinstance(place, Parameter):
             if name in self.edges:
                 return self.own(name)
@@ -46,8 +48,6 @@ class Forward:
         raise FieldError(f"{place!r} is not a place")
 
     def input(self, name, edge):
-        if name in self.extra:
-            return self.extra[name]
         if self.key is not None:
             return self.key(name, edge)
         if self.before.has(name):
@@ -97,7 +97,7 @@ class Forward:
         if place.name in self.edges and self.edges[place.name].kind == "meta":
             return self.metas()[place.name]()
         if self.before is not None and place.name in self.before.properties:
-            return self.before.properties[place.name]()
+            return self.before.property(place.name)
         raise FieldError(f"a property can't depend on the field {place.name}")
 
     def undo(self):

@@ -1,12 +1,719 @@
-"""Registered queries of the keyed-dataset operators, with their oracle SQL."""
+"""Registered queries: one or more for each operator over the tables, with their oracle SQL.
+
+Rows are flat: maps of groups are exploded, and sums of doubles rounded, so that any engine can say the same.
+"""
+
+import tempfile
 
 from pyspark.sql import functions as F
 
+from . import (
+    Apply,
+    CacheColumns,
+    CacheToDisk,
+    CacheToRam,
+    Chain,
+    CheckIds,
+    External,
+    Filter,
+    Function,
+    GroupBy,
+    HashDigest,
+    Join,
+    LazyChain,
+    Merge,
+    Mixin,
+    Output,
+    Silent,
+    Source,
+    SourceBase,
+    Split,
+    Transform,
+    TransformBase,
+    chained,
+    hash_by_value,
+    impure,
+    inverse,
+    meta,
+    optional,
+    positional,
+    py,
+)
+from . import functions as fn
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql):
+    """Registers a query under its function's name with its oracle SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# -- sources -------------------------------------------------------------------------------------------
+
+
+class Nation(Source):
+    _path: str
+
+    def __table__(spark, _path):
+        return spark.read.parquet(f"{_path}/nation.parquet")
+
+    __key__ = "n_nationkey"
+
+    def name(n_name):
+        return n_name
+
+    def region(n_regionkey):
+        return n_regionkey
+
+
+class Customer(Source):
+    _path: str
+
+    def __table__(spark, _path):
+        return spark.read.parquet(f"{_path}/customer.parquet")
+
+    __key__ = "c_custkey"
+
+    def name(c_name):
+        return c_name
+
+    def nation(c_nationkey):
+        return c_nationkey
+
+    def balance(c_acctbal):
+        return c_acctbal
+
+    def segment(c_mktsegment):
+        return c_mktsegment
+
+
+class Orders(Source):
+    _path: str
+
+    def __table__(spark, _path):
+        return spark.read.parquet(f"{_path}/orders.parquet")
+
+    __key__ = "o_orderkey"
+
+    def status(o_orderstatus):
+        return o_orderstatus
+
+    def customer(o_custkey):
+        return o_custkey.cast("string")
+
+    def price(o_totalprice):
+        return o_totalprice
+
+    def priority(o_orderpriority):
+        return o_orderpriority
+
+    def date(o_orderdate):
+        return o_orderdate
+
+
+class Lineitem(Source):
+    _path: str
+
+    def __table__(spark, _path):
+        return spark.read.parquet(f"{_path}/lineitem.parquet")
+
+    def __key__(l_orderkey, l_linenumber, l_partkey, l_extendedprice):
+        return F.concat_ws("-", l_orderkey, l_linenumber, l_partkey, F.round(l_extendedprice * 100).cast("long"))
+
+    def extendedprice(l_extendedprice):
+        return l_extendedprice
+
+    def discount(l_discount):
+        return l_discount
+
+    def tax(l_tax):
+        return l_tax
+
+    def flag(l_returnflag):
+        return l_returnflag
+
+
+LINEITEM_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT))"
+
+
+class Part(Source):
+    _path: str
+
+    def __table__(spark, _path):
+        return spark.read.parquet(f"{_path}/part.parquet")
+
+    __key__ = "p_partkey"
+
+    def name(p_name):
+        return p_name
+
+    def brand(p_brand):
+        return p_brand
+
+    def size(p_size):
+        return p_size
+
+    def price(p_retailprice):
+        return p_retailprice
+
+
+class Documents(Source):
+    _path: str
+
+    def __table__(spark, _path):
+        return spark.read.parquet(f"{_path}/documents.parquet")
+
+    __key__ = "doc_id"
+
+    def text(text):
+        return text
+
+    def lang(lang):
+        return lang
+
+    def doc_key(doc_id):
+        return doc_id.cast("string")
+
+
+class Labels(Source):
+    _path: str
+
+    def __table__(spark, _path):
+        return spark.read.parquet(f"{_path}/labels.parquet")
+
+    __key__ = "doc_id"
+
+    def quality(quality):
+        return quality
+
+    def toxic(toxic):
+        return toxic
 
+    def doc_key(doc_id):
+        return doc_id.cast("string")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, n_regionkey AS region FROM nation")
 def s1_source(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return df.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    return Nation(sf_dir).to_df()
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS id, upper(s_name) AS name, round(s_acctbal * 2, 2) AS twice FROM supplier")
+def s2_source_base(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return SourceBase({"name": lambda s_name: F.upper(s_name), "twice": lambda s_acctbal: F.round(s_acctbal * 2, 2)}, table, "s_suppkey").to_df()
+
+
+class Keys:
+    """An object that an External adapts: ids from the table of regions."""
+
+    def __init__(self, spark, sf_dir):
+        self.frame = spark.read.parquet(f"{sf_dir}/region.parquet")
+
+    @property
+    def ids(self):
+        return self.frame.select(F.col("r_regionkey").cast("string").alias("id"))
+
+    def next(self, id):
+        return id.cast("long") + 1
+
+    @classmethod
+    def helper(cls):
+        return None
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS id, CAST(r_regionkey + 1 AS BIGINT) AS next, CAST(2 * (r_regionkey + 1) AS BIGINT) AS twice FROM region")
+def s3_external(spark, sf_dir):
+    return (External(Keys(spark, sf_dir), inputs="id") >> Transform(__inherit__="next", twice=lambda next: next * 2)).to_df()
+
+
+@query("SELECT CAST(i AS VARCHAR) AS id, 'image ' || i AS image FROM range(20) t(i)")
+def s5_listed_ids(spark, sf_dir):
+    class Listed(Source):
+        _n: int
+
+        @meta
+        def ids(_n):
+            return [str(i) for i in range(_n)]
+
+        def image(i):
+            return F.concat(F.lit("image "), i)
+
+    return Listed(n=20).to_df()
+
+
+# -- projections ---------------------------------------------------------------------------------------
+
+
+class Net(Transform):
+    _rate = 1.0
+
+    def _net(extendedprice, discount, _rate):
+        return extendedprice * (1 - discount) * _rate
+
+    def net_cents(_net):
+        return F.floor(_net * 100 + 0.5)
+
+    def taxed_cents(_net, tax):
+        return F.floor(_net * (1 + tax) * 100 + 0.5)
+
+
+@query(f"SELECT {LINEITEM_ID} AS id, CAST(floor(l_extendedprice * (1 - l_discount) * 1.0 * 100 + 0.5) AS BIGINT) AS net_cents, CAST(floor(l_extendedprice * (1 - l_discount) * 1.0 * (1 + l_tax) * 100 + 0.5) AS BIGINT) AS taxed_cents FROM lineitem")
+def p1_transform(spark, sf_dir):
+    return (Lineitem(sf_dir) >> Net()).to_df()
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_size * 2 AS double, p_size + 1 AS more FROM part")
+def p2_inline(spark, sf_dir):
+    return (Part(sf_dir) >> Transform(double=lambda size: size * 2, more=lambda size: size + 1)).to_df()
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_size * 3 AS triple, p_brand AS brand FROM part")
+def p3_transform_base(spark, sf_dir):
+    return (Part(sf_dir) >> TransformBase({"triple": lambda size: size * 3}, inherit="brand")).to_df()
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, upper(c_name) AS name, c_nationkey AS nation, -c_acctbal AS balance, c_mktsegment AS segment FROM customer")
+def p4_apply(spark, sf_dir):
+    return (Customer(sf_dir) >> Apply(name=F.upper, balance=lambda x: -x)).to_df()
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_nationkey AS nation, length(c_mktsegment) AS size FROM customer")
+def p5_inherit(spark, sf_dir):
+    return (Customer(sf_dir) >> Transform(__inherit__=["name", "nation"], size=lambda segment: F.length(segment).cast("long"))).to_df()
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_nationkey AS nation FROM customer")
+def p6_exclude(spark, sf_dir):
+    return (Customer(sf_dir) >> Transform(__exclude__=["balance", "segment"])).to_df()
+
+
+@query(f"SELECT {LINEITEM_ID} AS id, CAST(floor(l_extendedprice * (1 - l_discount) * 0.5 * 100 + 0.5) AS BIGINT) AS net_cents, CAST(floor(l_extendedprice * (1 - l_discount) * 0.5 * (1 + l_tax) * 100 + 0.5) AS BIGINT) AS taxed_cents FROM lineitem")
+def p8_arguments(spark, sf_dir):
+    return (Lineitem(sf_dir) >> Net(rate=0.5)).to_df()
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_size * 2 AS double, p_size * 2 + 1 AS odd FROM part")
+def p9_output(spark, sf_dir):
+    class Double(Transform):
+        def odd(double: Output):
+            return double + 1
+
+        def double(size):
+            return size * 2
+
+    return (Part(sf_dir) >> Double()).to_df()
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_size + p_partkey AS size, round(p_retailprice + p_partkey, 2) AS price FROM part")
+def p11_positional(spark, sf_dir):
+    def shift(x, id):
+        return F.round(x + id.cast("long"), 2)
+
+    class Shift(Transform):
+        size = positional(shift)
+        price = positional(shift)
+
+    return (Part(sf_dir) >> Shift() >> Apply(size=lambda x: x.cast("long"))).to_df()
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand || '/' || p_name AS label FROM part")
+def p12_function(spark, sf_dir):
+    return (Part(sf_dir) >> Transform(label=Function(lambda a, sep, b: F.concat(a, F.lit("/"), b), "brand", Silent("size"), b="name"))).to_df()
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, length(n_name) AS size FROM nation")
+def p13_optional(spark, sf_dir):
+    class Some(Transform):
+        __inherit__ = "name"
+
+        @optional
+        def missing(nowhere):
+            return nowhere
+
+        @optional
+        def size(name):
+            return F.length(name).cast("long")
+
+    return (Nation(sf_dir) >> Some() >> Transform(__inherit__=True, more=optional(lambda missing: missing))).to_df()
+
+
+class SizeMixin(Mixin):
+    def _size(name):
+        return F.length(name).cast("long")
+
+    def delta(region: Output, _size):
+        return _size - region
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_regionkey * 2 AS region, length(n_name) - n_regionkey * 2 AS delta FROM nation")
+def p14_mixin(spark, sf_dir):
+    class Mixed(Transform, SizeMixin):
+        def region(region):
+            return region * 2
+
+    return (Nation(sf_dir) >> Mixed()).to_df()
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, 'half of ' || count(*) AS said FROM nation")
+def p15_meta(spark, sf_dir):
+    class Sized(Transform):
+        __inherit__ = True
+        _word: str
+
+        @meta
+        def said(ids, _word):
+            return f"{_word} {len(ids)}"
+
+    ds = Nation(sf_dir) >> Sized(word="half of")
+    return spark.createDataFrame([(len(ds.ids), ds.said)], "n long, said string")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, o_totalprice AS price FROM orders")
+def p17_tuple(spark, sf_dir):
+    return Orders(sf_dir)._compile(["status", "price"]).frame()
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)")
+def p18_instance(spark, sf_dir):
+    orders = Orders(sf_dir)
+    one = orders(str(spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.min("o_orderkey")).first()[0]))
+    return spark.createDataFrame([(one.id, *one["status", "price"])], "id string, status string, price double")
+
+
+@query("SELECT p_partkey, p_size + 1 AS more, (p_size + 1) * p_partkey AS product FROM part")
+def p19_sourceless(spark, sf_dir):
+    steps = Transform(__inherit__="p_partkey", more=lambda p_size: p_size + 1) >> Transform(__inherit__=["p_partkey", "more"], product=lambda more, p_partkey: more * p_partkey)
+    return steps.apply(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", "more", "product")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, substr(n_name, 1, 1) || '#' || length(n_name) AS tag FROM nation")
+def u12_python_function(spark, sf_dir):
+    return (Nation(sf_dir) >> Transform(tag=py("string")(lambda name: f"{name[0]}#{len(name)}"))).to_df()
+
+
+# -- filters -------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS price FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000")
+def f1_filter(spark, sf_dir):
+    return (Orders(sf_dir) >> Filter(lambda status, price: (status == "F") & (price > 1000)) >> Transform(__inherit__="price")).to_df()
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey <> 0")
+def f1_truthy(spark, sf_dir):
+    return (Nation(sf_dir) >> Filter(lambda region: region)).to_df()
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer WHERE c_custkey IN (1, 3, 5, 700)")
+def f2_keep(spark, sf_dir):
+    return (Customer(sf_dir) >> Filter.keep(["1", "3", "5", "700"])).to_df("name")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 1 OR c_custkey >= 6000")
+def f3_drop(spark, sf_dir):
+    return (Customer(sf_dir) >> Filter.drop(str(i) for i in range(0, 6000, 2))).to_df("name")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation WHERE n_regionkey = 1")
+def f4_check_ids(spark, sf_dir):
+    return (Nation(sf_dir) >> Filter(lambda region: region == 1) >> CheckIds()).to_df("name")
+
+
+# -- joins ---------------------------------------------------------------------------------------------
+
+_JOIN = """SELECT coalesce(d.k, l.k) AS id, coalesce(d.k, l.k) AS doc_key, d.lang, l.quality, l.toxic
+FROM (SELECT CAST(doc_id AS VARCHAR) AS k, lang FROM documents WHERE lang = 'en') d
+{} JOIN (SELECT CAST(doc_id AS VARCHAR) AS k, quality, toxic FROM labels WHERE quality = 1) l ON d.k = l.k"""
+
+
+def _join(sf_dir, how):
+    english = Documents(sf_dir) >> Filter(lambda lang: lang == "en") >> Transform(__inherit__=["lang", "doc_key"])
+    return Join(english, Labels(sf_dir) >> Filter(lambda quality: quality == 1), "doc_key", how=how).to_df()
+
+
+@query(_JOIN.format("INNER"))
+def j1_inner(spark, sf_dir):
+    return _join(sf_dir, "inner")
+
+
+@query(_JOIN.format("LEFT"))
+def j2_left(spark, sf_dir):
+    return _join(sf_dir, "left")
+
+
+@query(_JOIN.format("RIGHT"))
+def j3_right(spark, sf_dir):
+    return _join(sf_dir, "right")
+
+
+@query(_JOIN.format("FULL"))
+def j4_outer(spark, sf_dir):
+    return _join(sf_dir, "OUTER")
+
+
+def _parts(sf_dir, *fields):
+    return Part(sf_dir) >> Transform(__inherit__=fields, brand=lambda brand: brand, key=lambda id: id)
+
+
+@query("SELECT sha256(unhex(sha256(p_brand)) || unhex(sha256(CAST(p_partkey AS VARCHAR)))) AS id, p_brand AS brand, CAST(p_partkey AS VARCHAR) AS key, p_size AS size, p_retailprice AS price FROM part")
+def j6_several_keys(spark, sf_dir):
+    return Join(_parts(sf_dir, "size"), _parts(sf_dir, "price"), ["brand", "key"]).to_df()
+
+
+@query("SELECT p_brand || '@' || p_partkey AS id, p_brand AS brand, CAST(p_partkey AS VARCHAR) AS key, p_size AS size, p_retailprice AS price FROM part")
+def j7_to_key(spark, sf_dir):
+    return Join(_parts(sf_dir, "size"), _parts(sf_dir, "price"), ["brand", "key"], to_key="@".join).to_df()
+
+
+@query("""SELECT coalesce(b.k, c.k) AS id, coalesce(b.k, c.k) AS k, a.x, b.y, c.z FROM
+(SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS x FROM customer WHERE c_custkey % 2 = 0) a
+JOIN ((SELECT CAST(p_partkey AS VARCHAR) AS k, p_name AS y FROM part WHERE p_size > 10) b
+FULL JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_name AS z FROM supplier) c ON b.k = c.k) ON a.k = coalesce(b.k, c.k)""")
+def j11_nested(spark, sf_dir):
+    a = Customer(sf_dir) >> Filter(lambda id: id.cast("long") % 2 == 0) >> Transform(k=lambda id: id, x=lambda name: name)
+    b = Part(sf_dir) >> Filter(lambda size: size > 10) >> Transform(k=lambda id: id, y=lambda name: name)
+    c = SourceBase({"k": lambda s_suppkey: s_suppkey.cast("string"), "z": lambda s_name: s_name}, spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey")
+    return Join(a, Join(b, c, "k", how="outer"), "k").to_df()
+
+
+# -- groups and parts ----------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(o_orderkey AS VARCHAR) AS member, o_totalprice AS price FROM orders")
+def g1_group(spark, sf_dir):
+    return (Orders(sf_dir) >> GroupBy("customer")).to_df("price").select("id", F.explode("price").alias("member", "price"))
+
+
+@query("SELECT sha256(unhex(sha256(o_orderstatus)) || unhex(sha256(o_orderpriority))) AS id, count(*) AS n, min(o_totalprice) AS low FROM orders GROUP BY o_orderstatus, o_orderpriority")
+def g2_several(spark, sf_dir):
+    grouped = Orders(sf_dir) >> GroupBy(["status", "priority"])
+    return (grouped >> Transform(n=Function(fn.count, "price"), low=Function(fn.smallest, "price"))).to_df()
+
+
+@query("SELECT substr(o_orderpriority, 1, 1) || o_orderstatus AS id, count(*) AS n FROM orders GROUP BY substr(o_orderpriority, 1, 1) || o_orderstatus")
+def g3_function(spark, sf_dir):
+    grouped = Orders(sf_dir) >> GroupBy(lambda priority, status: F.concat(F.substring(priority, 1, 1), status))
+    return (grouped >> Transform(n=lambda price: F.size(price).cast("long"))).to_df()
+
+
+@query("""SELECT o_orderpriority AS id, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(*) AS n,
+min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders GROUP BY o_orderpriority""")
+def g6_reduce(spark, sf_dir):
+    class Summary(Transform):
+        total = Function(fn.total, "price")
+        mean = Function(fn.mean, "price")
+        n = Function(fn.count, "price")
+        low = Function(fn.smallest, "price")
+        high = Function(fn.largest, "price")
+
+    rounded = Apply(total=lambda x: F.round(x, 2), mean=lambda x: F.round(x, 4))
+    return (Orders(sf_dir) >> GroupBy("priority") >> Summary() >> rounded).to_df()
+
+
+class Lines(Split):
+    __inherit__ = "lang"
+
+    def __split__(id, text):
+        return F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.concat_ws("-", id, i).alias("id"), F.struct(x.alias("line"), i.alias("at")).alias("context")))
+
+    def line(__part__):
+        return __part__["line"]
+
+    def share(__part__, text):
+        return F.round(F.length(__part__["line"]) / F.length(text), 6)
+
+
+@query("""SELECT doc_id || '-' || i AS id, lang, lines[i + 1] AS line, round(length(lines[i + 1]) / length(text), 6) AS share
+FROM (SELECT doc_id, lang, text, string_split(text, chr(10)) AS lines, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)""")
+def x1_split(spark, sf_dir):
+    return (Documents(sf_dir) >> Lines()).to_df()
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS id, CAST(conv_id AS VARCHAR) AS conversation, role, text FROM conversations")
+def x2_group_and_split(spark, sf_dir):
+    turns = SourceBase({"conversation": lambda conv_id: conv_id.cast("string"), "role": lambda role: role, "text": lambda text: text}, spark.read.parquet(f"{sf_dir}/conversations.parquet"), lambda conv_id, turn: F.concat_ws("-", conv_id, turn))
+
+    class Turns(Split):
+        def __split__(role):
+            return F.transform(F.map_keys(role), lambda k: F.struct(k.alias("id"), k.alias("context")))
+
+        def conversation(id):
+            return id
+
+        def role(role, __part__):
+            return role[__part__]
+
+        def text(text, __part__):
+            return text[__part__]
+
+    return (turns >> GroupBy("conversation") >> Turns()).to_df()
+
+
+# -- unions --------------------------------------------------------------------------------------------
+
+
+def _named(spark, sf_dir, table, key, **fields):
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").withColumn("key", F.concat(F.lit(f"{table[0]}:"), F.col(key).cast("string")))
+    return SourceBase({"source": lambda id: F.lit(table), **fields}, rows, "key")
+
+
+@query("SELECT 'c:' || c_custkey AS id, c_name AS name, 'customer' AS source FROM customer UNION ALL SELECT 's:' || s_suppkey, s_name, 'supplier' FROM supplier")
+def u1_merge(spark, sf_dir):
+    customers = _named(spark, sf_dir, "customer", "c_custkey", name=lambda c_name: c_name, balance=lambda c_acctbal: c_acctbal)
+    return Merge(customers, _named(spark, sf_dir, "supplier", "s_suppkey", name=lambda s_name: s_name)).to_df()
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey < 4")
+def u2_nested_merge(spark, sf_dir):
+    part = lambda k: Nation(sf_dir) >> Filter(lambda region: region == k)
+    return Merge(part(0), Merge(part(1), part(2)), part(3)).to_df()
+
+
+# -- composition ---------------------------------------------------------------------------------------
+
+_CHAIN = "SELECT CAST(c_custkey AS VARCHAR) AS id, upper(c_name) || '!' AS name FROM customer WHERE c_acctbal > 0"
+
+
+def _steps():
+    return Filter(lambda balance: balance > 0), Apply(name=F.upper), Transform(name=lambda name: F.concat(name, F.lit("!")))
+
+
+@query(_CHAIN)
+def c1_chain(spark, sf_dir):
+    a, b, c = _steps()
+    return (Customer(sf_dir) >> a >> b >> c).to_df()
+
+
+@query(_CHAIN)
+def c2_slices(spark, sf_dir):
+    a, b, c = _steps()
+    whole = Chain(Customer(sf_dir), a, b, c, Apply(name=F.lower))
+    return whole[:-1].to_df()
+
+
+@query(_CHAIN)
+def c3_drop_cache(spark, sf_dir):
+    a, b, c = _steps()
+    return (Customer(sf_dir) >> a >> CacheToRam() >> b >> CacheToRam("name") >> c)._drop_cache().to_df()
+
+
+@query(_CHAIN)
+def c4_lazy(spark, sf_dir):
+    a, b, c = _steps()
+    return (Customer(sf_dir) >> LazyChain(a, LazyChain(b, c))).to_df()
+
+
+@query(_CHAIN)
+def c5_chained(spark, sf_dir):
+    @chained(*_steps())
+    class Some(Source):
+        _path: str
+
+        def __table__(spark, _path):
+            return spark.read.parquet(f"{_path}/customer.parquet")
+
+        __key__ = "c_custkey"
+
+        def name(c_name):
+            return c_name
+
+        def balance(c_acctbal):
+            return c_acctbal
+
+    return Some(sf_dir).to_df()
+
+
+# -- caches and digests --------------------------------------------------------------------------------
+
+_NET = ORACLE_SQL["p1_transform"]
+
+
+@query(_NET)
+def k1_ram(spark, sf_dir):
+    return (Lineitem(sf_dir) >> Net() >> CacheToRam()).to_df()
+
+
+def _folder(spark):
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{place.rstrip('/')}/cache" if place else tempfile.mkdtemp(prefix="lamina-cache-")
+
+
+@query(ORACLE_SQL["p2_inline"])
+def k3_disk(spark, sf_dir):
+    root = _folder(spark)
+    cached = lambda: Part(sf_dir) >> Transform(double=lambda size: size * 2, more=lambda size: size + 1) >> CacheToDisk.simple("double", root=root)
+    cached()
+    return cached().to_df()
+
+
+@query(ORACLE_SQL["p2_inline"])
+def k5_columns(spark, sf_dir):
+    return (Part(sf_dir) >> Transform(double=lambda size: size * 2, more=lambda size: size + 1) >> CacheColumns.simple(root=_folder(spark), shard_size=500)).to_df()
+
+
+@query("SELECT count(DISTINCT n_nationkey) AS digests, count(*) AS equal FROM nation")
+def h1_digest(spark, sf_dir):
+    plain = Nation(sf_dir) >> Apply(name=F.upper) >> HashDigest("name")
+    other = Nation(sf_dir) >> Apply(name=F.upper) >> CacheToRam() >> CheckIds() >> HashDigest("name")
+    both = plain.to_df().withColumnRenamed("name", "a").join(other.to_df().withColumnRenamed("name", "b"), "id")
+    return both.agg(F.countDistinct("a.digest").alias("digests"), F.sum((F.col("a.digest") == F.col("b.digest")).cast("long")).alias("equal"))
+
+
+@query("SELECT count(DISTINCT n_regionkey) AS digests FROM nation")
+def h3_by_value(spark, sf_dir):
+    class ByRegion(Transform):
+        @hash_by_value
+        def region(region):
+            return region
+
+    return (Nation(sf_dir) >> ByRegion() >> HashDigest("region")).to_df().agg(F.countDistinct("region.digest").alias("digests"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS differing, count(*) AS n FROM nation")
+def h5_impure(spark, sf_dir):
+    class Noise(Transform):
+        @impure
+        def _noise(id):
+            return F.rand() + F.length(id) * 0
+
+        def a(_noise):
+            return _noise
+
+        def b(_noise):
+            return _noise
+
+    return (Nation(sf_dir) >> Noise()).to_df().agg(F.sum((F.col("a") != F.col("b")).cast("long")).alias("differing"), F.count("*").alias("n"))
+
+
+# -- inverses ------------------------------------------------------------------------------------------
+
+
+class Scale(Transform):
+    def _top(nation):
+        return nation + 1
+
+    def balance(balance, _top):
+        return balance / _top
+
+    @inverse
+    def guess(guess, _top):
+        return F.round(guess * _top, 4)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, round((c_acctbal / (c_nationkey + 1) + 1) * (c_nationkey + 1), 4) AS guess FROM customer")
+def i2_inverse(spark, sf_dir):
+    return (Customer(sf_dir) >> Scale())._wrap(lambda x: x + 1, "balance", "guess").frame()
 
 
-QUERIES = {"s1_source": s1_source}
-ORACLE_SQL = {"s1_source": "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation"}
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, round((c_acctbal / (c_nationkey + 1) + 1) * (c_nationkey + 1), 4) AS guess FROM customer")
+def i4_loopback(spark, sf_dir):
+    return (Customer(sf_dir) >> Scale() >> Apply(balance=lambda x: x * 1))._loopback(lambda x: x + 1, "balance", "guess").to_df()
