@@ -10,7 +10,7 @@ from ..functions import REDUCTIONS, hash_array, hash_id
 from ..plans.dataset import CallableLayer, Dataset, Fixed, Layer, rows_digest
 from ..plans.declare import Declaration, LayerMeta
 from ..plans.names import DependencyError, FieldError, HashError, listed
-from ..plans.nodes import Leaf, Lowering, as_column, quoted, static_digest
+from ..plans.nodes import Leaf, Lowering, as_column, projected, quoted, static_digest
 from ..plans.resolve import Forward, function_node
 
 
@@ -171,8 +171,8 @@ class GroupBy(Layer):
             raise HashError("impure fields can't be grouped")
         low = Lowering(data.base)
         key, plan = self._key(data, low)
-        cols = [low.column(data.outputs[n]).alias(n) for n in ["id", *names]] + [low.digest(data.outputs[n]).alias(f"#digest:{n}") for n in names]
-        frame = low.frame.select(key.alias("#key"), *cols)
+        cols = [(n, low.column(data.outputs[n])) for n in ["id", *names]] + [(f"#digest:{n}", low.digest(data.outputs[n])) for n in names]
+        frame = projected(low.frame, [("#key", key), *cols])
         aggregates = []
         for n in names:
             kind = frame.schema[n].dataType
@@ -248,9 +248,9 @@ class Split(CallableLayer, metaclass=LayerMeta, abstract=True, allowed=("__inher
             raise AssertionError(f"the part id {twice[0]!r} is null or occurs several times")
         new = Lowering(base)
         fields = own | passed
-        cols = [new.column(x).alias(n) for n, x in fields.items()]
-        digests = [F.sha2(F.concat_ws("|", F.sha2("#new", 256), new.digest(x)), 256).alias(f"#digest:{n}") for n, x in fields.items() if not x.is_impure()]
-        frame = new.frame.select(F.col("#new").alias("id"), *cols, *digests)
+        cols = [(n, new.column(x)) for n, x in fields.items()]
+        digests = [(f"#digest:{n}", F.sha2(F.concat_ws("|", F.sha2("#new", 256), new.digest(x)), 256)) for n, x in fields.items() if not x.is_impure()]
+        frame = projected(new.frame, [("id", F.col("#new")), *cols, *digests])
         changed = data.rebased(frame, list(fields), missing=KeyError, rows=rows_digest(data, "split", static_digest(node)), path=f"{data.path} >> {declared.name}", optional=frozenset(optional), absent=frozenset(absent))
         impure = {n for n, x in fields.items() if x.is_impure()}
         for n in impure:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .names import DependencyError, FieldError, Names
-from .nodes import Argument, Call, Item, Leaf, Lowering, static_digest
+from .nodes import Argument, Call, Item, Leaf, Lowering, projected, quoted, static_digest
 
 
 @dataclass(frozen=True)
@@ -59,7 +59,7 @@ class Dataset:
         cols = [(n, low.column(self.outputs[n])) for n in ["id", *names]]
         if digests:
             cols += [(f"#digest:{n}", low.digest(self.outputs[n])) for n in names if not self.outputs[n].is_impure()]
-        return low.frame.select(*(c.alias(n) for n, c in cols), *(F.col(f"`{h}`") for h in hidden))
+        return projected(low.frame, [*cols, *((h, quoted(h)) for h in hidden)])
 
     def fields(self):
         return [n for n in self.outputs if n not in self.properties]
@@ -117,17 +117,17 @@ class Method:
             raise self.data.missing(f"{values.get('id')!r} is not in ids")
         return tuple(map(plain, got[0])) if self.many else plain(got[0][0])
 
-    def _select(self, base, *more):
+    def _select(self, base):
         low = Lowering(base)
-        cols = [low.column(n).alias(f"_{i}" if self.many else self.names) for i, n in enumerate(self.nodes)]
-        return low.frame.select(*more, *cols)
+        cols = [(f"_{i}", low.column(n)) for i, n in enumerate(self.nodes)]
+        return projected(low.frame, cols)
 
     def frame(self, df=None):
         """The fields for all entries (or, without a source, for the rows of df) as a DataFrame."""
         names = self.names if self.many else [self.names]
         low = Lowering(self.data.base if df is None else df)
-        cols = [low.column(n).alias(x) for n, x in zip(self.nodes, names)]
-        return low.frame.select(*([F.col("id")] if df is None and "id" not in names else []), *cols)
+        cols = [(x, low.column(n)) for n, x in zip(self.nodes, names)]
+        return projected(low.frame, [*([("id", F.col("id"))] if df is None and "id" not in names else []), *cols])
 
 
 def one_row(values):
@@ -200,8 +200,8 @@ class CallableLayer(Layer):
             raise FieldError("this chain has its own source")
         names = names or tuple(data.outputs)
         low = Lowering(df)
-        cols = [low.column(data.node(n)).alias(n) for n in names]
-        return low.frame.select(*cols)
+        cols = [(n, low.column(data.node(n))) for n in names]
+        return projected(low.frame, cols)
 
     def _wrap(self, func, inputs, outputs=None, final=None):
         return self._decorate(inputs, outputs, final)(func)

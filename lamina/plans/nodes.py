@@ -20,6 +20,12 @@ def quoted(name):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def projected(frame, columns):
+    """frame with the columns of (name, Column) pairs; names are given last, so that none hides a column of frame."""
+    pairs = list(columns)
+    return frame.select(*(c.alias(f"#out:{i}") for i, (_, c) in enumerate(pairs))).toDF(*(n for n, _ in pairs))
+
+
 def code_digest(value, _seen=None):
     """A digest of a function (code, constants, defaults, closure, the globals it names) or of a plain value."""
     seen = _seen if _seen is not None else set()
