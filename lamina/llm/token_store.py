@@ -15,6 +15,7 @@ kept, null ones first, ties ordered by text; the empty table gives no file and n
 
 import uuid
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,7 @@ CHUNK, BLOCK = 8, 512
 FILE_TOKENS = 2_000_000
 END_ID = 2
 #: Matches of the pattern a worker keeps the ids of, in each of two generations.
-KEPT = 150_000
+KEPT = 250_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint64)
 
 
@@ -128,7 +129,8 @@ class Encoder:
     """The tokenizers library, asked once for each distinct match of the splitting pattern.
 
     The vocabulary's merges never cross a match, so a text's ids are those of its matches; strings of
-    special tokens in a text are ordinary text.
+    special tokens in a text are ordinary text. Matches that are new go to the library as lines of one
+    text: a line feed before a match, whatever that is but white space, is a match and a token of its own.
     """
 
     def __init__(self, path=None):
@@ -137,23 +139,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True
         self.split, self.kept, self.older = compile_pattern(), {}, {}
+        self.line_feed = self._ask(["\n"])[0][0]
+
+    def _ask(self, texts):
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, matches):
+        lines = [m for m in matches if not m.isspace()]
+        blank = [m for m in matches if m.isspace()]
+        for m, ids in zip(blank, self._ask(blank)):
+            self.kept[m] = ids.tobytes()
+        if lines:
+            ids = self._ask(["\n".join(lines)])[0]
+            cuts = np.flatnonzero(ids == self.line_feed)
+            if len(cuts) != len(lines) - 1:
+                raise ValueError("the vocabulary does not keep lines apart")
+            raw, at = ids.tobytes(), 0
+            for m, cut in zip(lines, [*(4 * cuts).tolist(), len(raw)]):
+                self.kept[m] = raw[at:cut]
+                at = cut + 4
 
     def encode(self, texts):
         """A uint32 array of ids for each text."""
         split = [self.split(t) for t in texts]
         if len(self.kept) > KEPT:
             self.older, self.kept = self.kept, {}
-        kept, older = self.kept, self.older
-        new = []
-        for m in set(chain.from_iterable(split)):
-            if m not in kept:
-                if m in older:
-                    kept[m] = older[m]
-                else:
-                    new.append(m)
-        for m, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            kept[m] = tuple(e.ids)
-        return [np.fromiter(chain.from_iterable(map(kept.__getitem__, x)), np.uint32) for x in split]
+        new = set(chain.from_iterable(split)).difference(self.kept)
+        if new and self.older:
+            seen = new.intersection(self.older)
+            self.kept.update((m, self.older[m]) for m in seen)
+            new -= seen
+        self._learn(list(new))
+        known = self.kept.__getitem__
+        return [np.frombuffer(b"".join(map(known, x)), "<u4") for x in split]
+
+
+@lru_cache(2)
+def encoder(path=None):
+    """A worker's encoder: what it has kept serves the worker's later tasks too."""
+    return Encoder(path)
 
 
 def write(df, place, key="doc_id", text="text", tokenizer=None, end_id=END_ID):
@@ -169,7 +193,7 @@ def write(df, place, key="doc_id", text="text", tokenizer=None, end_id=END_ID):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        own, part = encoder(tokenizer), TaskContext.get().partitionId()
         seq, docs, counts, ids, tokens = 0, [], [], [], 0
 
         def flush():
@@ -181,7 +205,7 @@ def write(df, place, key="doc_id", text="text", tokenizer=None, end_id=END_ID):
         end = np.array([end_id], np.uint32)
         for batch in batches:
             docs += batch.column("doc_id").to_pylist()
-            for x in encoder.encode(batch.column("text").to_pylist()):
+            for x in own.encode(batch.column("text").to_pylist()):
                 counts.append(len(x) + 1)
                 ids += [x, end]
                 tokens += len(x) + 1
