@@ -34,7 +34,7 @@ CHUNK, BLOCK = 8, 512
 FILE_TOKENS = 2_000_000
 END_ID = 2
 #: Matches of the pattern a worker keeps the ids of, in each of two generations.
-KEPT = 250_000
+KEPT = 200_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint64)
 
 
@@ -125,53 +125,80 @@ def load(raw):
     return [int(d) if v else None for d, v in zip(ids, valid)], first, Codes(found, tokens)
 
 
+class Kept(dict):
+    """Bytes of ids by match. A match that is new gets an empty place, which is filled when its ids are known."""
+
+    def __init__(self, older=()):
+        super().__init__()
+        self.older, self.new = older, []
+
+    def __missing__(self, match):
+        if match in self.older:
+            ids = self[match] = self.older[match]
+        else:
+            ids = self[match] = bytearray()
+            self.new.append((match, ids))
+        return ids
+
+
 class Encoder:
     """The tokenizers library, asked once for each distinct match of the splitting pattern.
 
     The vocabulary's merges never cross a match, so a text's ids are those of its matches; strings of
-    special tokens in a text are ordinary text. Matches that are new go to the library as lines of one
-    text: a line feed before a match, whatever that is but white space, is a match and a token of its own.
+    special tokens in a text are ordinary text. The library's model gets new matches as lines of one
+    text, with bytes written as the vocabulary writes them; only matches that are white space hold line feeds, and
+    these are encoded one by one.
     """
 
     def __init__(self, path=None):
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True
-        self.split, self.kept, self.older = compile_pattern(), {}, {}
-        self.line_feed = self._ask(["\n"])[0][0]
-
-    def _ask(self, texts):
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, matches):
-        lines = [m for m in matches if not m.isspace()]
-        blank = [m for m in matches if m.isspace()]
-        for m, ids in zip(blank, self._ask(blank)):
-            self.kept[m] = ids.tobytes()
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        whole = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+        whole.encode_special_tokens = True
+        self.whole, self.lines = whole, Tokenizer(whole.model)
+        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from U+0100
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.written = {b: 256 + k for k, b in enumerate(rest)}
+        self.lines.pre_tokenizer = CharDelimiterSplit(chr(self.written[10]))
+        self.bytes_of = np.zeros(whole.get_vocab_size(), np.int64)
+        for token, i in whole.get_vocab().items():
+            self.bytes_of[i] = len(token)
+        self.split, self.kept = compile_pattern(), Kept()
+
+    def _learn(self, new):
+        lines, places = [], []
+        for m, place in new:
+            if m.isspace():
+                place += np.array(self.whole.encode(m, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                lines.append(m)
+                places.append(place)
         if lines:
-            ids = self._ask(["\n".join(lines)])[0]
-            cuts = np.flatnonzero(ids == self.line_feed)
-            if len(cuts) != len(lines) - 1:
+            data = "\n".join(lines).encode()
+            text = data.decode("latin-1").translate(self.written)
+            ids = np.array(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+            ends = np.append(feeds, len(data)) - np.arange(len(lines))  # of lines, in bytes without line feeds
+            to = np.searchsorted(done := np.cumsum(self.bytes_of[ids]), ends) + 1
+            if (done[to - 1] != ends).any():
                 raise ValueError("the vocabulary does not keep lines apart")
             raw, at = ids.tobytes(), 0
-            for m, cut in zip(lines, [*(4 * cuts).tolist(), len(raw)]):
-                self.kept[m] = raw[at:cut]
-                at = cut + 4
+            for place, end in zip(places, (4 * to).tolist()):
+                place += raw[at:end]
+                at = end
 
     def encode(self, texts):
         """A uint32 array of ids for each text."""
-        split = [self.split(t) for t in texts]
         if len(self.kept) > KEPT:
-            self.older, self.kept = self.kept, {}
-        new = set(chain.from_iterable(split)).difference(self.kept)
-        if new and self.older:
-            seen = new.intersection(self.older)
-            self.kept.update((m, self.older[m]) for m in seen)
-            new -= seen
-        self._learn(list(new))
+            self.kept.older = ()
+            self.kept = Kept(self.kept)
         known = self.kept.__getitem__
-        return [np.frombuffer(b"".join(map(known, x)), "<u4") for x in split]
+        found = [list(map(known, self.split(t))) for t in texts]
+        self._learn(self.kept.new)
+        self.kept.new = []
+        return [np.frombuffer(b"".join(x), "<u4") for x in found]
 
 
 @lru_cache(2)
@@ -243,11 +270,18 @@ def read(manifest):
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 docs, first, codes = load(files.read(path))
-                crc = [zlib.crc32(codes.slice(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(first[:-1], first[1:])]
+                raw = memoryview(codes.slice(0, codes.n).astype("<u4").tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(start + first[:-1], pa.int64()), "n_tokens": pa.array(np.diff(first), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def document(path, i):
+    """The ids of the i-th document of a file, and no others: (doc_id, ids)."""
+    docs, first, codes = load(files.read(path))
+    return docs[i], codes.slice(int(first[i]), int(first[i + 1]))
+
+
 def op5_addressable_codes(spark, sf_dir):
     return read(write(table(spark, sf_dir, "documents"), new_dir(spark, "tokens")))

@@ -24,6 +24,16 @@ def test_file_round_trip():
     assert docs == [None, 4, 4] and first.tolist() == [0, 1, 1, 4] and codes.slice(1, 4).tolist() == [70000, 1, 2]
 
 
+def test_encoder_equals_the_library(monkeypatch):
+    monkeypatch.setattr(ts, "KEPT", 40)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    own = ts.Encoder()
+    texts = ["a b\n\n c\r\n\td  x", "\u010a \u0120x \u00e9\u010aé", "it's don't 'll '' ''s", "\x00\x1c\x85 \u2028 y", "<|endoftext|>", "日本 ½ ²", "", "\n"]
+    for k in range(6):
+        assert [x.tolist() for x in own.encode(texts[k:] + texts[:k])] == [t.encode(x, add_special_tokens=False).ids for x in texts[k:] + texts[:k]]
+
+
 def brute(rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
@@ -42,6 +52,9 @@ def test_written_files_read_back(spark, monkeypatch):
     manifest = ts.write(df, new_dir(spark, "t"))
     assert sum(r.n_docs for r in manifest.collect()) == len(rows)
     assert all(os.path.exists(r.path.replace("file:", "")) for r in manifest.collect())
+    part = spark.read.parquet(manifest.inputFiles()[0].rpartition("/")[0]).orderBy("part", "seq").first()
+    want = next(b for b in brute(rows) if b[0] == ts.document(part.path, 0)[0])
+    assert zlib.crc32(ts.document(part.path, 0)[1].astype("<u4").tobytes()) == want[3]
     key = lambda r: (r[1], r[2])
     assert sorted((tuple(r) for r in ts.read(manifest).collect()), key=key) == sorted(brute(rows), key=key)
     assert ts.read(ts.write(df.limit(0), new_dir(spark, "t"))).count() == 0
