@@ -19,7 +19,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 
-from .session import small_batches, table
+from .session import schema_of, small_batches, table, with_text
 
 #: Characters up to which a text is a leaf, split by one pass of the pattern.
 LEAF = 4096
@@ -195,30 +195,29 @@ def encode_frame(df, path=None, keep=("doc_id",), text="text", ids=False):
     results; null doc_ids are kept; other columns are not looked at. Every worker loads the vocabulary from `path`.
     """
     small_batches(df.sparkSession)
-    source = df.select(*keep, df[text].alias("__text"))
-    fields = source.schema.fields[:-1]
+    source, text = with_text(df, keep, text, ("n_tokens", "ids_sha256", "decoded_sha256", "ids"))
+    fields = source.columns[:-1]
 
     def run(batches):
         bpe = Bpe.load(path)
         for batch in batches:
             n, coded, decoded, lists = [], [], [], []
-            for t in batch.column("__text"):
+            for t in batch.column(text):
                 got = bpe.encode(t.as_py() or "")
                 n.append(len(got))
                 coded.append(hashlib.sha256(" ".join(map(str, got)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(got)).hexdigest())
                 if ids:
                     lists.append(pa.array(got, pa.int32()))
-            cols = [*(batch.column(f.name) for f in fields), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
-            names = [*(f.name for f in fields), "n_tokens", "ids_sha256", "decoded_sha256"]
+            cols = [*(batch.column(f) for f in fields), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            names = [*fields, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 offs = pa.array([0, *accumulate(n)], pa.int32())
                 cols.append(pa.ListArray.from_arrays(offs, pa.concat_arrays(lists) if lists else pa.array([], pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return source.mapInArrow(run, kinds + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+    return source.mapInArrow(run, schema_of(source, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids))
 
 
 def op9_monoid_bpe(spark, sf_dir):

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from . import words as W
-from .session import small_batches, table
+from .session import schema_of, small_batches, table, with_text
 
 N = 3
 RARE, SPREAD = 1e-4, 4
@@ -201,18 +201,18 @@ def _blocks(benchmark, item_id, text):
 
 
 def _limited(source, ids, texts):
-    """A broadcast of a block's Seeds, limited by their document frequencies over all rows of source (`__text`)."""
+    """A broadcast of a block's Seeds, limited by their document frequencies over all rows of source, a column of texts."""
     context = source.sparkSession.sparkContext
     seeds = Seeds(ids, texts)
-    shared = context.broadcast(seeds)
+    shared, name = context.broadcast(seeds), source.columns[0]
 
     def count(batches):
         seeds, docs = shared.value, 0
         found = np.zeros(len(seeds.keys), np.int64)
         for batch in batches:
             docs += batch.num_rows
-            for part in W.slices(batch, "__text"):
-                w = split(part.column("__text"))
+            for part in W.slices(batch, name):
+                w = split(part.column(name))
                 at, k = seeds.hits(w)
                 own = np.unique(w.doc[at].astype(np.int64) * len(seeds.keys) + k)
                 found += np.bincount(own % max(1, len(seeds.keys)), minlength=len(seeds.keys))
@@ -220,7 +220,7 @@ def _limited(source, ids, texts):
         yield pa.RecordBatch.from_pydict({"k": pa.array([-1, *k], pa.int64()), "n": pa.array([docs, *found[k]], pa.int64())})
 
     frequency, total = np.zeros(len(seeds.keys), np.int64), 0
-    for k, n in source.select("__text").mapInArrow(count, "k long, n long").groupBy("k").sum("n").collect():
+    for k, n in source.mapInArrow(count, "k long, n long").groupBy("k").sum("n").collect():
         if k < 0:
             total = n
         else:
@@ -233,22 +233,22 @@ def pairs(docs, benchmark, keep=("doc_id",), text="text", item_id="item_id", ite
     """The columns `keep` of docs with item_id, score, start and end: one row for each document and item that it contains."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(*keep, docs[text].alias("__text"))
-    fields = source.schema.fields[:-1]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + "item_id long, score double, start long, end long"
+    source, text = with_text(docs, keep, text, ("item_id", "score", "start", "end"))
+    fields = source.columns[:-1]
+    kinds = schema_of(source, "item_id long, score double, start long, end long")
     out = spark.createDataFrame([], kinds)
     for ids, texts in _blocks(benchmark, item_id, item_text):
 
-        def match(batches, shared=_limited(source, ids, texts)):
+        def match(batches, shared=_limited(source.select(text), ids, texts)):
             seeds = shared.value
             for batch in batches:
-                for part in W.slices(batch, "__text"):
-                    if got := find(seeds, part.column("__text")):
+                for part in W.slices(batch, text):
+                    if got := find(seeds, part.column(text)):
                         d, i, s, a, b = zip(*got)
                         rows = part.take(pa.array(d, pa.int64()))
                         yield pa.RecordBatch.from_arrays(
-                            [*(rows.column(f.name) for f in fields), pa.array([seeds.ids[x] for x in i], pa.int64()), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
-                            names=[*(f.name for f in fields), "item_id", "score", "start", "end"],
+                            [*(rows.column(f) for f in fields), pa.array([seeds.ids[x] for x in i], pa.int64()), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                            names=[*fields, "item_id", "score", "start", "end"],
                         )
 
         out = out.unionByName(source.mapInArrow(match, kinds))
@@ -258,7 +258,7 @@ def pairs(docs, benchmark, keep=("doc_id",), text="text", item_id="item_id", ite
 def drop_contaminated(docs, benchmark, text="text", item_id="item_id", item_text="text"):
     """The rows of docs that contain no item, with their columns; rows stay where they are, none is exchanged."""
     small_batches(docs.sparkSession)
-    source, out = docs.select(docs[text].alias("__text")), docs
+    source, out = docs.select(text), docs
     for ids, texts in _blocks(benchmark, item_id, item_text):
 
         def clean(batches, shared=_limited(source, ids, texts)):

@@ -26,7 +26,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .session import small_batches, table
+from .session import schema_of, small_batches, table, with_text
 
 #: Most texts of a language that are learned from.
 PER_LANG = 200
@@ -224,18 +224,17 @@ def fit(rows, text="text", lang="lang", per_lang=PER_LANG, path=None):
 def predict(df, model, keep=("doc_id",), text="text"):
     """The columns `keep` of df with lang_pred and score."""
     small_batches(df.sparkSession)
-    source = df.select(*keep, df[text].alias("__text"))
-    fields = source.schema.fields[:-1]
+    source, text = with_text(df, keep, text, ("lang_pred", "score"))
+    fields = source.columns[:-1]
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is that of the vocabulary
 
     def run(batches):
         for batch in batches:
-            for part in W.slices(batch, "__text"):
-                langs, scores = shared.value.score(part.column("__text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
+            for part in W.slices(batch, text):
+                langs, scores = shared.value.score(part.column(text))
+                yield pa.RecordBatch.from_arrays([*(part.column(f) for f in fields), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*fields, "lang_pred", "score"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return source.mapInArrow(run, kinds + "lang_pred string, score double")
+    return source.mapInArrow(run, schema_of(source, "lang_pred string, score double"))
 
 
 def held_out(doc_id="doc_id"):

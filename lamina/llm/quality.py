@@ -7,7 +7,7 @@ with null doc_id is scored like any other; other columns of the input are not lo
 import numpy as np
 import pyarrow as pa
 
-from .session import small_batches, table
+from .session import schema_of, small_batches, table, with_text
 from .words import SPACE, mix, per_doc, repeated, slices, windows, words
 
 #: n-gram length -> most per cent of a text's word characters that may lie in its repeated n-grams.
@@ -74,25 +74,30 @@ def measure(texts):
 
 def score(df, keep=("doc_id",), text="text"):
     """The columns `keep` of df and those of SCHEMA, one row for each row of df."""
-    spark = df.sparkSession
-    small_batches(spark)
-    source = df.select(*keep, df[text].alias("__text"))
-    fields = [f.name for f in source.schema.fields[:-1]]
+    small_batches(df.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
+    source, text = with_text(df, keep, text, names)
+    fields = source.columns[:-1]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "__text"):
-                m = measure(part.column("__text"))
+            for part in slices(batch, text):
+                m = measure(part.column(text))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in fields), *(pa.array(m[c].astype(bool if c in ("base_failed", "kept") else np.int64)) for c in names)], names=[*fields, *names])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, {SCHEMA}")
+    return source.mapInArrow(run, schema_of(source, SCHEMA))
 
 
 def keep_clean(df, text="text"):
     """The rows of df whose text is kept, with their columns."""
-    return score(df, df.columns, text).where("kept").select(*df.columns)
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                yield part.filter(pa.array(measure(part.column(text))["kept"]))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def op4_repetition_coverage(spark, sf_dir):

@@ -16,7 +16,7 @@ from math import log2
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .session import small_batches, table
+from .session import schema_of, small_batches, table, with_text
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -130,20 +130,20 @@ def joined(spans):
 def find(df, keep=("doc_id",), text="text"):
     """The columns `keep` of df with n_assign, n_access, n_hex, base_sha256 and spans for each of its rows."""
     small_batches(df.sparkSession)
-    source = df.select(*keep, df[text].alias("__text"))
-    fields = source.schema.fields[:-1]
+    made = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    source, text = with_text(df, keep, text, made)
+    fields = source.columns[:-1]
 
     def run(batches):
         for batch in batches:
-            rows = [scan(t or "") for t in batch.column("__text").to_pylist()]
+            rows = [scan(t or "") for t in batch.column(text).to_pylist()]
             n = {k: [sum(s[0] == k for s in base) for base, _ in rows] for k in KINDS[:3]}
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in fields), *(pa.array(n[k], pa.int64()) for k in KINDS[:3]), pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows], pa.string()), pa.array([joined(every) for _, every in rows], pa.string())],
-                names=[*(f.name for f in fields), "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                [*(batch.column(f) for f in fields), *(pa.array(n[k], pa.int64()) for k in KINDS[:3]), pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows], pa.string()), pa.array([joined(every) for _, every in rows], pa.string())],
+                names=[*fields, *made],
             )
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return source.mapInArrow(run, kinds + "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.mapInArrow(run, schema_of(source, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"))
 
 
 MARK = "[SECRET]"

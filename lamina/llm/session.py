@@ -37,3 +37,17 @@ def materialize(spark, df, name):
     path = new_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_text(df, keep, text, made):
+    """(frame of the columns `keep` and, last, the text; the names kept). A kept column that the result makes anew is left out."""
+    keep = [c for c in keep if c not in made]
+    name = "text"
+    while name in keep or name in made:
+        name = f"_{name}"
+    return df.select(*(df[c] for c in keep), df[text].cast("string").alias(name)), name
+
+
+def schema_of(source, more):
+    """The DDL of all columns of source but the last, and more."""
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + more
