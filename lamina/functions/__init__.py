@@ -72,3 +72,19 @@ def hash_array(column):
 def parts(ids, contexts):
     """For __split__: the parts with these ids (an array) and contexts (an array)."""
     return F.arrays_zip(ids.alias("id"), contexts.alias("context"))
+
+
+def is_stable(value):
+    """Says that a function's code will not change: its digest is its name."""
+    value.digest_parts = lambda: ("stable", value.__module__, value.__qualname__)
+    return value
+
+
+def is_unstable(value):
+    """Says that a function's digest follows its code; this is so for all functions that is_stable does not mark."""
+    return value
+
+
+def unstable_module(module):
+    """Kept for declarations that use it: digests follow the code of every module's functions."""
+    return module

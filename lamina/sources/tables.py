@@ -5,22 +5,40 @@ from pyspark.sql import SparkSession
 from ..plans.nodes import code_digest
 
 
-def status(spark, path):
-    """(path, size, time of change) of a file in any Hadoop file system."""
+def _file_system(spark, path):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    s = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
-    return path, s.getLen(), s.getModificationTime()
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def exists(path):
-    spark = SparkSession.getActiveSession()
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    fs, where = _file_system(SparkSession.getActiveSession(), path)
+    return fs.exists(where)
+
+
+def _roots(frame):
+    """(path, bytes below it, time of its last change) of each path that a frame's plan reads; a table of a great
+    many files costs no more than a small one, since Spark has listed them already."""
+    spark, found = frame.sparkSession, []
+    leaves = frame._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    while leaves.hasNext():
+        leaf = leaves.next()
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            continue
+        location = leaf.relation().location()
+        paths = location.rootPaths().iterator()
+        while paths.hasNext():
+            path = paths.next().toString()
+            fs, where = _file_system(spark, path)
+            found.append((path, location.sizeInBytes(), fs.getFileStatus(where).getModificationTime()))
+    return sorted(found)
 
 
 def table_digest(frame):
-    """The files of a frame with their sizes and times; of a frame without files, its plan."""
-    files = sorted(frame.inputFiles())
-    if files:
-        return code_digest((frame.schema.json(), tuple(status(frame.sparkSession, f) for f in files)))
-    return code_digest((frame.schema.json(), frame.semanticHash()))
+    """Follows a frame's plan and the paths that it reads, with their sizes and times of change."""
+    roots = _roots(frame)
+    return code_digest((frame.schema.json(), tuple(roots))) if roots and _plain(frame) else code_digest((frame.schema.json(), tuple(roots), frame.semanticHash()))
+
+
+def _plain(frame):
+    """Whether a frame is just a table, so that its digest can hold in later sessions."""
+    return frame._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"

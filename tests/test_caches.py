@@ -120,3 +120,27 @@ def test_digests(tmp_path):
             return F.concat(F.lit("received "), ready)
 
     assert len(set(digests(ds >> ByValue(), "size").values())) == 2
+
+
+def test_digests_follow_the_table(spark, tmp_path):
+    from lamina.functions import is_stable
+    from lamina.plans.nodes import code_digest
+    from lamina.sources.tables import table_digest
+
+    place = f"{tmp_path}/t"
+    spark.range(5).write.parquet(place)
+    first = table_digest(spark.read.parquet(place))
+    assert table_digest(spark.read.parquet(place)) == first
+    spark.range(5000).write.mode("overwrite").parquet(place)
+    assert table_digest(spark.read.parquet(place)) != first
+    assert table_digest(spark.read.parquet(place).where("id > 1")) != table_digest(spark.read.parquet(place).where("id > 2"))
+
+    def one(x):
+        return x + 1
+
+    def two(x):
+        return x + 2
+
+    assert code_digest(one) != code_digest(two)
+    two.__qualname__, two.__module__ = one.__qualname__, one.__module__
+    assert code_digest(is_stable(one)) == code_digest(is_stable(two))
