@@ -186,6 +186,11 @@ class CallableLayer(Layer):
     def _compile(self, names):
         return Method(self._data, names if isinstance(names, str) else tuple(names))
 
+    @property
+    def ids_df(self):
+        """The ids as a DataFrame; the property ids brings them to the driver."""
+        return self._data.base.select("id")
+
     def to_df(self, *names):
         """id and fields (all by default) of all entries as a DataFrame."""
         for n in names:

@@ -164,19 +164,16 @@ def transformed(declared, values, data):
 
 
 def truthy(frame, column):
-    """A boolean Column that is true where Python would take the value for true; null is false."""
+    """A condition for where(), true where Python takes the value for true; where() drops nulls by itself, and a bare
+    comparison reaches the scan."""
     kind = frame.select(column.alias("c")).schema["c"].dataType.typeName()
     if kind == "boolean":
-        out = column
-    elif kind in ("string", "binary"):
-        out = F.length(column) > 0
-    elif kind in ("array", "map"):
-        out = F.size(column) > 0
-    elif kind == "void":
-        return F.lit(False)
-    else:
-        out = column != 0
-    return F.coalesce(out, F.lit(False))
+        return column
+    if kind in ("string", "binary"):
+        return F.length(column) > 0
+    if kind in ("array", "map"):
+        return F.size(column) > 0
+    return F.lit(False) if kind == "void" else column != 0
 
 
 def function_node(function, data, layer, forbidden=()):
