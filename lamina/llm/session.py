@@ -3,6 +3,8 @@
 import tempfile
 import uuid
 
+from pyspark.sql import functions as F
+
 #: Rows of an Arrow batch; texts of documents may be long, so batches are kept small.
 ARROW_ROWS = 400
 
@@ -27,9 +29,21 @@ def shared_dir(spark):
     return place.rstrip("/")
 
 
+_made = []
+
+
 def new_dir(spark, name):
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call gets; clean() removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean(spark):
+    """Removes what this process has written to the shared folder: call it when results are stored elsewhere."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(spark, df, name):
@@ -51,3 +65,13 @@ def with_text(df, keep, text, made):
 def schema_of(source, more):
     """The DDL of all columns of source but the last, and more."""
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1]) + more
+
+
+#: Most bytes of a table, as Spark estimates it from its files, that is sent whole to every executor.
+BROADCAST_BYTES = 4 << 20
+
+
+def small(df):
+    """df, marked for a broadcast if its estimated size is within BROADCAST_BYTES; beyond that Spark shuffles it as any other."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
