@@ -2,14 +2,18 @@
 
 A text's shingles are its runs of SIZE lower-cased words; a shingle weighs its count in the text times
 the mean inverse document frequency of its words. Document frequencies cover all documents; words are
-hashed into BUCKETS counters, so the table sent to executors has a fixed size. Each of BANDS * ROWS
+hashed into BUCKETS counters, so the table sent to executors has a fixed size. Each of SAMPLES
 samples draws one shingle with probability in proportion to its weight, consistently between texts:
 two texts agree in a sample with the probability of their weighted Jaccard similarity. Texts equal in
 all samples of a band are candidates.
 
-Equal texts are one candidate. Within a bucket of candidates only stars are compared: every text with
-the bucket's hub, by the exact weighted Jaccard similarity of their shingles. In further rounds the
-buckets whose texts are not yet in one class get other hubs, until a round finds no new link. So work
+Equal texts are one candidate. Within a bucket of candidates only stars are compared: texts with
+the bucket's hub, by the exact Jaccard similarity of their shingles (weighted or, if that is
+larger, of the bare sets: weights must not part texts that plain shingles hold together). The hub is the text
+that shares buckets with most others, which in a group of copies is about the one that they were made from. First
+every text meets the best hub of its buckets; then, in buckets whose texts are not yet in one class,
+those of other classes meet HUBS other hubs of the bucket, round after round, until a round finds next to no
+new link. Only pairs that agree in AGREE samples are compared in full. So work
 follows the rows of a bucket, not their pairs. Classes are connected components, found by passing the
 least label along links in joins; nothing but counts comes to the driver.
 
@@ -25,17 +29,28 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from . import words as W
-from .session import materialize, small_batches, table
+from .session import materialize, small, small_batches, table
 
 SIZE, LEAST = 5, 0.8
-BANDS, ROWS = 13, 3
+#: Samples, those of a band, and how often samples are dealt out to bands anew: texts of similarity 0.8 share
+#: no band in about 1 of 500 cases, and unlike texts that share a passage rarely share one.
+SAMPLES, ROWS, DEALS = 40, 5, 4
 BUCKETS = 1 << 18
+#: Hubs of a bucket in a round after the first. Rounds end with one that adds no more than a STOP-th of all links,
+#: which is about the share that sampling misses in any case.
+HUBS, STOP = 8, 200
+#: Samples in which two texts must agree before they are compared: those of similarity 0.8 do (32 of 40, give or take 2.5) but in 1 of 300 cases.
+AGREE = 25
+#: Bytes of text worked on at a time, so that arrays stay in the processor's cache.
+SLICE = 1 << 18
+#: Quantiles of a distribution that random numbers are taken from.
+QUANTILES = 1 << 12
 U = np.uint64
 
 
 def _gamma2():
-    """65536 quantiles of the Gamma(2, 1) distribution, whose distribution function is 1 - (1 + x) exp(-x)."""
-    p = (np.arange(1 << 16) + 0.5) / (1 << 16)
+    """Quantiles of the Gamma(2, 1) distribution, whose distribution function is 1 - (1 + x) exp(-x)."""
+    p = (np.arange(QUANTILES) + 0.5) / QUANTILES
     low, high = np.zeros_like(p), np.full_like(p, 50.0)
     for _ in range(60):
         mid = (low + high) / 2
@@ -46,7 +61,10 @@ def _gamma2():
 
 _R = _gamma2().astype(np.float32)
 _LOG_C = np.log(_gamma2()).astype(np.float32)
-_SEEDS = W.mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+_SEEDS = W.mix(np.arange(1, SAMPLES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
+_dealt = np.random.default_rng(5)
+#: The samples of each band.
+BANDS = np.concatenate([_dealt.permutation(SAMPLES).reshape(-1, ROWS) for _ in range(DEALS)])
 
 
 def split(texts):
@@ -94,44 +112,50 @@ def shingles(texts, idf):
 
 
 def samples(doc, h, weight, docs):
-    """A (docs, BANDS * ROWS) table of samples; zeros for texts without shingles."""
+    """A (docs, SAMPLES) table of samples; zeros for texts without shingles."""
     out = np.zeros((docs, len(_SEEDS)), np.uint32)
     if not len(h):
         return out
     start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     log_w = np.log(weight).astype(np.float32)
-    mask = U(0xFFFF)
+    mask, bits = U(QUANTILES - 1), U(QUANTILES.bit_length() - 1)
     for k, seed in enumerate(_SEEDS):
         x = W.mix(h ^ seed)
         r = _R[(x & mask).astype(np.int32)]
-        log_c = _LOG_C[((x >> U(16)) & mask).astype(np.int32)]
-        beta = ((x >> U(32)) & mask).astype(np.float32) / np.float32(1 << 16)
+        log_c = _LOG_C[((x >> bits) & mask).astype(np.int32)]
+        beta = (x >> U(40)).astype(np.float32) / np.float32(1 << 24)
         t = np.floor(log_w / r + beta)
         a = (log_c - r * (t - beta + np.float32(1))).view(np.uint32)
         order = a ^ np.where(a >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))  # as floats are ordered
-        name = ((x >> U(32)) ^ (t.astype(np.int64).astype(U) * U(0x9E3779B1))) & U(0xFFFFFFFF)
+        name = ((x >> U(16)) ^ (t.astype(np.int64).astype(U) * U(0x9E3779B1))) & U(0xFFFFFFFF)
         out[doc[start], k] = (np.minimum.reduceat((order.astype(U) << U(32)) | name, start) & U(0xFFFFFFFF)).astype(np.uint32)
     return out
 
 
-def bands(table):
-    """A hash for each band of each row of samples."""
-    out = np.zeros((len(table), BANDS), U)
-    for k in range(ROWS):
-        out = out * U(0xD6E8FEB86659FD93) + table[:, k::ROWS].astype(U)
-    return W.mix(out)
+def bands(sig="sig"):
+    """A Column: the array of a hash for each band of a column of samples; those of different bands have nothing in common."""
+    return F.array(*(F.xxhash64(F.lit(k), *(F.col(sig)[int(i)] for i in band)) for k, band in enumerate(BANDS)))
+
+
+def agree(a, b):
+    """A Column: whether two arrays of samples agree in AGREE places."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
 
 
 def similarities(left, right, idf):
-    """The exact weighted Jaccard similarity of each pair of texts; 0 where neither has a shingle."""
+    """The exact Jaccard similarity of each pair of texts, weighted or not, whichever is larger; 0 where neither has a shingle."""
     n = len(left)
     (d1, h1, w1), (d2, h2, w2) = shingles(left, idf), shingles(right, idf)
     doc, h, w = np.concatenate([d1, d2]), np.concatenate([h1, h2]), np.concatenate([w1, w2])
     order = np.lexsort((h, doc))
     doc, h, w = doc[order], h[order], w[order]
     same = np.flatnonzero((doc[1:] == doc[:-1]) & (h[1:] == h[:-1]))
-    both = np.bincount(doc[same], np.minimum(w[same], w[same + 1]), n)
-    return both / np.maximum(np.bincount(doc, w, n) - both, 1e-300)
+
+    def share(weights):
+        both = np.bincount(doc[same], np.minimum(weights[same], weights[same + 1]), n)
+        return both / np.maximum(np.bincount(doc, weights, n) - both, 1e-300)
+
+    return np.maximum(share(w), share(np.ones(len(w))))
 
 
 def document_frequencies(texts):
@@ -156,91 +180,112 @@ def document_frequencies(texts):
 
 
 def signatures(keyed, idf):
-    """The other columns of keyed with `bands` (null for texts without words) in place of text."""
+    """The other columns of keyed with the array `sig` of samples (null for texts without words) in place of text."""
     spark = keyed.sparkSession
     names = [c for c in keyed.columns if c != "text"]
     shared = spark.sparkContext.broadcast(idf)
 
     def run(batches):
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=SLICE):
                 doc, h, weight = shingles(part.column("text"), shared.value)
-                b = bands(samples(doc, h, weight, part.num_rows)).view(np.int64)
+                sig = samples(doc, h, weight, part.num_rows).view(np.int32)
                 none = np.ones(part.num_rows, bool)
                 none[doc] = False
-                offs = pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32(), mask=np.append(none, False))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(offs, pa.array(b.ravel()))], names=[*names, "bands"])
+                offs = pa.array(np.arange(part.num_rows + 1) * SAMPLES, pa.int32(), mask=np.append(none, False))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.ListArray.from_arrays(offs, pa.array(sig.ravel()))], names=[*names, "sig"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keyed.schema if f.name != "text")
-    return keyed.mapInArrow(run, kinds + "bands array<long>")
+    return keyed.mapInArrow(run, kinds + "sig array<int>")
 
 
 def verified(pairs, texts, idf, least=LEAST):
-    """The pairs (a, b) whose texts are alike. texts: (key, text), one row for each key."""
+    """The pairs (a, b) whose texts are alike. texts: (uid, text), one row for each uid."""
     spark = pairs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
-    one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
-    two = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
+    one = texts.select(F.col("uid").alias("a"), F.col("text").alias("left")).join(small(pairs), "a")
+    two = one.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("right")), "b")
 
     def run(batches):
         for batch in batches:
-            for part in W.slices(batch, "left"):
+            for part in W.slices(batch, "left", SLICE):
                 alike = similarities(part.column("left"), part.column("right"), shared.value) >= least
                 yield part.select(["a", "b"]).filter(pa.array(alike))
 
-    return two.select("a", "b", "left", "right").mapInArrow(run, "a string, b string")
+    return two.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def components(links):
-    """(key, root) of every end of the links (a, b): the least key that it is linked to, over any number of links."""
+    """(uid, root) of every end of the links (a, b): the least uid that it is linked to, over any number of links."""
     spark = links.sparkSession
-    both = materialize(spark, links.union(links.select("b", "a")).distinct(), "links")
-    label = materialize(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("root")), "labels")
+    n = 2 * links.count()
+    both = materialize(spark, links.union(links.select("b", "a")).distinct(), "links", n)
+    label = materialize(spark, both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("uid"), F.least("a", "m").alias("root")), "labels", n)
     while True:
-        near = both.join(label.select(F.col("key").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        near = materialize(spark, label.join(near.withColumnRenamed("a", "key"), "key").select("key", F.col("root").alias("old"), F.least("root", "m").alias("root")), "labels")
-        jump = near.select(F.col("key").alias("root"), F.col("root").alias("next"))
-        label = materialize(spark, near.join(jump, "root").select("key", F.least("root", "next").alias("root"), "old"), "labels")
+        near = both.join(small(label.select(F.col("uid").alias("b"), "root")), "b").groupBy("a").agg(F.min("root").alias("m"))
+        near = materialize(spark, small(label).join(near.withColumnRenamed("a", "uid"), "uid").select("uid", F.col("root").alias("old"), F.least("root", "m").alias("root")), "labels", n)
+        jump = near.select(F.col("uid").alias("root"), F.col("root").alias("next"))
+        label = materialize(spark, near.join(small(jump), "root").select("uid", F.least("root", "next").alias("root"), "old"), "labels", n)
         if not label.where("root <> old").limit(1).count():
-            return label.select("key", "root")
+            return label.select("uid", "root")
+
+
+def joined(rooted, links):
+    """The components `rooted` (uid, root) with more links (a, b), of which only roots are followed."""
+    spark = rooted.sparkSession
+    of = lambda end: small(rooted.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}")))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    moved = rooted.join(small(more.select(F.col("uid").alias("root"), F.col("root").alias("new"))), "root", "left").select("uid", F.coalesce("new", "root").alias("root"))
+    alone = more.join(small(rooted.select("uid")), "uid", "left_anti").select("uid", "root")
+    return materialize(spark, moved.union(alone), "labels", rooted.count() + 2 * links.count())
 
 
 def classes(docs, keep="doc_id", text="text", least=LEAST):
-    """Frames (rows, of): `rows` has doc_id and key of each row of docs (key: a digest of its text, null for null texts);
-    `of` has key, class_key and class_id of each text."""
+    """Frames (rows, of): `rows` has doc_id and key of each row of docs (key: a digest of its text, none for null texts);
+    `of` has key, doc_id (the least of the text's), class_key and class_id of each text."""
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(keep).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = own.where("text IS NOT NULL").select("doc_id", F.md5("text").alias("key"), "text")
     idf = document_frequencies(own.select("text"))
     signed = materialize(spark, signatures(keyed, idf), "signatures")
-    unique = materialize(spark, signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "texts")
-    rows = unique.select("key", F.posexplode("bands").alias("band", "h"))
-    buckets = rows.groupBy("band", "h").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # members of buckets with several texts; hubs are read anew, so that a large bucket can be split in the join
-    members = materialize(spark, rows.join(materialize(spark, buckets, "hubs"), ["band", "h"]), "members")
-    some = members.select("key").distinct()
-    texts = materialize(spark, keyed.select("key", "text").join(some, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text")), "candidates")
-
-    pairs = members.where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
-    tested = materialize(spark, pairs, "pairs")
+    unique = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"))
+    unique = materialize(spark, unique.withColumn("uid", F.monotonically_increasing_id()), "texts")
+    rows = unique.where("sig IS NOT NULL").select("uid", F.explode(bands()).alias("band"))
+    sizes = materialize(spark, rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # read anew, so that a large bucket can be split in joins
+    placed = materialize(spark, rows.join(small(sizes), "band"), "buckets")
+    score = placed.groupBy("uid").agg(F.sum("n").alias("score"))
+    score = materialize(spark, score.join(unique.select("uid", "sig"), "uid"), "scores")
+    members = materialize(spark, placed.select("uid", "band").join(small(score), "uid"), "members")
+    of_hub, size = score.select(F.col("uid").alias("hub"), F.col("sig").alias("hub_sig")), members.count()
+    hubs = members.groupBy("band").agg(F.max(F.struct("score", "uid")).alias("x")).select("band", F.col("x.score").alias("hub_score"), F.col("x.uid").alias("hub"))
+    hubs = materialize(spark, hubs.join(small(of_hub), "hub"), "hubs", size)
+    first = members.join(small(hubs), "band").where((F.col("uid") != F.col("hub")) & agree("sig", "hub_sig"))
+    first = first.groupBy("uid").agg(F.max(F.struct("hub_score", "hub")).alias("x")).select("uid", "x.hub")
+    some = materialize(spark, unique.select("key", "uid").join(small(score.select("uid")), "uid"), "keys")
+    texts = materialize(spark, keyed.select("key", "text").join(small(some), "key").groupBy("uid").agg(F.any_value("text").alias("text")), "candidates")
+
+    tested = materialize(spark, first.select(F.greatest("uid", "hub").alias("a"), F.least("uid", "hub").alias("b")).distinct(), "pairs", size)
     links = materialize(spark, verified(tested, texts, idf, least), "links")
-    rooted, turn = components(links), 0
+    rooted, turn, total = components(links), 0, links.count()
     while True:
-        turn += 1
-        placed = members.join(rooted, "key", "left").select("band", "h", "key", F.coalesce("root", "key").alias("root"))
-        order = F.struct(F.xxhash64("key", F.lit(turn)).alias("o"), F.col("key").alias("key"), F.col("root").alias("root"))
-        mixed = placed.groupBy("band", "h").agg(F.min(order).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        mixed = materialize(spark, mixed.select("band", "h", F.col("hub.key").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
-        pairs = placed.join(mixed, ["band", "h"]).where("root <> hub_root").select(F.least("key", "hub").alias("b"), F.greatest("key", "hub").alias("a")).distinct()
-        pairs = materialize(spark, pairs.select("a", "b").join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        placed = members.join(small(rooted), "uid", "left").select("band", "uid", "score", "sig", F.coalesce("root", "uid").alias("root"))
+        orders = [F.col("score")] if turn == 0 else [F.xxhash64("uid", F.lit(turn), F.lit(i)) for i in range(HUBS)]
+        hubs = F.array_distinct(F.transform(F.array(*(F.max(F.struct(o.alias("o"), "uid", "root")) for o in orders)), lambda x: F.struct(x["uid"].alias("hub"), x["root"].alias("hub_root"))))
+        mixed = placed.groupBy("band").agg(hubs.alias("hubs"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        mixed = materialize(spark, mixed.select("band", F.explode("hubs").alias("x")).select("band", "x.*").join(small(of_hub), "hub"), "hubs", size)
+        pairs = placed.join(small(mixed), "band").where((F.col("root") != F.col("hub_root")) & agree("sig", "hub_sig")).select(F.greatest("uid", "hub").alias("a"), F.least("uid", "hub").alias("b")).distinct()
+        pairs = materialize(spark, pairs.join(small(tested), ["a", "b"], "left_anti"), "pairs", size)
         new = materialize(spark, verified(pairs, texts, idf, least), "links")
-        if not new.limit(1).count():
+        found, turn = new.count(), turn + 1
+        if found:
+            rooted, total = joined(rooted, new), total + found
+        if turn > 1 and found * STOP <= total:
             break
-        tested, links = tested.union(pairs), links.union(new)
-        rooted = components(links)
+        tested = materialize(spark, tested.union(pairs), "pairs", turn * HUBS * size)
 
-    whole = unique.join(rooted, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("class_key"))
+    whole = unique.join(small(rooted), "uid", "left").select("key", "doc_id", F.coalesce("root", "uid").alias("class_key"))
     ids = whole.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
     return signed.select("doc_id", "key"), materialize(spark, whole.join(ids, "class_key").select("key", "doc_id", "class_key", "class_id"), "classes")
 
@@ -249,7 +294,7 @@ def near_duplicates(docs, keep="doc_id", text="text", least=LEAST):
     """doc_id, class_id and class_key of every row of docs; rows of one class_key are near-duplicates."""
     rows, of = classes(docs, keep, text, least)
     null = docs.where(F.col(text).isNull()).select(F.col(keep).cast("long").alias("doc_id"))
-    return rows.join(of.drop("doc_id"), "key").select("doc_id", "class_id", "class_key").union(null.select("doc_id", "doc_id", F.lit(None).cast("string")))
+    return rows.join(of.drop("doc_id"), "key").select("doc_id", "class_id", "class_key").union(null.select("doc_id", "doc_id", F.lit(None).cast("long")))
 
 
 def keep_one(docs, keep="doc_id", text="text", least=LEAST):

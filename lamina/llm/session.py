@@ -46,9 +46,15 @@ def clean(spark):
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(spark, df, name):
-    """df, written to the shared folder and read again: a cut of the lineage that survives lost executors."""
+#: Rows of a file of a table whose size is known beforehand.
+FILE_ROWS = 20_000
+
+
+def materialize(spark, df, name, rows=None):
+    """df, written to the shared folder and read again: a cut of the lineage that survives lost executors. With rows, a
+    bound of its rows, a small table gets few files."""
     path = new_dir(spark, name)
+    df = df if rows is None else df.coalesce(1 + rows // FILE_ROWS)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
