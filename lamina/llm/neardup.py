@@ -38,7 +38,7 @@ SAMPLES, ROWS, DEALS = 40, 5, 4
 BUCKETS = 1 << 18
 #: Hubs of a bucket in a round after the first. Rounds end with one that adds no more than a STOP-th of all links,
 #: which is about the share that sampling misses in any case.
-HUBS, STOP = 8, 200
+HUBS, STOP = 3, 200
 #: Samples in which two texts must agree before they are compared: those of similarity 0.8 do (32 of 40, give or take 2.5) but in 1 of 300 cases.
 AGREE = 25
 #: Bytes of text worked on at a time, so that arrays stay in the processor's cache.
