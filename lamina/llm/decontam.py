@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, a bound of the score, then Smith-Waterman alignment.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes of the lower-cased text. Every n-gram of a
-test item is looked for in all documents, and its document frequency counted over all of them. An
-item's seeds are its n-grams that are rare: in at most RARE of all documents, or at most SPREAD times
-the lower quartile of the item's own frequencies (so an item that leaked into a third of the corpus
-keeps its seeds). Each seed in a document opens a window there, which is aligned with the whole item;
-the best score over what a perfect copy would have is the pair's score.
+test item is a seed, however many documents have it, and opens a window in each of them. No alignment of a
+window with the item scores more than bound(), which needs no alignment; only windows whose bound is under
+LEAST are passed over, so no pair is lost by it. The others are aligned with the whole item; the best score
+over what a perfect copy would have is the pair's score.
 
 The benchmark is taken in blocks of about BLOCK_WORDS words, so what is sent to executors is bounded;
 each block is matched with all documents.
@@ -24,7 +23,6 @@ from . import words as W
 from .session import schema_of, small_batches, table, with_text
 
 N = 3
-RARE, SPREAD = 1e-4, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score, of 1 for a perfect copy.
 LEAST = 0.5
@@ -70,13 +68,9 @@ class Seeds:
         self.keys, self.from_ = np.unique(h, return_index=True)
         self.to = np.append(self.from_[1:], len(h))
         self.item, self.word = w.doc[at], at - first[w.doc[at]]
-        self.rare = np.ones(len(h), bool)
         self.short = {n: np.unique(h[w.count[self.item] == n]) for n in range(1, N)}
-        self._sieve(self.keys)
-
-    def _sieve(self, keys):
         self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[keys >> U(44)] = True
+        self.sieve[self.keys >> U(44)] = True
 
     def hits(self, w):
         """(word, number of its n-gram) for each n-gram of texts that an item has."""
@@ -96,22 +90,6 @@ class Seeds:
         found = self.keys[k] == h if len(self.keys) else np.zeros(len(h), bool)
         return at[found], k[found]
 
-    def limit(self, frequency, docs):
-        """Keeps only rare seeds. frequency: documents with each n-gram."""
-        per = frequency[np.repeat(np.arange(len(self.keys)), self.to - self.from_)]
-        for i in range(len(self.items)):
-            own = np.flatnonzero(self.item == i) if len(self.items) < 64 else self._of(i)
-            if len(own):
-                self.rare[own] = per[own] <= max(RARE * docs, SPREAD * np.quantile(per[own], 0.25, method="lower"))
-        alive = np.logical_or.reduceat(self.rare, self.from_) if len(self.from_) else np.zeros(0, bool)
-        self._sieve(self.keys[alive])
-
-    def _of(self, i):
-        if not hasattr(self, "_by"):
-            order = np.argsort(self.item, kind="stable")
-            self._by = np.split(order, np.cumsum(np.bincount(self.item, minlength=len(self.items)))[:-1])
-        return self._by[i]
-
 
 def align(a, b):
     """Smith-Waterman with linear gaps over rows of a (padded with 0) and b (padded with 1):
@@ -157,6 +135,38 @@ def aligned(items, spans):
     return out
 
 
+def _best_run(found, part, parts):
+    """The most that a run of each part's words can score, if each word found is a match and each other costs what an edit does."""
+    value = np.where(found, MATCH, max(MISMATCH, GAP)).astype(np.int64)
+    far = part * (4 * MATCH * len(part) + 1)  # so that no part sees the sums of those before it
+    total = np.cumsum(value)
+    run = total - far - np.minimum.accumulate(total - value - far)
+    best = np.zeros(parts, np.int64)
+    np.maximum.at(best, part, run)
+    return best
+
+
+def bound(items, spans):
+    """No local alignment of a pair of word arrays scores more: a match needs the word on both sides, and each other word
+    between the ends costs an edit, in the item as in the span."""
+    keys, parts = [], []
+    for rows in (items, spans):
+        part = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        keys.append(np.concatenate(rows) ^ W.mix(part.astype(U)))  # equal keys of different pairs can only raise the bound
+        parts.append(part)
+    return np.minimum(*(_best_run(np.isin(own, other), part, len(items)) for own, other, part in zip(keys, keys[::-1], parts)))
+
+
+def promising(items, spans):
+    """Which pairs can score LEAST."""
+    size = np.array([len(x) for x in items])
+    cells = np.cumsum(size + [len(x) for x in spans])
+    cuts = np.searchsorted(cells, np.arange(CELLS // 4, cells[-1], CELLS // 4)) if len(cells) else []
+    cuts = np.unique([0, *cuts, len(items)])
+    most = np.concatenate([bound(items[a:b], spans[a:b]) for a, b in zip(cuts, cuts[1:])])
+    return np.flatnonzero(most / (MATCH * size) >= LEAST)
+
+
 def find(seeds, texts):
     """(text, item, score, start, end) of the pairs at or over LEAST; start and end are code points of the lower-cased text."""
     w = split(texts)
@@ -164,8 +174,7 @@ def find(seeds, texts):
     at, k = seeds.hits(w)
     n = seeds.to[k] - seeds.from_[k]
     entry = np.repeat(seeds.from_[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(at, n)[seeds.rare[entry]] if len(entry) else at[:0]
-    entry = entry[seeds.rare[entry]]
+    at = np.repeat(at, n)
     if not len(entry):
         return []
     doc, item = w.doc[at], seeds.item[entry]
@@ -177,7 +186,10 @@ def find(seeds, texts):
     doc, item, begin, slack = doc[one], item[one], begin[one], slack[one]
     a = np.maximum(begin - slack, first[doc])
     b = np.minimum(begin + size[item] + slack, first[doc] + w.count[doc])
-    got = aligned([seeds.items[i] for i in item], [w.hash[x:y] for x, y in zip(a, b)])
+    items, spans = [seeds.items[i] for i in item], [w.hash[x:y] for x, y in zip(a, b)]
+    may = promising(items, spans)
+    doc, item, a = doc[may], item[may], a[may]
+    got = aligned([items[k] for k in may], [spans[k] for k in may])
     best = {}
     for d, i, x, (score, lo, hi) in zip(doc.tolist(), item.tolist(), a.tolist(), got):
         if score >= LEAST and score > best.get((d, i), (0,))[0]:
@@ -200,35 +212,6 @@ def _blocks(benchmark, item_id, text):
         yield [r.item_id for r in rows], [r.text for r in rows]
 
 
-def _limited(source, ids, texts):
-    """A broadcast of a block's Seeds, limited by their document frequencies over all rows of source, a column of texts."""
-    context = source.sparkSession.sparkContext
-    seeds = Seeds(ids, texts)
-    shared, name = context.broadcast(seeds), source.columns[0]
-
-    def count(batches):
-        seeds, docs = shared.value, 0
-        found = np.zeros(len(seeds.keys), np.int64)
-        for batch in batches:
-            docs += batch.num_rows
-            for part in W.slices(batch, name):
-                w = split(part.column(name))
-                at, k = seeds.hits(w)
-                own = np.unique(w.doc[at].astype(np.int64) * len(seeds.keys) + k)
-                found += np.bincount(own % max(1, len(seeds.keys)), minlength=len(seeds.keys))
-        k = np.flatnonzero(found)
-        yield pa.RecordBatch.from_pydict({"k": pa.array([-1, *k], pa.int64()), "n": pa.array([docs, *found[k]], pa.int64())})
-
-    frequency, total = np.zeros(len(seeds.keys), np.int64), 0
-    for k, n in source.mapInArrow(count, "k long, n long").groupBy("k").sum("n").collect():
-        if k < 0:
-            total = n
-        else:
-            frequency[k] = n
-    seeds.limit(frequency, total)
-    return context.broadcast(seeds)
-
-
 def pairs(docs, benchmark, keep=("doc_id",), text="text", item_id="item_id", item_text="text"):
     """The columns `keep` of docs with item_id, score, start and end: one row for each document and item that it contains."""
     spark = docs.sparkSession
@@ -239,7 +222,7 @@ def pairs(docs, benchmark, keep=("doc_id",), text="text", item_id="item_id", ite
     out = spark.createDataFrame([], kinds)
     for ids, texts in _blocks(benchmark, item_id, item_text):
 
-        def match(batches, shared=_limited(source.select(text), ids, texts)):
+        def match(batches, shared=spark.sparkContext.broadcast(Seeds(ids, texts))):
             seeds = shared.value
             for batch in batches:
                 for part in W.slices(batch, text):
@@ -258,10 +241,10 @@ def pairs(docs, benchmark, keep=("doc_id",), text="text", item_id="item_id", ite
 def drop_contaminated(docs, benchmark, text="text", item_id="item_id", item_text="text"):
     """The rows of docs that contain no item, with their columns; rows stay where they are, none is exchanged."""
     small_batches(docs.sparkSession)
-    source, out = docs.select(text), docs
+    context, out = docs.sparkSession.sparkContext, docs
     for ids, texts in _blocks(benchmark, item_id, item_text):
 
-        def clean(batches, shared=_limited(source, ids, texts)):
+        def clean(batches, shared=context.broadcast(Seeds(ids, texts))):
             for batch in batches:
                 for part in W.slices(batch, text):
                     keep = np.ones(part.num_rows, bool)

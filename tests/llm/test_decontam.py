@@ -66,3 +66,36 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 150)
     assert {tuple(r) for r in decontam.pairs(df, bench).collect()} == one
     assert decontam.pairs(df.limit(0), bench).count() == 0 and decontam.pairs(df, bench.limit(0)).count() == 0
+
+
+def edited(rng, item, every=9):
+    """item with every ninth word changed, which leaves about two thirds of its 3-grams."""
+    return [f"new{rng.random()}" if k % every == every - 1 else w for k, w in enumerate(item)]
+
+
+def test_edited_copy_in_a_tiny_table(spark):
+    rng = random.Random(6)
+    item = [f"w{i}" for i in range(40)]
+    docs = [(0, " ".join(["a", "b", *edited(rng, item), "c"])), (1, "nothing of it"), (2, " ".join(f"v{i}" for i in range(60)))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.pairs(df, bench).collect()] == [(0, 5)]
+    assert {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()} == {1, 2}
+
+
+def test_edited_copy_in_a_third_of_all_rows(spark):
+    rng = random.Random(7)
+    item = [f"w{i}" for i in range(40)]
+    passage = edited(rng, item)
+    docs = [(d, " ".join([f"v{rng.randrange(500)}" for _ in range(30)] + (passage if d % 3 == 0 else []))) for d in range(300)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.pairs(df, bench).collect()} == set(range(0, 300, 3))
+
+
+def test_no_alignment_scores_over_the_bound():
+    rng = random.Random(8)
+    a = [[rng.randint(2, 9) for _ in range(rng.randint(1, 12))] for _ in range(80)]
+    b = [[rng.randint(2, 9) for _ in range(rng.randint(1, 25))] for _ in range(80)]
+    most = decontam.bound([np.array(x, np.uint64) for x in a], [np.array(x, np.uint64) for x in b])
+    assert all(brute(x, y) <= m for x, y, m in zip(a, b, most.tolist()))
+    own = [np.array(x, np.uint64) for x in a]
+    assert decontam.bound(own, own).tolist() == [2 * len(x) for x in a]
