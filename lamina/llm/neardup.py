@@ -36,6 +36,8 @@ SIZE, LEAST = 5, 0.8
 #: no band in about 1 of 500 cases, and unlike texts that share a passage rarely share one.
 SAMPLES, ROWS, DEALS = 40, 5, 4
 BUCKETS = 1 << 18
+#: Texts of a block of a large bucket; rows of blocks, and pairs of texts, that are worked on at a time.
+BLOCK, CHUNK, PAIRS = 256, 20_000, 100_000
 #: Hubs of a bucket in a round after the first. Rounds end with one that adds no more than a STOP-th of all links,
 #: which is about the share that sampling misses in any case.
 HUBS, STOP = 3, 200
@@ -158,6 +160,63 @@ def similarities(left, right, idf):
     return np.maximum(share(w), share(np.ones(len(w))))
 
 
+def pairs_within(blocks):
+    """(a, b, same) of each pair of texts that share a block, are of different roots and agree in `same` samples, AGREE at
+    least; once a pair, in the first band that it shares. blocks: (band, k, low, high, block, uid, root, sig), k the number of
+    the band; of a block with low <> high only pairs across both."""
+    key = ["band", "low", "high"]
+
+    def found(t):
+        column = lambda c: t.column(c).to_numpy()
+        band, k, low, high, block, uid, root = map(column, ("band", "k", "low", "high", "block", "uid", "root"))
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+        new = np.append(True, (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+        group = np.cumsum(new)
+        left = np.arange(len(group))
+        for step in range(1, len(group)):
+            left = left[: np.searchsorted(left, len(group) - step)]
+            left = left[group[left] == group[left + step]]  # a group too short for this step is too short for the next
+            if not len(left):
+                return
+            i = left[(root[left] != root[left + step]) & ((low[left] == high[left]) | (block[left] != block[left + step]))]
+            for i in np.array_split(i, 1 + len(i) // PAIRS):
+                j = i + step
+                same = sig[i] == sig[j]
+                count = same.sum(1)
+                i, j, same, count = (x[count >= AGREE] for x in (i, j, same, count))
+                first = same[:, BANDS].all(2).argmax(1) == k[i]
+                a, b = np.maximum(uid[i], uid[j])[first], np.minimum(uid[i], uid[j])[first]
+                if len(a):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(count[first], pa.int32())})
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            if rest.num_rows >= CHUNK:
+                last = [rest.column(c).to_numpy() == rest.column(c)[-1].as_py() for c in key]
+                cut = int(np.argmax(last[0] & last[1] & last[2]))  # the last block may go on in the next batch
+                if cut:
+                    yield from found(rest.slice(0, cut))
+                    rest = rest.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from found(rest)
+
+    return blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, same int")
+
+
+def candidates(members, rooted):
+    """(a, b, same) of all pairs of texts that share a bucket, have different roots and agree in AGREE samples. A large bucket
+    is cut into blocks, each pair of which is worked on by itself, so no task gets a bucket whole."""
+    placed = members.join(small(rooted), "uid", "left").select("band", "k", "uid", "sig", F.coalesce("root", "uid").alias("root"))
+    mixed = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    mixed = materialize(members.sparkSession, mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    own = placed.join(small(mixed), "band").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return pairs_within(own.select("band", "k", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "uid", "root", "sig"))
+
+
 def document_frequencies(texts):
     """The idf table over all rows of a one-column frame. The driver gets BUCKETS counts at most."""
 
@@ -252,12 +311,12 @@ def classes(docs, keep="doc_id", text="text", least=LEAST):
     signed = materialize(spark, signatures(keyed, idf), "signatures")
     unique = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"))
     unique = materialize(spark, unique.withColumn("uid", F.monotonically_increasing_id()), "texts")
-    rows = unique.where("sig IS NOT NULL").select("uid", F.explode(bands()).alias("band"))
+    rows = unique.where("sig IS NOT NULL").select("uid", F.posexplode(bands()).alias("k", "band"))
     sizes = materialize(spark, rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # read anew, so that a large bucket can be split in joins
     placed = materialize(spark, rows.join(small(sizes), "band"), "buckets")
     score = placed.groupBy("uid").agg(F.sum("n").alias("score"))
     score = materialize(spark, score.join(unique.select("uid", "sig"), "uid"), "scores")
-    members = materialize(spark, placed.select("uid", "band").join(small(score), "uid"), "members")
+    members = materialize(spark, placed.select("uid", "k", "band").join(small(score), "uid"), "members")
     of_hub, size = score.select(F.col("uid").alias("hub"), F.col("sig").alias("hub_sig")), members.count()
     hubs = members.groupBy("band").agg(F.max(F.struct("score", "uid")).alias("x")).select("band", F.col("x.score").alias("hub_score"), F.col("x.uid").alias("hub"))
     hubs = materialize(spark, hubs.join(small(of_hub), "hub"), "hubs", size)
@@ -285,6 +344,21 @@ def classes(docs, keep="doc_id", text="text", least=LEAST):
             break
         tested = materialize(spark, tested.union(pairs), "pairs", turn * HUBS * size)
 
+    tested = tested.union(pairs)
+    left = materialize(spark, candidates(members, rooted).join(small(tested), ["a", "b"], "left_anti"), "candidates")
+    for best in (True, True, False):  # a link of two classes spares their other pairs, so the most alike pair goes first; at last all
+        of = lambda end: small(rooted.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}")))
+        open_ = left.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+        left = materialize(spark, open_.where("root_a <> root_b"), "candidates")
+        now = left
+        if best:
+            now = left.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b")
+        now = materialize(spark, now.select("a", "b"), "pairs")
+        new = materialize(spark, verified(now, texts, idf, least), "links")
+        if new.limit(1).count():
+            rooted = joined(rooted, new)
+        left = left.join(small(now), ["a", "b"], "left_anti").select("a", "b", "same")
+
     whole = unique.join(small(rooted), "uid", "left").select("key", "doc_id", F.coalesce("root", "uid").alias("class_key"))
     ids = whole.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
     return signed.select("doc_id", "key"), materialize(spark, whole.join(ids, "class_key").select("key", "doc_id", "class_key", "class_id"), "classes")

@@ -109,3 +109,47 @@ def test_classes_equal_brute_force(spark):
     least = {r.class_id for r in out}
     assert Counter(r.doc_id for r in kept) == Counter(least)
     assert nd.near_duplicates(df.limit(0)).count() == 0
+
+
+def passages(pairs=60, seed=3):
+    """Texts of one common passage, all alike by about 0.75, and in couples (2k, 2k + 1) by more than 0.8."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(40)]  # in every text, so that weights are all but equal
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passage, texts = say(240), []
+    for _ in range(pairs):
+        own = say(40)
+        texts += [passage + own, passage + own[:14] + say(26)]
+    return [" ".join(t) for t in texts]
+
+
+def couples_apart(rows):
+    of = {r.doc_id: r.class_key for r in rows}
+    return [k for k in range(0, 2 * (max(d for d in of if d < 1000) // 2) + 1, 2) if of[k] != of[k + 1]]
+
+
+def test_couples_among_texts_that_share_a_passage(spark):
+    texts = passages()
+    frequency = np.zeros(nd.BUCKETS, np.int64)
+    nd.count_documents(pa.array(texts), frequency)
+    idf = nd.idf_of(frequency, len(texts))
+    assert nd.similarities(pa.array(texts[::2]), pa.array(texts[1::2]), idf).min() >= nd.LEAST
+    assert nd.similarities(pa.array(texts[:-2]), pa.array(texts[2:]), idf).max() < nd.LEAST
+    got = nd.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert couples_apart(got) == [] and len({r.class_key for r in got}) == len(texts) // 2
+
+
+def test_pairs_of_blocks_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 7)
+    monkeypatch.setattr(nd, "CHUNK", 50)
+    texts = passages(20)
+    idf = nd.idf_of(np.zeros(nd.BUCKETS, np.int64), 1)
+    sig = nd.samples(*nd.shingles(pa.array(texts), idf), len(texts)).view(np.int32)
+    of = [{(k, tuple(s[band])) for k, band in enumerate(nd.BANDS)} for s in sig]
+    want = {(a, b): int((sig[a] == sig[b]).sum()) for a in range(len(sig)) for b in range(a) if of[a] & of[b] and a // 3 != b // 3}
+    rows = spark.createDataFrame([(u, s.tolist()) for u, s in enumerate(sig)], "uid long, sig array<int>")
+    members = rows.select("uid", "sig", nd.F.posexplode(nd.bands()).alias("k", "band"))
+    rooted = spark.createDataFrame([(u, u - u % 3) for u in range(len(sig))], "uid long, root long")
+    got = nd.candidates(members, rooted).collect()
+    assert len(got) == len({(r.a, r.b) for r in got})
+    assert {(r.a, r.b): r.same for r in got} == {k: n for k, n in want.items() if n >= nd.AGREE}
