@@ -7,14 +7,14 @@ samples draws one shingle with probability in proportion to its weight, consiste
 two texts agree in a sample with the probability of their weighted Jaccard similarity. Texts equal in
 all samples of a band are candidates.
 
-Equal texts are one candidate. Within a bucket of candidates only stars are compared: texts with
+Equal texts are one candidate. Within a bucket of candidates stars come first: texts with
 the bucket's hub, by the exact Jaccard similarity of their shingles (weighted or, if that is
 larger, of the bare sets: weights must not part texts that plain shingles hold together). The hub is the text
 that shares buckets with most others, which in a group of copies is about the one that they were made from. First
 every text meets the best hub of its buckets; then, in buckets whose texts are not yet in one class,
-those of other classes meet HUBS other hubs of the bucket, round after round, until a round finds next to no
-new link. Only pairs that agree in AGREE samples are compared in full. So work
-follows the rows of a bucket, not their pairs. Classes are connected components, found by passing the
+those of other classes meet the bucket's hub. Stars only spare pairs: at last, in buckets whose texts are still not in one
+class, all pairs of different classes are compared, in blocks of BLOCK texts by BLOCK. Only pairs that agree in AGREE samples are compared in full. Work
+follows the rows of a bucket if its texts are of one class, and their pairs if they are not. Classes are connected components, found by passing the
 least label along links in joins; nothing but counts comes to the driver.
 
 Edge cases: a null text is a class by itself; equal texts (the empty one too) are always one class; a
@@ -38,9 +38,6 @@ SAMPLES, ROWS, DEALS = 40, 5, 4
 BUCKETS = 1 << 18
 #: Texts of a block of a large bucket; rows of blocks, and pairs of texts, that are worked on at a time.
 BLOCK, CHUNK, PAIRS = 256, 20_000, 100_000
-#: Hubs of a bucket in a round after the first. Rounds end with one that adds no more than a STOP-th of all links,
-#: which is about the share that sampling misses in any case.
-HUBS, STOP = 3, 200
 #: Samples in which two texts must agree before they are compared: those of similarity 0.8 do (32 of 40, give or take 2.5) but in 1 of 300 cases.
 AGREE = 25
 #: Bytes of text worked on at a time, so that arrays stay in the processor's cache.
@@ -327,22 +324,14 @@ def classes(docs, keep="doc_id", text="text", least=LEAST):
 
     tested = materialize(spark, first.select(F.greatest("uid", "hub").alias("a"), F.least("uid", "hub").alias("b")).distinct(), "pairs", size)
     links = materialize(spark, verified(tested, texts, idf, least), "links")
-    rooted, turn, total = components(links), 0, links.count()
-    while True:
-        placed = members.join(small(rooted), "uid", "left").select("band", "uid", "score", "sig", F.coalesce("root", "uid").alias("root"))
-        orders = [F.col("score")] if turn == 0 else [F.xxhash64("uid", F.lit(turn), F.lit(i)) for i in range(HUBS)]
-        hubs = F.array_distinct(F.transform(F.array(*(F.max(F.struct(o.alias("o"), "uid", "root")) for o in orders)), lambda x: F.struct(x["uid"].alias("hub"), x["root"].alias("hub_root"))))
-        mixed = placed.groupBy("band").agg(hubs.alias("hubs"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        mixed = materialize(spark, mixed.select("band", F.explode("hubs").alias("x")).select("band", "x.*").join(small(of_hub), "hub"), "hubs", size)
-        pairs = placed.join(small(mixed), "band").where((F.col("root") != F.col("hub_root")) & agree("sig", "hub_sig")).select(F.greatest("uid", "hub").alias("a"), F.least("uid", "hub").alias("b")).distinct()
-        pairs = materialize(spark, pairs.join(small(tested), ["a", "b"], "left_anti"), "pairs", size)
-        new = materialize(spark, verified(pairs, texts, idf, least), "links")
-        found, turn = new.count(), turn + 1
-        if found:
-            rooted, total = joined(rooted, new), total + found
-        if turn > 1 and found * STOP <= total:
-            break
-        tested = materialize(spark, tested.union(pairs), "pairs", turn * HUBS * size)
+    rooted = components(links)
+    roots = members.join(small(rooted), "uid", "left").select("band", "uid", "sig", F.coalesce("root", "uid").alias("root"))
+    mixed = roots.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    mixed = hubs.select("band", "hub", "hub_sig").join(small(mixed), "band").join(small(rooted.select(F.col("uid").alias("hub"), F.col("root").alias("hub_root"))), "hub", "left")
+    mixed = materialize(spark, mixed.withColumn("hub_root", F.coalesce("hub_root", "hub")), "hubs", size)
+    pairs = roots.join(small(mixed), "band").where((F.col("root") != F.col("hub_root")) & agree("sig", "hub_sig")).select(F.greatest("uid", "hub").alias("a"), F.least("uid", "hub").alias("b")).distinct()
+    pairs = materialize(spark, pairs.join(small(tested), ["a", "b"], "left_anti"), "pairs", size)
+    rooted = joined(rooted, materialize(spark, verified(pairs, texts, idf, least), "links"))
 
     tested = tested.union(pairs)
     left = materialize(spark, candidates(members, rooted).join(small(tested), ["a", "b"], "left_anti"), "candidates")

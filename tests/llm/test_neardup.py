@@ -153,3 +153,12 @@ def test_pairs_of_blocks_are_all_pairs(spark, monkeypatch):
     got = nd.candidates(members, rooted).collect()
     assert len(got) == len({(r.a, r.b) for r in got})
     assert {(r.a, r.b): r.same for r in got} == {k: n for k, n in want.items() if n >= nd.AGREE}
+
+
+def test_couples_are_found_beside_a_hot_group(spark):
+    rng = random.Random(11)
+    base = [f"h{i}" for i in range(150)]
+    hot = [" ".join(base[:k] + [f"x{rng.random()}"] + base[k + 1 :]) for k in range(150) for _ in range(4)]  # many links of no concern to others
+    rows = list(enumerate(passages(100, seed=5))) + [(1000 + k, t) for k, t in enumerate(hot)]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert couples_apart(got) == [] and len({r.class_key for r in got if r.doc_id >= 1000}) == 1
