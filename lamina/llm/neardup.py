@@ -7,15 +7,13 @@ samples draws one shingle with probability in proportion to its weight, consiste
 two texts agree in a sample with the probability of their weighted Jaccard similarity. Texts equal in
 all samples of a band are candidates.
 
-Equal texts are one candidate. Within a bucket of candidates stars come first: texts with
-the bucket's hub, by the exact Jaccard similarity of their shingles (weighted or, if that is
-larger, of the bare sets: weights must not part texts that plain shingles hold together). The hub is the text
-that shares buckets with most others, which in a group of copies is about the one that they were made from. First
-every text meets the best hub of its buckets; then, in buckets whose texts are not yet in one class,
-those of other classes meet the bucket's hub. Stars only spare pairs: at last, in buckets whose texts are still not in one
-class, all pairs of different classes are compared, in blocks of BLOCK texts by BLOCK. Only pairs that agree in AGREE samples are compared in full. Work
-follows the rows of a bucket if its texts are of one class, and their pairs if they are not. Classes are connected components, found by passing the
-least label along links in joins; nothing but counts comes to the driver.
+Equal texts are one candidate, and of buckets with the same texts one is kept. Two rounds compare texts by the exact weighted
+Jaccard similarity of their shingles. The first gathers classes: every text is compared within a block of the largest and of
+the smallest of its buckets. The second is complete: in every bucket whose texts are not yet of one class, all pairs
+of texts of different classes are compared. A cell of the second round is a block of texts outside the bucket's largest class and
+any other block, so the work follows the rows of a bucket times the texts that are not of its largest class. Nothing is sieved
+or left out: the classes are the components of all pairs that share a bucket and have a similarity of LEAST or more, whatever
+the order of rows. They are found by passing the least label along links in joins; nothing but counts comes to the driver.
 
 Edge cases: a null text is a class by itself; equal texts (the empty one too) are always one class; a
 text of fewer than SIZE words has one shingle, of all its words; texts without words are alike only if
@@ -36,10 +34,8 @@ SIZE, LEAST = 5, 0.8
 #: no band in about 1 of 500 cases, and unlike texts that share a passage rarely share one.
 SAMPLES, ROWS, DEALS = 40, 5, 4
 BUCKETS = 1 << 18
-#: Texts of a block of a large bucket; rows of blocks, and pairs of texts, that are worked on at a time.
-BLOCK, CHUNK, PAIRS = 256, 20_000, 100_000
-#: Samples in which two texts must agree before they are compared: those of similarity 0.8 do (32 of 40, give or take 2.5) but in 1 of 300 cases.
-AGREE = 25
+#: Texts, and bytes of text, of a block of a large bucket; bytes of text that a task compares at a time.
+BLOCK, BLOCK_BYTES, CHUNK = 256, 4 << 20, 4 << 20
 #: Bytes of text worked on at a time, so that arrays stay in the processor's cache.
 SLICE = 1 << 18
 #: Quantiles of a distribution that random numbers are taken from.
@@ -88,18 +84,19 @@ def idf_of(frequency, docs):
 def shingles(texts, idf):
     """(text, shingle hash, weight) of each distinct shingle of each text, by text; and which texts have any."""
     w = split(texts)
-    per = np.concatenate([[0.0], np.cumsum(idf[_bucket(w.hash)], dtype=np.float64)])
+    per = idf[_bucket(w.hash)].astype(np.float64)
     at, h = W.windows(w.hash, w.doc, SIZE)
-    mean = (per[at + SIZE] - per[at]) / SIZE
+    mean = sum(per[at + k] for k in range(SIZE)) / SIZE
     few = np.flatnonzero((w.count > 0) & (w.count < SIZE))
     if len(few):
         first = (np.cumsum(w.count) - w.count)[few]
-        s = np.zeros(len(few), U)
+        s, total = np.zeros(len(few), U), np.zeros(len(few))
         for k in range(SIZE - 1):
             more = w.count[few] > k
             s[more] = s[more] * U(0xD6E8FEB86659FD93) + w.hash[first[more] + k]
+            total[more] += per[first[more] + k]
         at, h = np.concatenate([at, first]), np.concatenate([h, W.mix(s + w.count[few].astype(U))])
-        mean = np.concatenate([mean, (per[first + w.count[few]] - per[first]) / w.count[few]])
+        mean = np.concatenate([mean, total / w.count[few]])
     doc = w.doc[at]
     order = np.lexsort((h, doc))
     doc, h, mean = doc[order], h[order], mean[order]
@@ -136,82 +133,143 @@ def bands(sig="sig"):
     return F.array(*(F.xxhash64(F.lit(k), *(F.col(sig)[int(i)] for i in band)) for k, band in enumerate(BANDS)))
 
 
-def agree(a, b):
-    """A Column: whether two arrays of samples agree in AGREE places."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
-
-
-def similarities(left, right, idf):
-    """The exact Jaccard similarity of each pair of texts, weighted or not, whichever is larger; 0 where neither has a shingle."""
-    n = len(left)
-    (d1, h1, w1), (d2, h2, w2) = shingles(left, idf), shingles(right, idf)
-    doc, h, w = np.concatenate([d1, d2]), np.concatenate([h1, h2]), np.concatenate([w1, w2])
-    order = np.lexsort((h, doc))
-    doc, h, w = doc[order], h[order], w[order]
-    same = np.flatnonzero((doc[1:] == doc[:-1]) & (h[1:] == h[:-1]))
-
-    def share(weights):
-        both = np.bincount(doc[same], np.minimum(weights[same], weights[same + 1]), n)
-        return both / np.maximum(np.bincount(doc, weights, n) - both, 1e-300)
-
-    return np.maximum(share(w), share(np.ones(len(w))))
+def linked(cell, root, doc, h, weight, least=LEAST):
+    """Pairs (i, j) of texts that join all the classes which links (similarity of at least `least`) make of the texts of each cell.
+
+    cell, root: of each text, those of a cell together; texts of one root are one class already. doc, h, weight: their shingles.
+    Text by text is compared with its whole cell by exact weighted Jaccard similarity, one text of every cell at a time. A text
+    is passed over only while it is of its cell's largest class: of two texts that end up in different classes one at least has
+    been compared with all others, so no link between classes is lost.
+    """
+    n = len(cell)
+    _, label = np.unique(np.stack([cell, root]), axis=1, return_inverse=True)
+    label = np.unique(label.ravel(), return_index=True)[1][label.ravel()]  # a class is named by its first text
+    own = np.bincount(doc, weight, n)
+    _, rank = np.unique(W.mix(h ^ W.mix(cell[doc].astype(U))), return_inverse=True)
+    dense = np.zeros(int(rank.max()) + 1 if len(rank) else 1)
+    done, texts = np.bincount(doc, minlength=n) == 0, np.arange(n)
+    found = []
+    while True:
+        size = np.bincount(label, minlength=n)[label[texts]]
+        first = np.flatnonzero(np.append(True, cell[texts][1:] != cell[texts][:-1])) if len(texts) else texts
+        top = np.maximum.reduceat(size * n + label[texts], first) % n if len(texts) else texts
+        per = np.diff(np.append(first, len(texts)))
+        open_ = ~done[texts] & (label[texts] != np.repeat(top, per))
+        left = np.add.reduceat(open_, first) > 0 if len(texts) else open_
+        if not left.any():
+            return np.array([x for i, _ in found for x in i], np.int64), np.array([x for _, j in found for x in j], np.int64)
+        if left.sum() < 0.7 * len(left):  # cells that are done are left out from here on
+            keep = np.zeros(n, bool)
+            keep[texts[np.repeat(left, per)]] = True
+            texts, some = np.flatnonzero(keep), keep[doc]
+            doc, rank, weight = doc[some], rank[some], weight[some]
+            continue
+        at = np.flatnonzero(open_)
+        at = at[np.append(True, np.searchsorted(first, at[1:], "right") != np.searchsorted(first, at[:-1], "right"))]
+        chosen = texts[at]
+        done[chosen] = True
+        of = np.full(n, -1)  # the text that each text is compared with
+        of[texts] = np.repeat(_spread(chosen, np.searchsorted(first, at, "right") - 1, len(first)), per)
+        mine = np.zeros(n, bool)
+        mine[chosen] = True
+        mine = mine[doc]
+        dense[rank[mine]] = weight[mine]
+        start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        both = np.add.reduceat(np.minimum(weight, dense[rank]), start)
+        dense[rank[mine]] = 0
+        j = doc[start]
+        i = of[j]
+        alike = (i >= 0) & (both >= (least - 1e-9) * (own[j] + own[i] - both))
+        i, j = i[alike], j[alike]
+        new = label[i] != label[j]
+        i, j = i[new], j[new]
+        _, one = np.unique(label[j], return_index=True)
+        found.append((i[one].tolist(), j[one].tolist()))
+        to = np.arange(n)
+        to[label[j]] = label[i]
+        label = to[label]
+
+
+def _spread(values, places, n):
+    out = np.full(n, -1)
+    out[places] = values
+    return out
 
 
-def pairs_within(blocks):
-    """(a, b, same) of each pair of texts that share a block, are of different roots and agree in `same` samples, AGREE at
-    least; once a pair, in the first band that it shares. blocks: (band, k, low, high, block, uid, root, sig), k the number of
-    the band; of a block with low <> high only pairs across both."""
+def links_within(cells, idf, least=LEAST):
+    """The links (a, b) by linked() of the texts of each cell; cells: (band, low, high, uid, root, text), a text once a cell."""
     key = ["band", "low", "high"]
+    shared = cells.sparkSession.sparkContext.broadcast(idf)
 
     def found(t):
-        column = lambda c: t.column(c).to_numpy()
-        band, k, low, high, block, uid, root = map(column, ("band", "k", "low", "high", "block", "uid", "root"))
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
-        new = np.append(True, (band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-        group = np.cumsum(new)
-        left = np.arange(len(group))
-        for step in range(1, len(group)):
-            left = left[: np.searchsorted(left, len(group) - step)]
-            left = left[group[left] == group[left + step]]  # a group too short for this step is too short for the next
-            if not len(left):
-                return
-            i = left[(root[left] != root[left + step]) & ((low[left] == high[left]) | (block[left] != block[left + step]))]
-            for i in np.array_split(i, 1 + len(i) // PAIRS):
-                j = i + step
-                same = sig[i] == sig[j]
-                count = same.sum(1)
-                i, j, same, count = (x[count >= AGREE] for x in (i, j, same, count))
-                first = same[:, BANDS].all(2).argmax(1) == k[i]
-                a, b = np.maximum(uid[i], uid[j])[first], np.minimum(uid[i], uid[j])[first]
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "same": pa.array(count[first], pa.int32())})
+        columns = [t.column(c).to_numpy() for c in key]
+        new = np.append(False, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        parts = []
+        for part in W.slices(t.combine_chunks().to_batches()[0], most=SLICE):
+            doc, h, w = shingles(part.column("text"), shared.value)
+            parts.append((doc + sum(len(p[3]) for p in parts), h, w, range(part.num_rows)))
+        doc, h, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        i, j = linked(np.cumsum(new), t.column("root").to_numpy(), doc, h, w, least)
+        uid = t.column("uid").to_numpy()
+        if len(i):
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(uid[i], uid[j])), "b": pa.array(np.minimum(uid[i], uid[j]))})
 
     def run(batches):
-        rest = None
+        rest, size = [], 0
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows >= CHUNK:
-                last = [rest.column(c).to_numpy() == rest.column(c)[-1].as_py() for c in key]
-                cut = int(np.argmax(last[0] & last[1] & last[2]))  # the last block may go on in the next batch
-                if cut:
-                    yield from found(rest.slice(0, cut))
-                    rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from found(rest)
-
-    return blocks.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, same int")
-
-
-def candidates(members, rooted):
-    """(a, b, same) of all pairs of texts that share a bucket, have different roots and agree in AGREE samples. A large bucket
-    is cut into blocks, each pair of which is worked on by itself, so no task gets a bucket whole."""
-    placed = members.join(small(rooted), "uid", "left").select("band", "k", "uid", "sig", F.coalesce("root", "uid").alias("root"))
-    mixed = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = materialize(members.sparkSession, mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    own = placed.join(small(mixed), "band").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return pairs_within(own.select("band", "k", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "uid", "root", "sig"))
+            for part in W.slices(batch, most=CHUNK):
+                rest.append(part)
+                size += part.column("text").nbytes
+                if size >= CHUNK:
+                    t = pa.Table.from_batches(rest)
+                    same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in key])
+                    cut = int(np.argmax(same))  # the last cell may go on in the next batch
+                    if cut:
+                        yield from found(t.slice(0, cut))
+                    rest = t.slice(cut).combine_chunks().to_batches()
+                    size = 0 if cut else size
+        if rest:
+            yield from found(pa.Table.from_batches(rest))
+
+    return cells.repartition(*key).sortWithinPartitions(*key, "uid").mapInArrow(run, "a long, b long")
+
+
+def first_cells(placed):
+    """Cells of the first links: every text in the largest and in the smallest of its buckets, and these cut into blocks."""
+    spark = placed.sparkSession
+    two = placed.groupBy("uid").agg(F.max(F.struct("n", "band")).alias("x"), F.min(F.struct("n", "band")).alias("y"), F.first("bytes").alias("bytes"))
+    two = materialize(spark, two.select("uid", "bytes", F.explode(F.array_distinct(F.array("x.band", "y.band"))).alias("band")), "chosen")
+    blocks = materialize(spark, two.groupBy("band").agg(_blocks(F.count("*"), F.sum("bytes")).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n"), "blocks")
+    place = F.pmod(F.xxhash64("uid"), "blocks").cast("int")
+    return two.join(small(blocks), "band").select("uid", F.col("uid").alias("root"), F.array(F.struct("band", place.alias("low"), place.alias("high"))).alias("cells"))
+
+
+def _blocks(rows, size):
+    return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def last_cells(placed, rooted):
+    """Cells that hold every pair of texts which share a bucket and have different roots. In each bucket the texts that are not
+    of its largest class are cut into blocks, and so are the others; a cell is two blocks, of which the first is of the former."""
+    spark = placed.sparkSession
+    roots = placed.join(small(rooted), "uid", "left").select("band", "uid", "bytes", F.coalesce("root", "uid").alias("root"))
+    per = roots.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    per = per.groupBy("band").agg(F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = per.select("band", F.col("top.root").alias("top"), _blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("few"), _blocks(F.col("top.n"), F.col("top.bytes")).alias("many"))
+    mixed = materialize(spark, mixed, "mixed")
+    own = roots.join(small(mixed), "band")
+    rest, place = F.col("root") != F.col("top"), lambda n: F.pmod(F.xxhash64("uid"), n).cast("int")
+    cell = lambda low, high: F.struct(F.col("band"), low.alias("low"), high.alias("high"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # the blocks of the largest class are numbered after those of the rest
+    of_rest = F.concat(F.transform(upto("many"), lambda k: cell(place("few"), F.col("few") + k)), F.transform(F.filter(upto("few"), lambda k: k != place("few")), lambda k: cell(F.least(k, place("few")), F.greatest(k, place("few")))))
+    of_top = F.transform(upto("few"), lambda k: cell(k, F.col("few") + place("many")))
+    return own.select("uid", "root", F.when(rest, of_rest).otherwise(of_top).alias("cells"))
+
+
+def with_texts(cells, texts):
+    """Rows for links_within() from (uid, root, cells) and the texts (uid, text)."""
+    return cells.join(texts, "uid").select("uid", "root", "text", F.explode("cells").alias("c")).select("c.*", "uid", "root", "text")
 
 
 def document_frequencies(texts):
@@ -255,22 +313,6 @@ def signatures(keyed, idf):
     return keyed.mapInArrow(run, kinds + "sig array<int>")
 
 
-def verified(pairs, texts, idf, least=LEAST):
-    """The pairs (a, b) whose texts are alike. texts: (uid, text), one row for each uid."""
-    spark = pairs.sparkSession
-    shared = spark.sparkContext.broadcast(idf)
-    one = texts.select(F.col("uid").alias("a"), F.col("text").alias("left")).join(small(pairs), "a")
-    two = one.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("right")), "b")
-
-    def run(batches):
-        for batch in batches:
-            for part in W.slices(batch, "left", SLICE):
-                alike = similarities(part.column("left"), part.column("right"), shared.value) >= least
-                yield part.select(["a", "b"]).filter(pa.array(alike))
-
-    return two.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
-
-
 def components(links):
     """(uid, root) of every end of the links (a, b): the least uid that it is linked to, over any number of links."""
     spark = links.sparkSession
@@ -303,50 +345,27 @@ def classes(docs, keep="doc_id", text="text", least=LEAST):
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(keep).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    keyed = own.where("text IS NOT NULL").select("doc_id", F.md5("text").alias("key"), "text")
+    keyed = own.where("text IS NOT NULL").select("doc_id", F.md5("text").alias("key"), F.octet_length("text").cast("long").alias("bytes"), "text")
     idf = document_frequencies(own.select("text"))
     signed = materialize(spark, signatures(keyed, idf), "signatures")
-    unique = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"))
+    unique = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"), F.any_value("bytes").alias("bytes"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unique = unique.repartition(parts, "key").sortWithinPartitions("key")  # so that a text gets the same uid in every run
     unique = materialize(spark, unique.withColumn("uid", F.monotonically_increasing_id()), "texts")
-    rows = unique.where("sig IS NOT NULL").select("uid", F.posexplode(bands()).alias("k", "band"))
-    sizes = materialize(spark, rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "sizes")  # read anew, so that a large bucket can be split in joins
+
+    rows = unique.where("sig IS NOT NULL").select("uid", "bytes", F.explode(bands()).alias("band"))
+    mark = F.xxhash64("uid")
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y")).where("n > 1")
+    sizes = materialize(spark, sizes.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n"), "sizes")  # of buckets with the same texts one does
     placed = materialize(spark, rows.join(small(sizes), "band"), "buckets")
-    score = placed.groupBy("uid").agg(F.sum("n").alias("score"))
-    score = materialize(spark, score.join(unique.select("uid", "sig"), "uid"), "scores")
-    members = materialize(spark, placed.select("uid", "k", "band").join(small(score), "uid"), "members")
-    of_hub, size = score.select(F.col("uid").alias("hub"), F.col("sig").alias("hub_sig")), members.count()
-    hubs = members.groupBy("band").agg(F.max(F.struct("score", "uid")).alias("x")).select("band", F.col("x.score").alias("hub_score"), F.col("x.uid").alias("hub"))
-    hubs = materialize(spark, hubs.join(small(of_hub), "hub"), "hubs", size)
-    first = members.join(small(hubs), "band").where((F.col("uid") != F.col("hub")) & agree("sig", "hub_sig"))
-    first = first.groupBy("uid").agg(F.max(F.struct("hub_score", "hub")).alias("x")).select("uid", "x.hub")
-    some = materialize(spark, unique.select("key", "uid").join(small(score.select("uid")), "uid"), "keys")
+    some = materialize(spark, unique.select("key", "uid").join(small(placed.select("uid").distinct()), "uid"), "keys")
     texts = materialize(spark, keyed.select("key", "text").join(small(some), "key").groupBy("uid").agg(F.any_value("text").alias("text")), "candidates")
 
-    tested = materialize(spark, first.select(F.greatest("uid", "hub").alias("a"), F.least("uid", "hub").alias("b")).distinct(), "pairs", size)
-    links = materialize(spark, verified(tested, texts, idf, least), "links")
-    rooted = components(links)
-    roots = members.join(small(rooted), "uid", "left").select("band", "uid", "sig", F.coalesce("root", "uid").alias("root"))
-    mixed = roots.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    mixed = hubs.select("band", "hub", "hub_sig").join(small(mixed), "band").join(small(rooted.select(F.col("uid").alias("hub"), F.col("root").alias("hub_root"))), "hub", "left")
-    mixed = materialize(spark, mixed.withColumn("hub_root", F.coalesce("hub_root", "hub")), "hubs", size)
-    pairs = roots.join(small(mixed), "band").where((F.col("root") != F.col("hub_root")) & agree("sig", "hub_sig")).select(F.greatest("uid", "hub").alias("a"), F.least("uid", "hub").alias("b")).distinct()
-    pairs = materialize(spark, pairs.join(small(tested), ["a", "b"], "left_anti"), "pairs", size)
-    rooted = joined(rooted, materialize(spark, verified(pairs, texts, idf, least), "links"))
-
-    tested = tested.union(pairs)
-    left = materialize(spark, candidates(members, rooted).join(small(tested), ["a", "b"], "left_anti"), "candidates")
-    for best in (True, True, False):  # a link of two classes spares their other pairs, so the most alike pair goes first; at last all
-        of = lambda end: small(rooted.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}")))
-        open_ = left.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
-        left = materialize(spark, open_.where("root_a <> root_b"), "candidates")
-        now = left
-        if best:
-            now = left.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b")
-        now = materialize(spark, now.select("a", "b"), "pairs")
-        new = materialize(spark, verified(now, texts, idf, least), "links")
-        if new.limit(1).count():
-            rooted = joined(rooted, new)
-        left = left.join(small(now), ["a", "b"], "left_anti").select("a", "b", "same")
+    first = materialize(spark, links_within(with_texts(first_cells(placed), texts), idf, least), "links")
+    rooted = components(first)
+    last = materialize(spark, links_within(with_texts(last_cells(placed, rooted), texts), idf, least), "links")
+    if last.limit(1).count():
+        rooted = joined(rooted, last)
 
     whole = unique.join(small(rooted), "uid", "left").select("key", "doc_id", F.coalesce("root", "uid").alias("class_key"))
     ids = whole.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))

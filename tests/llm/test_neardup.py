@@ -47,24 +47,48 @@ def brute(rows):
 
     bags = {t: bag(t) for t in set(texts)}
 
-    def sim(a, b, plain=True):
+    def sim(a, b):
         both = sum(min(w, bags[b].get(g, 0)) for g, w in bags[a].items())
         whole = sum(bags[a].values()) + sum(bags[b].values()) - both
-        if plain:
-            return max(len(bags[a].keys() & bags[b].keys()) / max(1, len(bags[a].keys() | bags[b].keys())), both / whole if whole else 0.0)
         return both / whole if whole else 0.0
 
     return sim, idf
 
 
-def test_exact_similarity():
-    rows = fixture()
-    sim, idf = brute(rows)
+def components(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in links:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def joined(cell, root, texts, idf):
+    """The classes that linked() makes of roots, and its links."""
+    i, j = nd.linked(np.array(cell), np.array(root), *nd.shingles(pa.array(texts, pa.string()), idf))
+    return list(zip(i.tolist(), j.tolist()))
+
+
+def test_links_of_cells_are_those_of_all_pairs():
     rng = random.Random(1)
-    pairs = [(rng.choice(rows)[1], rng.choice(rows)[1]) for _ in range(40)] + [(rows[k][1], rows[k + 1][1]) for k in range(60)]
-    left, right = (pa.array(x, pa.string()) for x in zip(*pairs))
-    for got, (a, b) in zip(nd.similarities(left, right, idf), pairs):
-        assert math.isclose(got, sim(a, b), abs_tol=1e-5)
+    rows = [r for r in fixture() if r[1] and r[1].split()]
+    sim, idf = brute(rows)
+    for trial in range(6):
+        texts = [rng.choice(rows)[1] for _ in range(90)]
+        cell = sorted(rng.choice([0, 0, 0, 1, 2, 3, 4, 5, 6, 7]) for _ in texts)
+        root = [100 + k % (4 if trial % 2 else 90) for k in range(len(texts))]
+        got = joined(cell, root, texts, idf)
+        assert all(cell[i] == cell[j] and root[i] != root[j] and sim(texts[i], texts[j]) >= nd.LEAST for i, j in got)
+        same = [(i, j) for i in range(len(texts)) for j in range(i) if cell[i] == cell[j] and root[i] == root[j]]
+        every = [(i, j) for i in range(len(texts)) for j in range(i) if cell[i] == cell[j] and sim(texts[i], texts[j]) >= nd.LEAST]
+        assert components(len(texts), same + got) == components(len(texts), same + every)
+    assert joined([0, 0], [0, 1], [rows[0][1], rows[0][1]], idf) and not joined([0, 0], [1, 1], [rows[0][1], rows[0][1]], idf) and not joined([0, 1], [0, 1], [rows[0][1], rows[0][1]], idf)
 
 
 def test_samples_agree_as_often_as_texts_are_alike():
@@ -72,7 +96,7 @@ def test_samples_agree_as_often_as_texts_are_alike():
     sim, idf = brute(rows)
     sig = nd.samples(*nd.shingles(pa.array([t for _, t in rows]), idf), len(rows))
     some = [(i, i + 1) for i in range(len(rows) - 1)]
-    real = np.array([sim(rows[i][1], rows[j][1], False) for i, j in some])
+    real = np.array([sim(rows[i][1], rows[j][1]) for i, j in some])
     seen = np.array([(sig[i] == sig[j]).mean() for i, j in some])
     assert abs((seen - real).mean()) < 0.02 and np.abs(seen - real).max() < 0.35
 
@@ -80,22 +104,10 @@ def test_samples_agree_as_often_as_texts_are_alike():
 def test_classes_equal_brute_force(spark):
     rows = fixture()
     sim, _ = brute(rows)
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, (_, a) in enumerate(rows):
-        for j in range(i):
-            b = rows[j][1]
-            if a is not None and b is not None and (a == b or sim(a, b) >= nd.LEAST):
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
+    links = [(i, j) for i, (_, a) in enumerate(rows) for j, (_, b) in enumerate(rows[:i]) if a is not None and b is not None and (a == b or sim(a, b) >= nd.LEAST)]
     want = {}
-    for i, (d, _) in enumerate(rows):
-        want.setdefault(find(i), []).append(d)
+    for k, (d, _) in zip(components(len(rows), links), rows):
+        want.setdefault(k, []).append(d)
     want = Counter(tuple(sorted(v, key=str)) for v in want.values())
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, key string").repartition(5)
     got = {}
@@ -133,26 +145,50 @@ def test_couples_among_texts_that_share_a_passage(spark):
     frequency = np.zeros(nd.BUCKETS, np.int64)
     nd.count_documents(pa.array(texts), frequency)
     idf = nd.idf_of(frequency, len(texts))
-    assert nd.similarities(pa.array(texts[::2]), pa.array(texts[1::2]), idf).min() >= nd.LEAST
-    assert nd.similarities(pa.array(texts[:-2]), pa.array(texts[2:]), idf).max() < nd.LEAST
+    sim, _ = brute(list(enumerate(texts)))
+    assert all(sim(a, b) >= nd.LEAST for a, b in zip(texts[::2], texts[1::2])) and all(sim(a, b) < nd.LEAST for a, b in zip(texts, texts[2:]))
     got = nd.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert couples_apart(got) == [] and len({r.class_key for r in got}) == len(texts) // 2
 
 
-def test_pairs_of_blocks_are_all_pairs(spark, monkeypatch):
+def test_last_cells_hold_every_pair_of_different_classes(spark, monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 7)
-    monkeypatch.setattr(nd, "CHUNK", 50)
-    texts = passages(20)
-    idf = nd.idf_of(np.zeros(nd.BUCKETS, np.int64), 1)
-    sig = nd.samples(*nd.shingles(pa.array(texts), idf), len(texts)).view(np.int32)
-    of = [{(k, tuple(s[band])) for k, band in enumerate(nd.BANDS)} for s in sig]
-    want = {(a, b): int((sig[a] == sig[b]).sum()) for a in range(len(sig)) for b in range(a) if of[a] & of[b] and a // 3 != b // 3}
-    rows = spark.createDataFrame([(u, s.tolist()) for u, s in enumerate(sig)], "uid long, sig array<int>")
-    members = rows.select("uid", "sig", nd.F.posexplode(nd.bands()).alias("k", "band"))
-    rooted = spark.createDataFrame([(u, u - u % 3) for u in range(len(sig))], "uid long, root long")
-    got = nd.candidates(members, rooted).collect()
-    assert len(got) == len({(r.a, r.b) for r in got})
-    assert {(r.a, r.b): r.same for r in got} == {k: n for k, n in want.items() if n >= nd.AGREE}
+    rng = random.Random(4)
+    members = [(b, u, 10) for b in range(5) for u in rng.sample(range(60), 3 + 11 * b)]
+    root = {u: u % 2 * u % 9 for u in range(0, 60, 2)} | {u: u for u in range(1, 60, 2)}
+    placed = spark.createDataFrame(members, "band long, uid long, bytes long")
+    rows = nd.last_cells(placed, spark.createDataFrame(list(root.items()), "uid long, root long")).select("uid", "root", nd.F.explode("cells").alias("c")).select("c.*", "uid", "root").collect()
+    cells = {}
+    for r in rows:
+        assert r.root == root[r.uid]
+        cells.setdefault((r.band, r.low, r.high), []).append(r.uid)
+    assert max(map(len, cells.values())) <= 3 * 7 * 2 and all(len(set(c)) == len(c) for c in cells.values())
+    got = {(b, x, y) for (b, _, _), c in cells.items() for x in c for y in c if root[x] != root[y]}
+    of = {b: [u for k, u, _ in members if k == b] for b in range(5)}
+    assert got == {(b, x, y) for b, c in of.items() for x in c for y in c if root[x] != root[y]}
+
+
+def test_edit_trees_equal_brute_force(spark, monkeypatch):
+    """Texts that come from each other by edits, so that classes hang together by few links."""
+    monkeypatch.setattr(nd, "BLOCK", 40)
+    rng, rows = random.Random(17), []
+    for tree in range(3):
+        texts = [[f"t{rng.randrange(600)}" for _ in range(90)]]
+        while len(texts) < 220:
+            u = list(rng.choice(texts))
+            for _ in range(rng.randint(1, 3)):
+                u[rng.randrange(len(u))] = f"t{rng.randrange(600)}"
+            texts.append(u)
+        rows += [(1000 * tree + k, " ".join(u)) for k, u in enumerate(texts)]
+    sim, _ = brute(rows)
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] // 1000 == rows[j][0] // 1000 and sim(rows[i][1], rows[j][1]) >= nd.LEAST]
+    want = components(len(rows), links)
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = sum(got[rows[i][0]] != got[rows[j][0]] for i, j in links)
+    assert lost == 0 and [got[d] for d, _ in rows] == [rows[k][0] for k in want]
+    again = {r.doc_id: (r.class_id, r.class_key) for r in nd.near_duplicates(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7)).collect()}
+    first = {r.doc_id: (r.class_id, r.class_key) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert again == first
 
 
 def test_couples_are_found_beside_a_hot_group(spark):
