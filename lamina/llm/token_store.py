@@ -13,18 +13,20 @@ Edge cases: a null text is the empty text (only the end id is written); rows of
 kept, null ones first, ties ordered by text; the empty table gives no file and no row; other columns are not read.
 """
 
+import unicodedata
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from . import files
+from . import words as W
 from .bpe import compile_pattern
 from .session import materialize, new_dir, small_batches, table
 
@@ -33,61 +35,51 @@ CHUNK, BLOCK = 8, 512
 #: Tokens after which a file is closed and the next one begun.
 FILE_TOKENS = 2_000_000
 END_ID = 2
-#: Matches of the pattern a worker keeps the ids of, in each of two generations.
-KEPT = 200_000
+#: Distinct matches of which a worker keeps the ids, some 20 MB; when there are more it starts anew.
+KEPT = 100_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint64)
 
 
 class Level:
-    """One level: chunks, bitmap of the ids that go on, and the rank directory."""
+    """One level as it lies in memory or in a file: n chunks, then the bitmap of those whose ids go on, then its rank directory.
+    take(offset, size) gives bytes; no more are asked for than the ids in question need."""
 
-    def __init__(self, chunks, bitmap, directory):
-        self.chunks, self.bitmap, self.directory = chunks, bitmap, directory
+    def __init__(self, take, at, n):
+        self.take, self.at, self.n = take, at, n
+        self.bits = at + n
+        self.directory = self.bits + -(-n // 8)
+        self.end = self.directory + 8 * (-(-n // BLOCK) + 1)
 
-    @classmethod
-    def build(cls, chunks, more):
-        bitmap = np.packbits(more, bitorder="little")
-        per = np.zeros(-(-len(more) // BLOCK) + 1, np.uint64)
-        ones = _BITS[bitmap]
-        if len(ones):
-            sums = np.add.reduceat(ones, np.arange(0, len(ones), BLOCK // 8))
-            per[1 : len(sums) + 1] = np.cumsum(sums)
-        return cls(chunks, bitmap, per)
+    def chunks(self, a, b):
+        return np.frombuffer(self.take(self.at + a, b - a), np.uint8)
 
     def more(self, a, b):
+        """Whether the ids from a to b go on."""
         first = a // 8
-        return np.unpackbits(self.bitmap[first : -(-b // 8)], bitorder="little")[a - first * 8 : b - first * 8].astype(bool)
+        found = np.frombuffer(self.take(self.bits + first, -(-b // 8) - first), np.uint8)
+        return np.unpackbits(found, bitorder="little")[a - first * 8 : b - first * 8].astype(bool)
 
     def rank(self, i):
         """Ids before i that go on."""
         block = i // BLOCK
-        return int(self.directory[block]) + int(self.more(block * BLOCK, i).sum())
+        return int(np.frombuffer(self.take(self.directory + 8 * block, 8), "<u8")[0]) + int(self.more(block * BLOCK, i).sum())
 
 
 class Codes:
     def __init__(self, levels, n):
         self.levels, self.n = levels, n
 
-    @classmethod
-    def build(cls, ids):
-        levels, rest = [], np.asarray(ids, np.uint32)
-        while len(rest) or not levels:
-            high = rest >> CHUNK
-            more = high > 0
-            levels.append(Level.build((rest & 0xFF).astype(np.uint8), more))
-            rest = high[more]
-        return cls(levels, len(ids))
-
     def slice(self, a, b):
         """Ids from a to b, found from ranks alone."""
         out, where = np.zeros(b - a, np.uint32), np.arange(b - a)
         for k, level in enumerate(self.levels):
             if b <= a:
                 break
-            out[where] |= level.chunks[a:b].astype(np.uint32) << np.uint32(CHUNK * k)
+            out[where] |= level.chunks(a, b).astype(np.uint32) << np.uint32(CHUNK * k)
             more = level.more(a, b)
             where = where[more]
-            a = level.rank(a)
+            if len(where):
+                a = level.rank(a)
             b = a + len(where)
         return out
 
@@ -95,59 +87,109 @@ class Codes:
         return int(self.slice(i, i + 1)[0])
 
 
-def dump(doc_ids, counts, ids):
-    """The bytes of a file. doc_ids may hold None."""
-    codes = Codes.build(ids)
-    out = [MAGIC, np.array([len(doc_ids), len(ids), len(codes.levels)], "<u8"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is not None for d in doc_ids], "u1"), np.concatenate([[0], np.cumsum(counts)]).astype("<i8")]
-    for level in codes.levels:
-        out += [np.array([len(level.chunks)], "<u8"), level.chunks, level.bitmap, level.directory.astype("<u8")]
-    return b"".join(x if isinstance(x, bytes) else x.tobytes() for x in out)
+def levels_of(ids):
+    """The parts of each level in turn: chunks, bitmap, directory."""
+    rest = np.asarray(ids, np.uint32)
+    first = True
+    while len(rest) or first:
+        first = False
+        high = rest >> CHUNK
+        more = high > 0
+        bitmap = np.packbits(more, bitorder="little")
+        directory = np.zeros(-(-len(rest) // BLOCK) + 1, np.uint64)
+        if len(bitmap):
+            sums = np.add.reduceat(_BITS[bitmap], np.arange(0, len(bitmap), BLOCK // 8))
+            directory[1 : len(sums) + 1] = np.cumsum(sums)
+        yield (rest & 0xFF).astype(np.uint8), bitmap, directory
+        rest = high[more]
+
+
+def dump(doc_ids, counts, ids, write):
+    """Gives write() the bytes of a file, a part at a time. doc_ids may hold None."""
+    depth, high = 1, int(ids.max()) if len(ids) else 0
+    while high >> CHUNK * depth:
+        depth += 1
+    write(MAGIC + np.array([len(doc_ids), len(ids), depth], "<u8").tobytes())
+    write(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is not None for d in doc_ids], "u1").tobytes())
+    write(np.concatenate([[0], np.cumsum(counts)]).astype("<i8").tobytes())
+    for chunks, bitmap, directory in levels_of(ids):
+        write(np.array([len(chunks)], "<u8").tobytes())
+        for part in (chunks, bitmap, directory.astype("<u8")):
+            write(part.tobytes())
+
+
+def load(take):
+    """(doc ids, first tokens, Codes) of a file of which take(offset, size) gives the bytes; no code is read before it is asked for."""
+    if bytes(take(0, 8)) != MAGIC:
+        raise ValueError("not a file of directly addressable codes")
+    docs, tokens, depth = map(int, np.frombuffer(take(8, 24), "<u8"))
+    at = 32
+    ids, valid, first = np.frombuffer(take(at, 8 * docs), "<i8"), np.frombuffer(take(at + 8 * docs, docs), "u1"), np.frombuffer(take(at + 9 * docs, 8 * (docs + 1)), "<i8")
+    at += 17 * docs + 8
+    found = []
+    for _ in range(depth):
+        found.append(Level(take, at + 8, int(np.frombuffer(take(at, 8), "<u8")[0])))
+        at = found[-1].end
+    return [int(d) if v else None for d, v in zip(ids, valid)], first, Codes(found, tokens)
 
 
-def load(raw):
-    """(doc ids, first tokens, Codes) of a file's bytes; the arrays are views of them."""
-    if raw[:8] != MAGIC:
-        raise ValueError("not a file of directly addressable codes")
-    at = 8
+def in_memory(raw):
+    raw = memoryview(raw)
+    return lambda at, size: raw[at : at + size]
 
-    def take(kind, n):
-        nonlocal at
-        x = np.frombuffer(raw, kind, n, at)
-        at += x.nbytes
-        return x
 
-    docs, tokens, levels = map(int, take("<u8", 3))
-    ids, valid, first = take("<i8", docs), take("u1", docs), take("<i8", docs + 1)
-    found = []
-    for _ in range(levels):
-        n = int(take("<u8", 1)[0])
-        found.append(Level(take("u1", n), take("u1", -(-n // 8)), take("<u8", -(-n // BLOCK) + 1)))
-    return [int(d) if v else None for d, v in zip(ids, valid)], first, Codes(found, tokens)
+# Classes of characters for the splitting pattern: white space, letters, numbers, others.
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+#: Characters under this one, the first of three bytes' worth of Latin, are split without a regular expression.
+_LATIN = 0x240
 
 
-class Kept(dict):
-    """Bytes of ids by match. A match that is new gets an empty place, which is filled when its ids are known."""
+def _class(c):
+    kind = unicodedata.category(chr(c))[0]
+    return _SPACE if 9 <= c <= 13 or chr(c) in " \x85\xa0" else _LETTER if kind == "L" else _NUMBER if kind == "N" else _OTHER
 
-    def __init__(self, older=()):
-        super().__init__()
-        self.older, self.new = older, []
 
-    def __missing__(self, match):
-        if match in self.older:
-            ids = self[match] = self.older[match]
-        else:
-            ids = self[match] = bytearray()
-            self.new.append((match, ids))
-        return ids
+_CLASS = np.array([_class(c) for c in range(_LATIN)], np.int8)
+_SHORT_ENDS = np.zeros(256, bool)
+_SHORT_ENDS[list(b"stmd")] = True
+
+
+def starts_of(data, offs):
+    """Where the matches of the splitting pattern start, in texts under U+0240 that have no white space over U+007F."""
+    n = len(data)
+    kind = _CLASS[data]
+    two = np.flatnonzero(data >= 0xC0)
+    kind[two] = _CLASS[((data[two] & 0x1F).astype(np.int64) << 6) | (data[two + 1] & 0x3F)]
+    kind[two + 1] = kind[two]
+    before, after = np.full(n, -1, np.int8), np.full(n, -1, np.int8)
+    before[1:], after[:-1] = kind[:-1], kind[1:]
+    begin, last = offs[:-1][offs[1:] > offs[:-1]], offs[1:][offs[1:] > offs[:-1]] - 1
+    before[begin] = after[last] = -1
+    white, blank = kind == _SPACE, np.zeros(n, bool)
+    blank[1:] = data[:-1] == 32  # one blank before other characters is part of their match
+    blank[begin] = False
+    start = np.where(white, (before != _SPACE) | (after > _SPACE), (kind != before) & ~blank)
+    quote = np.flatnonzero((data == 39) & start & (after == _LETTER))  # 's 't 'm 'd 're 've 'll
+    end = np.append(offs[1:], n)[np.searchsorted(offs[1:], quote, "right")]
+    one, next_ = data[quote + 1], data[np.minimum(quote + 2, n - 1)]
+    short = _SHORT_ENDS[one]
+    long = (quote + 2 < end) & (((one == 114) | (one == 118)) & (next_ == 101) | (one == 108) & (next_ == 108))
+    size = np.where(short, 2, 3)[short | long]
+    quote, end = quote[short | long], end[short | long]
+    start[quote + 1] = False
+    rest = (quote + size)[quote + size < end]
+    start[rest] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
     """The tokenizers library, asked once for each distinct match of the splitting pattern.
 
-    The vocabulary's merges never cross a match, so a text's ids are those of its matches; strings of
-    special tokens in a text are ordinary text. The library's model gets new matches as lines of one
-    text, with bytes written as the vocabulary writes them; only matches that are white space hold line feeds, and
-    these are encoded one by one.
+    The vocabulary's merges never cross a match, so a text's ids are those of its matches. Matches are told apart by a 64-bit
+    hash; the ids of at most KEPT of them are kept. The library's model gets new matches as lines of one text, with bytes written
+    as the vocabulary writes them; only matches that are white space hold line feeds, and these are encoded one by one. Texts with
+    characters from U+0240, or white space over U+007F, are split by the pattern itself; texts that hold an added token's string
+    (such as <|endoftext|>) are left to the library whole, so they get the ids that it gives.
     """
 
     def __init__(self, path=None):
@@ -155,8 +197,8 @@ class Encoder:
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         whole = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        whole.encode_special_tokens = True
         self.whole, self.lines = whole, Tokenizer(whole.model)
+        self.added = [t.content for t in whole.get_added_tokens_decoder().values()]
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from U+0100
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -165,40 +207,101 @@ class Encoder:
         self.bytes_of = np.zeros(whole.get_vocab_size(), np.int64)
         for token, i in whole.get_vocab().items():
             self.bytes_of[i] = len(token)
-        self.split, self.kept = compile_pattern(), Kept()
-
-    def _learn(self, new):
-        lines, places = [], []
-        for m, place in new:
-            if m.isspace():
-                place += np.array(self.whole.encode(m, add_special_tokens=False).ids, "<u4").tobytes()
+        self.split = compile_pattern()
+        self._forget()
+
+    def _forget(self):
+        self.place, self.pool, self.from_, self.count, self.used = {}, np.zeros(1 << 16, np.uint32), np.zeros(KEPT, np.int64), np.zeros(KEPT, np.int32), 0
+
+    def _ids(self, matches):
+        """Arrays of the ids of some matches (bytes)."""
+        out, lines = [None] * len(matches), []
+        for k, m in enumerate(matches):
+            if m.isspace() or b"\n" in m:
+                out[k] = np.array(self.whole.encode(m.decode(), add_special_tokens=False).ids, np.uint32)
             else:
-                lines.append(m)
-                places.append(place)
+                lines.append(k)
         if lines:
-            data = "\n".join(lines).encode()
-            text = data.decode("latin-1").translate(self.written)
-            ids = np.array(self.lines.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            data = b"\n".join(matches[k] for k in lines)
+            ids = np.array(self.lines.encode_batch_fast([data.decode("latin-1").translate(self.written)], add_special_tokens=False)[0].ids, np.uint32)
             feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
             ends = np.append(feeds, len(data)) - np.arange(len(lines))  # of lines, in bytes without line feeds
             to = np.searchsorted(done := np.cumsum(self.bytes_of[ids]), ends) + 1
             if (done[to - 1] != ends).any():
                 raise ValueError("the vocabulary does not keep lines apart")
-            raw, at = ids.tobytes(), 0
-            for place, end in zip(places, (4 * to).tolist()):
-                place += raw[at:end]
-                at = end
+            for k, part in zip(lines, np.split(ids, to[:-1])):
+                out[k] = part
+        return out
+
+    def _places(self, keys, matches):
+        """The numbers of the kept matches with these hashes; matches(k) gives the bytes of the k-th."""
+        if self.used + len(keys) > KEPT:
+            self._forget()
+        found = np.array([self.place.get(k, -1) for k in keys.tolist()], np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            ids = self._ids([matches(k) for k in new.tolist()])
+            size = np.array([len(x) for x in ids])
+            at = int(self.from_[self.used - 1] + self.count[self.used - 1]) if self.used else 0
+            while at + size.sum() > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[at : at + size.sum()] = np.concatenate(ids)
+            found[new] = np.arange(self.used, self.used + len(new))
+            self.from_[found[new]], self.count[found[new]] = at + np.cumsum(size) - size, size
+            self.place.update(zip(keys[new].tolist(), found[new].tolist()))
+            self.used += len(new)
+        return found
+
+    def _of_starts(self, data, offs, start):
+        """(ids of all texts, number of ids of each)."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        end = np.append(start[1:], len(data))
+        up, down = W._power(len(data) + 1)
+        prefix = np.zeros(len(data) + 1, W.U)
+        np.cumsum(W._CODE[data] * up[: len(data)], out=prefix[1:])
+        key = W.mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(W.U))
+        doc = np.searchsorted(offs, start, "right") - 1
+        ids, counts = [], np.zeros(len(offs) - 1, np.int64)
+        for a in range(0, len(start), KEPT // 2):  # never more distinct matches at once than are kept
+            part = key[a : a + KEPT // 2]
+            distinct, one, which = np.unique(part, return_index=True, return_inverse=True)
+            place = self._places(distinct, lambda k, a=a, one=one: data[start[a + one[k]] : end[a + one[k]]].tobytes())[which]
+            size = self.count[place].astype(np.int64)
+            total = np.cumsum(size)
+            ids.append(self.pool[np.arange(total[-1]) + np.repeat(self.from_[place] - (total - size), size)])
+            counts += np.bincount(doc[a : a + KEPT // 2], size, len(counts)).astype(np.int64)
+        return np.concatenate(ids), counts
 
     def encode(self, texts):
-        """A uint32 array of ids for each text."""
-        if len(self.kept) > KEPT:
-            self.kept.older = ()
-            self.kept = Kept(self.kept)
-        known = self.kept.__getitem__
-        found = [list(map(known, self.split(t))) for t in texts]
-        self._learn(self.kept.new)
-        self.kept.new = []
-        return [np.frombuffer(b"".join(x), "<u4") for x in found]
+        """(uint32 ids of all texts one after another, number of ids of each) for an Arrow array."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        data, offs = W.buffers(texts)
+        odd = np.flatnonzero(data >= 0xC9)
+        wide = np.flatnonzero(data[:-1] == 0xC2)
+        odd = np.concatenate([odd, wide[(data[wide + 1] == 0x85) | (data[wide + 1] == 0xA0)]])
+        way = np.zeros(len(texts), np.int8)  # 0: by classes, 1: by the pattern, 2: by the library
+        way[np.searchsorted(offs, odd, "right") - 1] = 1
+        for s in self.added:
+            way[pc.match_substring(texts, s).to_numpy(zero_copy_only=False)] = 2
+        if not way.any():
+            return self._of_starts(data, offs, starts_of(data, offs) if len(data) else None)
+        parts = [None] * len(texts)
+        plain = np.flatnonzero(way == 0)
+        if len(plain):
+            own, at = W.buffers(texts.take(pa.array(plain)))
+            ids, counts = self._of_starts(own, at, starts_of(own, at) if len(own) else None)
+            for k, x in zip(plain.tolist(), np.split(ids, np.cumsum(counts)[:-1])):
+                parts[k] = x
+        for k in np.flatnonzero(way).tolist():
+            t = texts[k].as_py()
+            if way[k] == 2:
+                parts[k] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
+            else:
+                own = np.frombuffer(t.encode(), np.uint8)
+                sizes = np.array([len(m.encode()) for m in self.split(t)])
+                parts[k] = self._of_starts(own, np.array([0, len(own)]), np.cumsum(sizes) - sizes)[0]
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
 @lru_cache(2)
@@ -226,19 +329,19 @@ def write(df, place, key="doc_id", text="text", tokenizer=None, end_id=END_ID):
         def flush():
             path = f"{place}/part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.dac"
             with files.Output(path) as out:
-                out.write(dump(docs, counts, np.concatenate(ids)))
+                dump(docs, counts, np.concatenate(ids), out.write)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [len(docs)], "n_tokens": [tokens], "path": [path]})
 
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            docs += batch.column("doc_id").to_pylist()
-            for x in own.encode(batch.column("text").to_pylist()):
-                counts.append(len(x) + 1)
-                ids += [x, end]
-                tokens += len(x) + 1
-            if tokens >= FILE_TOKENS:
-                yield flush()
-                seq, docs, counts, ids, tokens = seq + 1, [], [], [], 0
+            for piece in W.slices(batch):
+                found, size = own.encode(piece.column("text"))
+                ids.append(np.insert(found, np.cumsum(size), end_id).astype(np.uint32))
+                docs += piece.column("doc_id").to_pylist()
+                counts += (size + 1).tolist()
+                tokens += len(ids[-1])
+                if tokens >= FILE_TOKENS:
+                    yield flush()
+                    seq, docs, counts, ids, tokens = seq + 1, [], [], [], 0
         if docs:
             yield flush()
 
@@ -269,18 +372,23 @@ def read(manifest):
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
-                docs, first, codes = load(files.read(path))
-                raw = memoryview(codes.slice(0, codes.n).astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                docs, first, codes = load(in_memory(files.read(path)))
+                crc = [zlib.crc32(codes.slice(a, b).astype("<u4").tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(start + first[:-1], pa.int64()), "n_tokens": pa.array(np.diff(first), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def document(path, i):
-    """The ids of the i-th document of a file, and no others: (doc_id, ids)."""
-    docs, first, codes = load(files.read(path))
-    return docs[i], codes.slice(int(first[i]), int(first[i + 1]))
+    """(doc_id, ids) of the i-th document of a file; of the codes only its own are read."""
+    with files.opened(path) as f:
+
+        def take(at, size):
+            f.seek(at)
+            return f.read(size)
+
+        docs, first, codes = load(take)
+        return docs[i], codes.slice(int(first[i]), int(first[i + 1]))
 
 
 def op5_addressable_codes(spark, sf_dir):
