@@ -76,8 +76,8 @@ def shuffle(df, shards=SHARDS, seed=SEED):
     drawn = matrix([n for _, n in parts], sizes(rows, shards), seed)
     cuts = spark.createDataFrame([(name, k, [int(x) for x in np.cumsum(line)[:-1]]) for k, ((name, _), line) in enumerate(zip(parts, drawn))], "__part string, __nth int, __cuts array<bigint>")
 
-    local = Window.partitionBy("__part").orderBy(F.xxhash64(F.lit(seed), "__row"), "__row")
-    sent = placed.withColumn("__pos", F.row_number().over(local) - 1).join(cuts, "__part")
+    local = Window.partitionBy("__nth").orderBy(F.xxhash64(F.lit(seed), "__nth", "__row"), "__row")  # each file has an order of its own
+    sent = placed.join(cuts, "__part").withColumn("__pos", F.row_number().over(local) - 1)
     groups = min(GROUPS, max(1, rows // (shards * GROUP_ROWS)))
     order = F.xxhash64(F.lit(seed + 1), "__nth", "__row")
     sent = sent.select(*names, F.size(F.filter("__cuts", lambda c: c <= F.col("__pos"))).alias("shard"), order.alias("__order"), F.pmod(order, F.lit(groups)).alias("__group"), "__nth", "__row")

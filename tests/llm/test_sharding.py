@@ -35,6 +35,24 @@ def test_exact_sizes_and_uniform_places(spark):
 
 
 
+def test_rows_of_equal_place_in_files_part(spark):
+    """Files of equal size: rows of one index go to shards independently of each other, and shards and slots are uniform."""
+    n, files, shards = 1000, 4, 8
+    df = spark.range(files * n, numPartitions=files)
+    assert [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()] == [n] * files
+    out = {r.id: (r.shard, r.slot) for r in sharding.shuffle(df, shards, 3).collect()}
+    for a in range(files):
+        for b in range(a):
+            same = np.mean([out[a * n + k][0] == out[b * n + k][0] for k in range(n)])
+            assert abs(same - 1 / shards) < 5 * np.sqrt(1 / shards * (1 - 1 / shards) / n), (a, b, same)
+    per = files * n // shards
+    table = np.zeros((files * 5, shards * 5))  # fifths of files against fifths of shards
+    for i, (shard, slot) in out.items():
+        table[i // (n // 5), shard * 5 + slot * 5 // per] += 1
+    want = files * n / table.size
+    chi, free = ((table - want) ** 2 / want).sum(), (table.shape[0] - 1) * (table.shape[1] - 1)
+    assert abs(chi - free) < 5 * np.sqrt(2 * free), (chi, free)
+
 
 def test_query_columns_and_odd_rows(spark, tmp_path):
     rows = [(1, "é"), (1, "é"), (None, None), (4, "")]
