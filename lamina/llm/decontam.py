@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from . import words as W
-from .session import schema_of, small_batches, table, with_text
+from .session import schema_of, small_batches, spread, table, with_text
 
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -241,7 +241,7 @@ def pairs(docs, benchmark, keep=("doc_id",), text="text", item_id="item_id", ite
 def drop_contaminated(docs, benchmark, text="text", item_id="item_id", item_text="text"):
     """The rows of docs that contain no item, with their columns; rows stay where they are, none is exchanged."""
     small_batches(docs.sparkSession)
-    context, out = docs.sparkSession.sparkContext, docs
+    context, out = docs.sparkSession.sparkContext, spread(docs)
     for ids, texts in _blocks(benchmark, item_id, item_text):
 
         def clean(batches, shared=context.broadcast(Seeds(ids, texts))):

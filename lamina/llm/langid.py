@@ -5,11 +5,13 @@ the sum, over all ways to cut it into pieces, of the product of theirs (the forw
 text's is the product over its words. Pieces are those of the vocabulary that are letters, with or
 without a leading space, and all single bytes, so that every word can be cut.
 
-Words are runs of ASCII letters and non-ASCII bytes of the lower-cased text. Runs over STRETCH bytes are scored
-in stretches of that length, which bounds memory.
+Words are runs of ASCII letters and non-ASCII bytes of the lower-cased text; in scripts without spaces they may be as long as
+the text. A run over BLOCK bytes is summed in blocks: for each, the linear map from the sums before it to those after it, and
+then the product of these maps, which is the sum over all segmentations of the whole run.
 
-Fitting takes at most PER_LANG whole texts of each language (those of lowest hash): a documented bound
-on a sample of labelled rows. Piece probabilities come from expectation maximisation over their words.
+Fitting takes at most PER_LANG distinct whole texts of each language (those of lowest hash): a documented bound
+on a sample of labelled rows. Piece probabilities come from expectation maximisation over all their words; those over
+BLOCK bytes are learned from in parts, cut between characters.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; equal rows get equal results; a
 null doc_id is never learned from and not held out; other columns are not looked at. With nothing to
@@ -31,9 +33,10 @@ from .session import schema_of, small_batches, table, with_text
 #: Most texts of a language that are learned from.
 PER_LANG = 200
 ROUNDS, SMOOTH = 4, 0.5
-STRETCH = 512
-#: Longest word, in bytes with its space, that is learned from.
-LEARN_BYTES = 32
+#: Bytes of a block of a long run.
+BLOCK = 512
+#: Most numbers in one table of expectation().
+CELLS = 4_000_000
 U = np.uint64
 _OTHER = np.ones(256, bool)
 _OTHER[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
@@ -83,23 +86,29 @@ class Lookup:
 
 
 class Strings:
-    """Distinct words as one buffer, longest first, each with a leading space."""
+    """Words as one buffer, longest first, each with a leading space unless `inner` says that it begins inside a run."""
 
-    def __init__(self, data, start, end):
-        size = end - start
-        self.order = np.argsort(-size, kind="stable")
-        start, size = start[self.order], size[self.order]
-        self.size = size + 1
+    def __init__(self, data, start, end, inner=None):
+        size, lead = end - start, np.ones(len(start), np.int64) if inner is None else 1 - np.asarray(inner, np.int64)
+        self.order = np.argsort(-(size + lead), kind="stable")
+        start, size, lead = start[self.order], size[self.order], lead[self.order]
+        self.size = size + lead
         self.at = np.cumsum(self.size) - self.size
         total = int(self.size.sum())
-        index = np.arange(total) - np.repeat(self.at, self.size) - 1 + np.repeat(start, self.size)
+        index = np.arange(total) - np.repeat(self.at + lead, self.size) + np.repeat(start, self.size)
         buffer = data[np.maximum(index, 0)] if len(data) else np.zeros(0, np.uint8)
         buffer = buffer.copy()
-        buffer[self.at] = 32
+        buffer[self.at[lead > 0]] = 32
         self.prefix = np.zeros(total + 1, U)
         up, self.down = W._power(total + 1)
         np.cumsum(W._CODE[buffer] * up[:total], out=self.prefix[1:])
 
+    def part(self, a, b):
+        """The words from a to b, which must be ordered as all are."""
+        out = object.__new__(Strings)
+        out.order, out.size, out.at, out.prefix, out.down = np.arange(b - a), self.size[a:b], self.at[a:b], self.prefix, self.down
+        return out
+
     def steps(self, lookup):
         """(j, l, rows, pieces): the words of which bytes j-l to j are a piece, by rising j."""
         for j in range(1, int(self.size[0]) + 1 if len(self.size) else 1):
@@ -118,7 +127,7 @@ def log_likelihood(strings, lookup, probs):
     keep = lookup.longest + 1
     ring = np.zeros((keep, n, langs))
     ring[0] = 1
-    scale, out, last = np.zeros((n, 1)), np.zeros((n, langs)), 0
+    scale, out, last = np.zeros((n, langs)), np.zeros((n, langs)), 0
 
     def close(j):
         done = slice(int(np.searchsorted(-strings.size, -j, "left")), int(np.searchsorted(-strings.size, -j, "right")))
@@ -130,7 +139,7 @@ def log_likelihood(strings, lookup, probs):
                 close(last)
                 if last % 16 == 0:
                     active = int(np.searchsorted(-strings.size, -j, "right"))
-                    top = ring[last % keep, :active].max(1, keepdims=True)
+                    top = ring[last % keep, :active].copy()  # never zero: every byte is a piece
                     ring[:, :active] /= top
                     scale[:active] += np.log(top)
             ring[j % keep] = 0
@@ -141,22 +150,80 @@ def log_likelihood(strings, lookup, probs):
     return out
 
 
+def long_run(data, lookup, probs):
+    """log of the summed probability of one run of bytes for each language: log_likelihood() for runs of any length."""
+    n, langs, deep = len(data), probs.shape[1], lookup.longest
+    up, down = W._power(n + 1)
+    prefix = np.zeros(n + 1, U)
+    np.cumsum(W._CODE[data] * up[:n], out=prefix[1:])
+    first = np.arange(0, n, BLOCK)
+    rows, keep = len(first) * deep, deep + 1
+    # a row is a block and a place k before its start from which alone the sums begin; ring[j % keep] has those at place j
+    ring, scale = np.zeros((keep, rows, langs)), np.zeros((rows, langs))
+    for k in range(deep):
+        ring[-k % keep, k::deep] = 1
+    state = np.zeros((len(first), deep, deep, langs))  # [block, k, m]: of the sums m before the block's end
+    ends = np.minimum(first + BLOCK, n) - first
+    for j in range(1, BLOCK + 1):
+        new = np.zeros((len(first), deep, langs))
+        for k in range(1, deep + 1):
+            to = first + j
+            some = np.flatnonzero((to <= n) & (to - k >= 0))
+            a = to[some] - k
+            ids = lookup((prefix[a + k] - prefix[a]) * down[a])
+            some, ids = some[ids >= 0], ids[ids >= 0]
+            if len(some):
+                new[some] += ring[(j - k) % keep].reshape(len(first), deep, langs)[some] * probs[ids][:, None, :]
+        ring[j % keep] = new.reshape(rows, langs)
+        if (done := ends == j).any():
+            for m in range(deep):
+                state[done, :, m] = ring[(j - m) % keep].reshape(len(first), deep, langs)[done]
+        if j % 16 == 0:
+            top = ring.max(0)
+            top[(top == 0) | np.repeat(ends <= j, deep)[:, None]] = 1
+            ring /= top
+            scale += np.log(top)
+    scale = np.where(state.max(2) > 0, scale.reshape(len(first), deep, langs), -np.inf)
+    now, log = np.zeros((deep, langs)), np.zeros(langs)
+    now[0] = 1
+    for block in range(len(first)):
+        most = scale[block].max(0)
+        now = np.einsum("kl,kml->ml", now * np.exp(scale[block] - most), state[block])
+        if ends[block] < deep:  # places before a short last block go on as they are, but only the end of it counts
+            now = now[:1]
+        top = now[0]  # the sum up to the block's end, never zero
+        now, log = now / top, log + most + np.log(top)
+    return log + np.log(now[0])
+
+
 def expectation(strings, lookup, probs, weight):
     """Expected uses of each piece for each language, over words that occur `weight` times in it."""
+    langs, out, a = probs.shape[1], np.zeros_like(probs), 0
+    while a < len(strings.size):
+        b = min(len(strings.size), a + max(1, CELLS // ((int(strings.size[a]) + 1) * langs)))
+        out += _expected(strings.part(a, b), lookup, probs, weight[a:b])
+        a = b
+    return out
+
+
+def _expected(strings, lookup, probs, weight):
     n, langs = weight.shape
-    top = int(strings.size[0]) if n else 0
+    top = int(strings.size[0])
+    # every byte of a word counts `rise` times, which takes sums over long words to about 1 and cancels in the end
+    rise = np.exp(-log_likelihood(strings, lookup, probs) / strings.size[:, None])
+    rise = [rise**k for k in range(lookup.longest + 1)]
     alpha, beta = np.zeros((top + 1, n, langs)), np.zeros((top + 1, n, langs))
     alpha[0] = 1
     steps = list(strings.steps(lookup))
     for j, k, rows, ids in steps:
-        alpha[j, rows] += alpha[j - k, rows] * probs[ids]
+        alpha[j, rows] += alpha[j - k, rows] * probs[ids] * rise[k][rows]
     beta[strings.size, np.arange(n)] = 1
     for j, k, rows, ids in reversed(steps):
-        beta[j - k, rows] += beta[j, rows] * probs[ids]
-    per = weight / np.maximum(alpha[strings.size, np.arange(n)], 1e-300)
+        beta[j - k, rows] += beta[j, rows] * probs[ids] * rise[k][rows]
+    per = weight / alpha[strings.size, np.arange(n)]
     out = np.zeros_like(probs)
     for j, k, rows, ids in steps:
-        used = alpha[j - k, rows] * probs[ids] * beta[j, rows] * per[rows]
+        used = alpha[j - k, rows] * probs[ids] * rise[k][rows] * beta[j, rows] * per[rows]
         for g in range(langs):
             out[:, g] += np.bincount(ids, used[:, g], len(probs))
     return out
@@ -176,17 +243,14 @@ class Model:
         if langs:
             w = W.words(pc.utf8_lower(texts), _OTHER)
             start, end, doc, key = w.start, w.end, w.doc, w.hash
-            if len(start) and (end - start).max() > STRETCH:
-                parts = -(-(end - start) // STRETCH)
-                nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                start, doc, end = np.repeat(start, parts) + nth * STRETCH, np.repeat(doc, parts), np.repeat(end, parts)
-                end = np.minimum(end, start + STRETCH)
-                key = w.span_hash(start, end)
             if len(start):
                 _, first, which = np.unique(key, return_index=True, return_inverse=True)
-                strings = Strings(w.data, start[first], end[first])
                 per = np.empty((len(first), langs))
-                per[strings.order] = log_likelihood(strings, self.lookup, self.probs)
+                long = end[first] - start[first] >= BLOCK
+                strings = Strings(w.data, start[first][~long], end[first][~long])
+                per[np.flatnonzero(~long)[strings.order]] = log_likelihood(strings, self.lookup, self.probs)
+                for k in np.flatnonzero(long):
+                    per[k] = long_run(np.append(np.uint8(32), w.data[start[first[k]] : end[first[k]]]), self.lookup, self.probs)
                 for g in range(langs):
                     total[:, g] = np.bincount(doc, per[which, g], n)
         found = letters & (langs > 0)
@@ -195,25 +259,44 @@ class Model:
         return [self.langs[b] if f else "und" for b, f in zip(best, found)], np.where(found, share, 0.0)
 
 
+def _parts(word):
+    """A word of up to BLOCK bytes, or the parts of a longer one, cut between characters."""
+    out = []
+    while len(word) > BLOCK:
+        cut = BLOCK
+        while word[cut] & 0xC0 == 0x80:
+            cut -= 1
+        out.append(word[:cut])
+        word = word[cut:]
+    return [*out, word]
+
+
 def fit(rows, text="text", lang="lang", per_lang=PER_LANG, path=None):
     """A Model from a frame of labelled texts; null texts and labels are passed over."""
     own = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    own = own.withColumn("h", F.xxhash64("text")).withColumn("r", rank).where(F.col("r") <= per_lang)
+    own = own.withColumn("h", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    some = own.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_lang).drop("r")
+    own = own.join(F.broadcast(some), ["lang", "h"]).groupBy("lang", "h").agg(F.any_value("text").alias("text"))  # per_lang rows a language
     found = own.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z\x{80}-\x{10FFFF}]+)"))).alias("word")).groupBy("lang", "word").count().collect()
     langs = sorted({r["lang"] for r in found})
     pieces = vocabulary(path)
-    number = {b: i for i, b in enumerate(sorted({r["word"].encode() for r in found if len(r["word"].encode()) < LEARN_BYTES}))}
-    weight = np.zeros((len(number), len(langs)))
-    for r in found:
-        if (i := number.get(r["word"].encode())) is not None:
-            weight[i, langs.index(r["lang"])] += r["count"]
-    data = np.frombuffer(b"".join(number), np.uint8)
-    end = np.cumsum([len(b) for b in number], dtype=np.int64)
-    start = end - np.array([len(b) for b in number], np.int64)
+    number, inner = {}, []
+    weight = []
+    for r in sorted(found, key=lambda r: (r["word"], r["lang"])):
+        for k, part in enumerate(_parts(r["word"].encode())):
+            i = number.setdefault((part, k > 0), len(number))
+            if i == len(weight):
+                weight.append([0] * len(langs))
+                inner.append(k > 0)
+            weight[i][langs.index(r["lang"])] += r["count"]
+    weight = np.array(weight, float).reshape(len(number), len(langs))
+    data = np.frombuffer(b"".join(b for b, _ in number), np.uint8)
+    end = np.cumsum([len(b) for b, _ in number], dtype=np.int64)
+    start = end - np.array([len(b) for b, _ in number], np.int64)
     model = Model(langs, pieces, np.full((len(pieces), len(langs)), 1 / len(pieces)))
     if len(number):
-        strings = Strings(data, start, end)
+        strings = Strings(data, start, end, inner)
         weight = weight[strings.order]
         for _ in range(ROUNDS):
             used = expectation(strings, model.lookup, model.probs, weight) + SMOOTH

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from . import words as W
-from .session import materialize, small, small_batches, table
+from .session import materialize, small, small_batches, spread, table
 
 SIZE, LEAST = 5, 0.8
 #: Samples, those of a band, and how often samples are dealt out to bands anew: texts of similarity 0.8 share
@@ -344,7 +344,7 @@ def classes(docs, keep="doc_id", text="text", least=LEAST):
     `of` has key, doc_id (the least of the text's), class_key and class_id of each text."""
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(F.col(keep).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = spread(docs.select(F.col(keep).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     keyed = own.where("text IS NOT NULL").select("doc_id", F.md5("text").alias("key"), F.octet_length("text").cast("long").alias("bytes"), "text")
     idf = document_frequencies(own.select("text"))
     signed = materialize(spark, signatures(keyed, idf), "signatures")

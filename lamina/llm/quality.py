@@ -7,7 +7,7 @@ with null doc_id is scored like any other; other columns of the input are not lo
 import numpy as np
 import pyarrow as pa
 
-from .session import schema_of, small_batches, table, with_text
+from .session import schema_of, small_batches, spread, table, with_text
 from .words import SPACE, mix, per_doc, repeated, slices, windows, words
 
 #: n-gram length -> most per cent of a text's word characters that may lie in its repeated n-grams.
@@ -97,7 +97,7 @@ def keep_clean(df, text="text"):
             for part in slices(batch, text):
                 yield part.filter(pa.array(measure(part.column(text))["kept"]))
 
-    return df.mapInArrow(run, df.schema)
+    return spread(df).mapInArrow(run, df.schema)
 
 
 def op4_repetition_coverage(spark, sf_dir):

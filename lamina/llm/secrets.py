@@ -16,7 +16,7 @@ from math import log2
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .session import schema_of, small_batches, table, with_text
+from .session import schema_of, small_batches, spread, table, with_text
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -180,7 +180,7 @@ def redact(df, text="text", n_chars="n_chars"):
                     cols.append(batch.column(i))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def op6_secret_entropy(spark, sf_dir):

@@ -1,5 +1,6 @@
 """What the operators of this subpackage take from the Spark session."""
 
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ def small_batches(spark):
 
 
 def shared_dir(spark):
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset (as in tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, a local
+    session (as in tests) gets a new one; on a cluster that is an error, since executors would not see the driver's disk."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         jsc = spark.sparkContext._jsc.sc()
         if not jsc.getCheckpointDir().isDefined():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lamina-"))
         place = jsc.getCheckpointDir().get()
     return place.rstrip("/")
@@ -59,13 +63,28 @@ def materialize(spark, df, name, rows=None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table, as Spark estimates them, that are worth a task of their own.
+TASK_BYTES = 1 << 19
+
+
+def spread(df):
+    """df in a task for each core if its files make fewer: a file of one row group is one task otherwise, whatever its size. Plans
+    with an exchange, and tables of as many parts as there are cores, stay as they are."""
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():
+        return df
+    size = int(plan.optimizedPlan().stats().sizeInBytes())
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, 1 + size // TASK_BYTES)
+    return df.repartition(tasks) if plan.executedPlan().execute().getNumPartitions() * 2 <= tasks else df
+
+
 def with_text(df, keep, text, made):
     """(frame of the columns `keep` and, last, the text; the names kept). A kept column that the result makes anew is left out."""
     keep = [c for c in keep if c not in made]
     name = "text"
     while name in keep or name in made:
         name = f"_{name}"
-    return df.select(*(df[c] for c in keep), df[text].cast("string").alias(name)), name
+    return spread(df.select(*(df[c] for c in keep), df[text].cast("string").alias(name))), name
 
 
 def schema_of(source, more):
