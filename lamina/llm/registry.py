@@ -17,6 +17,6 @@ QUERIES = {
     "op10_seed_and_align": decontam.op10_seed_and_align,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op4_repetition_coverage": quality.ORACLE_SQL, "op7_gzip_normaliser": warc.ORACLE_SQL}
+ORACLE_SQL = {"op4_repetition_coverage": quality.ORACLE_SQL, "op6_secret_entropy": secrets.ORACLE_SQL, "op7_gzip_normaliser": warc.ORACLE_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
