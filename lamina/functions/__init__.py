@@ -5,6 +5,8 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.digests import mark_unstable
+
 
 def py(returns, arrow=True):
     """Marks a plain Python function: it becomes a UDF with this return type. Its batches travel by Arrow.
@@ -81,10 +83,13 @@ def is_stable(value):
 
 
 def is_unstable(value):
-    """Says that a function's digest follows its code; this is so for all functions that is_stable does not mark."""
+    """Says that an installed library's function or class may change: its digest follows all that it refers to, as that of
+    your own functions does anyway."""
+    mark_unstable(f"{value.__module__}.{value.__qualname__}")
     return value
 
 
 def unstable_module(module):
-    """Kept for declarations that use it: digests follow the code of every module's functions."""
+    """is_unstable for everything of a module (or of the module of that name)."""
+    mark_unstable(module if isinstance(module, str) else module.__name__)
     return module

@@ -3,9 +3,9 @@
 import json
 import uuid
 from abc import ABC, abstractmethod
-from bisect import bisect_right
 from dataclasses import replace
 from math import ceil
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.sql import Window
@@ -13,48 +13,67 @@ from pyspark.sql import functions as F
 
 from ..plans.dataset import Layer, plan_digest, session
 from ..plans.names import DependencyError, listed
-from ..plans.nodes import Kept, Leaf, Lowering, code_digest, quoted
+from ..plans.nodes import Kept, Leaf, Lowering, code_digest, columns_of, projected, quoted
 from ..sources.tables import exists
 
 MARK = ".lamina-cache"
 
 
 class Cache(ABC):
-    """A store of frames by digest."""
+    """A store of frames by digest. prepare() makes of a digest what get() and set() take: a key and a context."""
+
+    def prepare(self, digest):
+        return digest, None
+
+    def raw_get(self, digest):
+        return self.get(*self.prepare(digest))
+
+    def raw_set(self, digest, frame):
+        key, context = self.prepare(digest)
+        return self.set(key, frame, context)
 
     @abstractmethod
-    def get(self, digest):
-        """The frame of a digest, or None."""
+    def get(self, key, context=None):
+        """(frame, True), or (None, False) if there is none."""
 
     @abstractmethod
-    def set(self, digest, frame):
+    def set(self, key, frame, context=None):
         """Stores a frame and returns it as stored."""
 
 
 class MemoryCache(Cache):
-    """Persisted frames; the oldest go when there are more than size."""
+    """Persisted frames; the longest unused go when there are more than size. Threads may share one."""
 
     def __init__(self, size=None):
-        self.size, self.frames = size, {}
-
-    def get(self, digest):
-        if digest in self.frames:
-            self.frames[digest] = self.frames.pop(digest)
-        return self.frames.get(digest)
-
-    def set(self, digest, frame):
-        self.frames[digest] = frame.persist(StorageLevel.MEMORY_AND_DISK)
-        while self.size is not None and len(self.frames) > self.size:
-            self.frames.pop(next(iter(self.frames))).unpersist()
-        return frame
+        self.size, self.frames, self._lock = size, {}, Lock()
+
+    def get(self, key, context=None):
+        with self._lock:
+            if key not in self.frames:
+                return None, False
+            self.frames[key] = self.frames.pop(key)
+            return self.frames[key], True
+
+    def set(self, key, frame, context=None):
+        with self._lock:
+            if key not in self.frames:
+                self.frames[key] = frame.persist(StorageLevel.MEMORY_AND_DISK)
+            while self.size is not None and len(self.frames) > self.size:
+                self.frames.pop(next(iter(self.frames))).unpersist()
+            return self.frames.get(key, frame)
 
     def clear(self):
-        while self.frames:
-            self.frames.popitem()[1].unpersist()
+        with self._lock:
+            while self.frames:
+                self.frames.popitem()[1].unpersist()
+
+    def __reduce__(self):
+        return type(self), (self.size,)
 
 
 class ParquetCache(Cache):
-    """Parquet under root/<digest>; a folder counts only when it is complete and readable."""
+    """Parquet under root/<digest>/<version>. A version gets its name when it is complete, and none is ever removed or
+    replaced while it can be read: writers at the same time leave one version each, and readers take the first."""
 
     def __init__(self, root, labels=None):
         self.root, self.labels = str(root).rstrip("/"), labels
@@ -62,29 +81,44 @@ class ParquetCache(Cache):
     def path(self, digest):
         return f"{self.root}/{digest}"
 
-    def get(self, digest):
-        if not exists(f"{self.path(digest)}/_SUCCESS"):
-            return None
-        try:
-            frame = session().read.parquet(self.path(digest))
-            frame.limit(1).collect()
-            return frame
-        except Exception:  # a damaged entry is made anew
-            return None
-
-    def set(self, digest, frame, partition=()):
+    def _versions(self, digest):
         spark = session()
-        own = f"{self.root}/.{digest}-{uuid.uuid4().hex}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.path(digest))
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(n for n in names if not n.startswith(".") and exists(f"{self.path(digest)}/{n}/_SUCCESS"))
+
+    def get(self, key, context=None):
+        for version in self._versions(key):
+            try:
+                frame = session().read.parquet(f"{self.path(key)}/{version}")
+                frame.limit(1).collect()
+                return frame, True
+            except Exception:  # a damaged version goes, and is made anew
+                _remove(f"{self.path(key)}/{version}")
+        return None, False
+
+    def set(self, key, frame, context=None, partition=(), more=()):
+        """more: pairs of a name and a frame that are written beside it, under _<name>."""
+        spark, version = session(), uuid.uuid4().hex
+        own = f"{self.path(key)}/.{version}"
         writer = frame.write.mode("overwrite")
         (writer.partitionBy(*partition) if partition else writer).parquet(own)
+        stored = spark.read.parquet(own)
+        for name, made in more:
+            made(stored).write.parquet(f"{own}/_{name}")
         if self.labels is not None:
             _write_text(f"{own}/_labels.json", json.dumps(self.labels))
-        at, to = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (own, self.path(digest)))
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(to):
-            fs.delete(to, True)
-        fs.rename(at, to)
-        return spark.read.parquet(self.path(digest))
+        at, to = (spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(key)}/{x}{version}") for x in (".", ""))
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, to):
+            raise OSError(f"{to.toString()} can't be given its name")
+        return spark.read.parquet(f"{self.path(key)}/{version}")
+
+
+def _remove(path):
+    spark = session()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _write_text(path, text):
@@ -130,22 +164,29 @@ class CacheToRam(CacheLayer):
 
     def _connected(self, data, names):
         hidden = {n: f"#kept:{id(self)}:{n}" for n in names}
+        outputs = data.outputs | {n: Kept(Leaf(hidden[n]), data.outputs[n]) for n in names}
 
         def extended(frame):
             low = Lowering(frame)
             cols = {hidden[n]: low.column(data.outputs[n]) for n in names}
             return low.frame.withColumns(cols)
 
-        digest = code_digest(tuple(plan_digest(data, n) for n in names))
-        base = self._cache.get(digest)
-        if base is None:
-            base = self._cache.set(digest, extended(data.base))
+        def narrow(frame):
+            """Only what the held fields and their digests, and the other fields, are made of; on the way back all may be needed."""
+            if data.back:
+                return frame
+            needed = {"id", data.order}.union(*(columns_of(x, d) for x in outputs.values() for d in (False, True)))
+            return frame.select(*(quoted(c) for c in frame.columns if c in needed))
+
+        digest = code_digest((bool(data.back), tuple(sorted(outputs)), tuple(plan_digest(data, n) for n in names)))
+        base, found = self._cache.raw_get(digest)
+        if not found:
+            base = self._cache.raw_set(digest, narrow(extended(data.base)))
 
         def opened(key):
             found = base.where(F.col("id") == key)
             return found if found.limit(1).count() else extended(data.open(key))
 
-        outputs = data.outputs | {n: Kept(Leaf(hidden[n]), data.outputs[n]) for n in names}
         return replace(data, outputs=outputs, base=base, open=opened)
 
     def __repr__(self):
@@ -155,6 +196,8 @@ class CacheToRam(CacheLayer):
 class CacheToDisk(CacheLayer):
     """Keeps fields in Parquet files, found again by a digest of functions, arguments and source files in any later session."""
 
+    _unknown = "left"  # an entry that is not stored is made when it is read
+
     def __init__(self, root, names=None, *, impure=False, labels=None):
         super().__init__(names, impure)
         self.root, self.labels = str(root).rstrip("/"), labels
@@ -175,45 +218,43 @@ class CacheToDisk(CacheLayer):
     def _stored(self, data, names):
         cache = ParquetCache(self.root, self.labels)
         digest = code_digest(("disk", *(plan_digest(data, n) for n in names)))
-        found = cache.get(digest)
-        return found if found is not None else cache.set(digest, data.frame(names))
+        found, there = cache.raw_get(digest)
+        return found if there else cache.raw_set(digest, data.frame(names))
+
+    def _at(self, stored, key):
+        """The rows of stored with this id."""
+        return stored.where(F.col("id") == key)
 
     def _connected(self, data, names):
         stored = self._stored(data, names)
         hidden = {n: f"#disk:{id(self)}:{n}" for n in names}
-        own = stored.select(F.col("id").alias("#disk:id"), *(quoted(n).alias(h) for n, h in hidden.items()))
-        if not data.back and set(names) == {n for n in data.fields() if n != "id"} and data.order is None and not any(n.startswith("#digest") for n in names):
-            base = own.withColumnRenamed("#disk:id", "id")
-            outputs = {"id": Leaf("id")} | {n: Kept(Leaf(hidden[n]), _Restored(data, n)) for n in names}
-            return replace(data, outputs=outputs, base=base, open=lambda key: base.where(F.col("id") == key))
-        joined = lambda frame: frame.join(own, F.col("id") == F.col("#disk:id"), "left").drop("#disk:id")
-        base = joined(data.base)
-
-        def opened(key):
-            return joined(data.open(key).where(F.col("id").isNotNull()))
-
         outputs = data.outputs | {n: Kept(Leaf(hidden[n]), data.outputs[n]) for n in names}
-        return replace(data, outputs=outputs, base=base, open=opened)
 
-    def __repr__(self):
-        return f"{type(self).__name__}({self.names or ''})"
+        def own(frame):
+            return projected(frame, [("id", F.col("id")), *((h, quoted(n)) for n, h in hidden.items())])
+
+        whole = set(names) == {n for n in data.fields() if n != "id"} and set().union(*(columns_of(data.outputs[n], True) for n in names)) <= {"id"}
+        if whole and not data.back and data.order is None:  # nothing but the files is needed
+            return replace(data, outputs=outputs, base=own(stored), open=lambda key: own(self._at(stored, key)))
 
+        def joined(frame, rows, how="left"):
+            return frame.join(own(rows).withColumnRenamed("id", "#disk:id"), F.col("id") == F.col("#disk:id"), how).drop("#disk:id")
 
-class _Restored(Leaf):
-    """A stored field's provenance: by the plan that made it and its row."""
+        return replace(data, outputs=outputs, base=joined(data.base, stored), open=lambda key: joined(data.open(key), self._at(stored, key), self._unknown))
 
-    def __init__(self, data, name):
-        super().__init__("id")
-        self.plan = plan_digest(data, name)
-        self.digest = None
+    def __repr__(self):
+        return f"{type(self).__name__}({self.names or ''})"
 
 
 class CacheColumns(CacheToDisk):
     """CacheToDisk in shards of sorted keys: shard_size rows each, or that fraction of all, or (None) one shard.
 
-    A frame of one shard's keys reads that shard's folder only. Unknown keys: ValueError.
+    Each shard is a folder; the first and last key of each are kept beside them, and reading an entry by its key reads
+    the folder of its shard only. Unknown keys: ValueError.
     """
 
+    _unknown = "inner"
+
     def __init__(self, root, names=None, *, shard_size=None, impure=False, labels=None, verbose=False):
         if shard_size == 1:
             raise ValueError("shard_size is a number of rows over 1, or a fraction under 1")
@@ -233,39 +274,34 @@ class CacheColumns(CacheToDisk):
     def _stored(self, data, names):
         cache = ParquetCache(self.root, self.labels)
         digest = code_digest(("columns", self.shard_size, *(plan_digest(data, n) for n in names)))
-        found = cache.get(digest)
-        if found is None:
-            found = cache.set(digest, sharded(data.frame(names), self.shard_size), ["#shard"])
+        found, there = cache.raw_get(digest)
+        if not there:
+            bounds = lambda stored: stored.groupBy("#shard").agg(F.min("id").alias("low"), F.max("id").alias("high")).coalesce(1)
+            path = f"{self.root}/.sorted-{uuid.uuid4().hex}"
+            found = cache.set(digest, sharded(data.frame(names), self.shard_size, path), None, ["#shard"], [("bounds", bounds)])
+            _remove(path)
         return found
 
-
-#: Keys looked at to place range bounds, for each range, and rows of a range.
-SAMPLED, RANGE_ROWS = 50, 100_000
+    def _at(self, stored, key):
+        root = stored._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().head().toString()
+        shard = session().read.parquet(f"{root}/_bounds").where((F.col("low") <= key) & (F.col("high") >= key)).select("#shard").first()
+        return stored.where(F.col("id") == key).where(F.col("`#shard`") == (shard[0] if shard else -1))
 
 
-def sharded(frame, shard_size):
+def sharded(frame, shard_size, path):
     """frame with #shard: the number of each row's shard in the order of ids.
 
-    Ranks are exact and distributed: keys fall into ranges (bounds from a sample), are counted by range
-    and ranked inside it.
+    Rows are written once, sorted, to `path`; a row's rank is its place in its file after the rows of the files before. Of the
+    rows nothing comes to the driver but their number.
     """
-    rows = frame.count()
-    size = rows if shard_size is None else ceil(shard_size * rows) if isinstance(shard_size, float) else shard_size
-    ranges = max(1, ceil(rows / RANGE_ROWS))
-    bounds = []
-    if ranges > 1:
-        some = sorted(r[0] for r in frame.select("id").sample(min(1.0, SAMPLED * ranges / rows), seed=7).collect())
-        bounds = sorted({some[len(some) * k // ranges] for k in range(1, ranges)})
-    placed = frame.withColumn("#range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("id"))) if bounds else F.lit(0))
-    counts = dict(sorted(tuple(r) for r in placed.groupBy("#range").count().collect()))
-    starts, total = [], 0
-    for k in range(len(bounds) + 1):
-        starts.append(total)
-        total += counts.get(k, 0)
-    rank = F.row_number().over(Window.partitionBy("#range").orderBy("id")) - 1 + F.element_at(F.array(*map(F.lit, starts)), F.col("#range") + 1)
-    return placed.withColumn("#shard", F.floor(rank / F.lit(max(1, size))).cast("int")).drop("#range")
-
-
-def shard_of(ids, size, key):
-    """The number of a key's shard among sorted ids."""
-    return (bisect_right(ids, key) - 1) // size
+    frame.repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
+    rows = session().read.schema(frame.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("#file"), F.col("_metadata.row_index").alias("#row"))
+    counts = rows.groupBy("#file").agg(F.count("*").alias("#n"))
+    before = Window.orderBy("#file").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
+    starts = counts.select("#file", F.coalesce(F.sum("#n").over(before), F.lit(0)).alias("#start"))
+    size = shard_size
+    if not isinstance(size, int):
+        total = rows.count()
+        size = total if size is None else ceil(size * total)
+    placed = rows.join(F.broadcast(starts), "#file")
+    return placed.withColumn("#shard", F.floor((F.col("#start") + F.col("#row")) / F.lit(max(1, size))).cast("int")).drop("#file", "#row", "#start")

@@ -5,13 +5,14 @@ fields, and the rules that say which names go on to the next layer. Without a so
 missing and inputs stay open; such a chain is a function of DataFrames (`apply`) or of values.
 """
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .names import DependencyError, FieldError, Names
+from .names import DependencyError, FieldError, HashError, Names
 from .nodes import Argument, Call, Item, Leaf, Lowering, projected, quoted, static_digest
 
 
@@ -33,10 +34,9 @@ class Dataset:
     keys: str = "ids"  # the property that lists the ids
 
     def property(self, name):
-        """The value of a property; that of `keys` is the tuple of ids."""
+        """The value of a property; that of `keys` is the sequence of ids."""
         if name == self.keys and self.base is not None and self.properties.get(name) is None:
-            order = [F.col(f"`{self.order}`")] if self.order else []
-            return tuple(r[0] for r in self.base.select("id", *order).orderBy(*order, "id").collect())
+            return Ids(self.base, self.order)
         return self.properties[name]()
 
     def node(self, name, layer=""):
@@ -58,9 +58,16 @@ class Dataset:
         low = Lowering(self.base)
         cols = [(n, low.column(self.outputs[n])) for n in ["id", *names]]
         if digests:
-            cols += [(f"#digest:{n}", low.digest(self.outputs[n])) for n in names if not self.outputs[n].is_impure()]
+            cols += [(f"#digest:{n}", low.digest(self.outputs[n])) for n in names if self.has_digest(n)]
         return projected(low.frame, [*cols, *((h, quoted(h)) for h in hidden)])
 
+    def has_digest(self, name):
+        """Whether a field's values can be told by how they are made; else a digest is that of the value."""
+        try:
+            return bool(static_digest(self.outputs[name]))
+        except HashError:
+            return False
+
     def fields(self):
         return [n for n in self.outputs if n not in self.properties]
 
@@ -72,6 +79,44 @@ class Dataset:
         return replace(self, **{"outputs": outputs, "base": frame, "open": lambda key: frame.where(F.col("id") == key), "order": None, "virtual": Names(), "back": None, "absent": frozenset(), **changes})
 
 
+class Ids(Sequence):
+    """The ids, in order, as a sequence that reads no more than it must: its length is a count, `in` a lookup, and only
+    iteration or an index brings ids to the driver (iteration a partition at a time)."""
+
+    def __init__(self, base, order=None):
+        self._base, self._order, self._found = base, order, None
+
+    def _sorted(self):
+        order = [F.col(f"`{self._order}`")] if self._order else []
+        return self._base.select("id", *order).orderBy(*order, "id").select("id")
+
+    def __len__(self):
+        return self._base.count() if self._found is None else len(self._found)
+
+    def __contains__(self, key):
+        return self._base.where(F.col("id") == key).limit(1).count() > 0 if self._found is None else key in self._found
+
+    def __iter__(self):
+        return iter(self._found) if self._found is not None else (r[0] for r in self._sorted().toLocalIterator())
+
+    def __getitem__(self, index):
+        if self._found is None:
+            self._found = tuple(self)
+        return self._found[index]
+
+    def __eq__(self, other):
+        return isinstance(other, (tuple, list, Ids)) and tuple(self) == tuple(other)
+
+    def __hash__(self):
+        return hash(tuple(self))
+
+    def __add__(self, other):
+        return tuple(self) + tuple(other)
+
+    def __repr__(self):
+        return repr(tuple(self))
+
+
 def session():
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 

@@ -6,13 +6,12 @@ projected before their users, so that all of them see one value. Beside its valu
 Column that follows the provenance of the value (functions, their code and the row they come from).
 """
 
-import hashlib
 import inspect
-import types
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .digests import code_digest
 from .names import HashError
 
 
@@ -26,31 +25,6 @@ def projected(frame, columns):
     return frame.select(*(c.alias(f"#out:{i}") for i, (_, c) in enumerate(pairs))).toDF(*(n for n, _ in pairs))
 
 
-def code_digest(value, _seen=None):
-    """A digest of a function (code, constants, defaults, closure, the globals it names) or of a plain value."""
-    seen = _seen if _seen is not None else set()
-    if id(value) in seen:
-        return "again"
-    if isinstance(value, (str, bytes, int, float, bool, type(None))):
-        return hashlib.sha256(repr(value).encode()).hexdigest()
-    if isinstance(value, (list, tuple, set, frozenset, dict)):
-        items = value.items() if isinstance(value, dict) else value
-        parts = [code_digest(x, seen) for x in items]
-        return hashlib.sha256((type(value).__name__ + "".join(parts if isinstance(value, (list, tuple)) else sorted(parts))).encode()).hexdigest()
-    seen.add(id(value))
-    if hasattr(value, "digest_parts"):
-        return code_digest(value.digest_parts(), seen)
-    if isinstance(value, types.CodeType):
-        return code_digest(("code", value.co_code, value.co_names, value.co_varnames, tuple(c for c in value.co_consts)), seen)
-    if isinstance(value, types.FunctionType):
-        cells = tuple(c.cell_contents for c in value.__closure__ or ())
-        named = {n: value.__globals__[n] for n in value.__code__.co_names if isinstance(value.__globals__.get(n), (types.FunctionType, str, int, float, bool, bytes, tuple))}
-        return code_digest(("function", value.__code__, value.__defaults__, cells, named), seen)
-    if isinstance(value, types.MethodType):
-        return code_digest(("method", value.__func__, repr(type(value.__self__))), seen)
-    return code_digest(("object", getattr(value, "__module__", ""), getattr(value, "__qualname__", type(value).__qualname__)), seen)
-
-
 class Node:
     impure = False
 
@@ -65,8 +39,19 @@ class Node:
         return self.impure or any(n.is_impure() for n in self.parts())
 
 
+class ByRow:
+    """The digest of a table's column: of the table, the column's name and the row's id. It needs no column of its own."""
+
+    def __init__(self, rows, name):
+        self.rows, self.name = rows, name
+
+    def column(self):
+        return F.sha2(F.concat_ws("|", F.lit(self.rows), F.lit(self.name), F.col("id")), 256)
+
+
 class Leaf(Node):
-    """A column of the base; `digest` is the name of the column that has its digest, `impure` says that its values can't be had again."""
+    """A column of the base; `digest` is the name of the column that has its digest, or a ByRow; `impure` says that its values
+    can't be had again."""
 
     def __init__(self, column, digest=None, impure=False):
         self.column, self.digest, self.impure = column, digest, impure
@@ -191,7 +176,7 @@ class Lowering:
         if isinstance(node, Leaf):
             if node.impure:
                 raise HashError("a value that depends on an impure function has no digest")
-            out = quoted(node.digest) if node.digest else F.sha2(F.to_json(F.struct(quoted(node.column).alias("v"))), 256)
+            out = node.digest.column() if isinstance(node.digest, ByRow) else quoted(node.digest) if node.digest else F.sha2(F.to_json(F.struct(quoted(node.column).alias("v"))), 256)
         elif isinstance(node, Kept):
             out = self.digest(node.node)
         elif isinstance(node, Argument):
@@ -213,6 +198,23 @@ class Lowering:
         return out
 
 
+def columns_of(node, digest=False):
+    """Names of the base's columns that the node's value, or its digest, is made of."""
+    if isinstance(node, Leaf):
+        if not digest:
+            return {node.column}
+        return {"id"} if isinstance(node.digest, ByRow) else {node.digest or node.column}
+    if isinstance(node, Kept):
+        return columns_of(node.node, True) if digest else columns_of(node.leaf)
+    if isinstance(node, Call):
+        if digest and not node.by_value:
+            args = [node.args[0]] if node.code == "identity" else [n for i, n in enumerate(node.args) if i not in node.silent]
+            return set().union(*(columns_of(n, True) for n in args))
+        reduced = {f"#{node.function.name}:{n.column}" for n in node.args if isinstance(n, Leaf)} if hasattr(node.function, "aggregate") else set()
+        return reduced.union(*(columns_of(n) for n in node.args))
+    return set().union(*(columns_of(n, digest) for n in node.parts()))
+
+
 def _several(value):
     return any(isinstance(x, Column) for x in value)
 

@@ -6,14 +6,16 @@ a table lists its ids, and its fields are functions of the key.
 """
 
 import inspect
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.dataset import CallableLayer, Dataset, one_row, session
 from ..plans.declare import Declaration, Function, LayerMeta, Marked
 from ..plans.names import FieldError, Names
-from ..plans.nodes import Argument, Call, Leaf, Lowering, code_digest
+from ..plans.nodes import Argument, ByRow, Call, Leaf, Lowering, code_digest
 from ..plans.resolve import Forward
 from .tables import table_digest
 
@@ -29,6 +31,23 @@ def _keyed(ids):
     return base, code_digest(tuple(ids)), "#order"
 
 
+def _at_key(value, column, kind):
+    """The condition for one id. For a column of whole numbers, days or strings it is also one of the column itself, in its own
+    type, which reaches the scan; what no such value is written as is no id."""
+    same = F.col("id") == value
+    if isinstance(kind, T.StringType):
+        return same & (F.col(f"`#raw:{column}`") == value)
+    if isinstance(kind, T.IntegralType) and isinstance(value, str):
+        least = {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 63}[kind.simpleString()]
+        whole = int(value) if re.fullmatch("0|-?[1-9][0-9]{0,18}", value) else None
+        if whole is None or not -(1 << least) <= whole < 1 << least:
+            return F.lit(False)
+        return same & (F.col(f"`#raw:{column}`") == F.lit(whole).cast(kind))
+    if isinstance(kind, T.DateType) and isinstance(value, str) and re.fullmatch(r"\d{4}-\d\d-\d\d", value):
+        return same & (F.col(f"`#raw:{column}`") == F.lit(value).cast("date"))
+    return same
+
+
 def _dataset(declared, values):
     table, key = declared.special.get("__table__"), declared.special.get("__key__", "id")
     if any(e.name == "id" for e in declared.edges):
@@ -43,13 +62,13 @@ def _dataset(declared, values):
             key_column = F.col(f"`{key}`")
         else:
             key_column = key(*(F.col(f"`{n}`") for n in inspect.signature(key).parameters))
-        raw = frame.select(key_column.cast("string").alias("id"), *(F.col(f"`{c}`").alias(f"#raw:{c}") for c in frame.columns))
-        base = raw.select("*", *(F.sha2(F.concat_ws("|", F.lit(rows), F.lit(c), "id"), 256).alias(f"#rawdigest:{c}") for c in frame.columns))
-        opened = lambda k, base=base: base.where(F.col("id") == k)
+        base = frame.select(key_column.cast("string").alias("id"), *(F.col(f"`{c}`").alias(f"#raw:{c}") for c in frame.columns))
+        kind = frame.schema[key].dataType if isinstance(key, str) else None
+        opened = lambda k, base=base: base.where(_at_key(k, key, kind))
 
     def leaf(name, edge):
         if name in columns and name != "id":
-            return Leaf(f"#raw:{name}", f"#rawdigest:{name}")
+            return Leaf(f"#raw:{name}", ByRow(rows, name))
         keys = {p.name for p in edge.places if type(p).__name__ == "Input" and p.name not in columns}
         if len(keys) > 1:
             raise FieldError(f"{edge.name} has several keys: {sorted(keys)}")
