@@ -35,8 +35,10 @@ CHUNK, BLOCK = 8, 512
 #: Tokens after which a file is closed and the next one begun.
 FILE_TOKENS = 2_000_000
 END_ID = 2
-#: Distinct matches of which a worker keeps the ids, some 20 MB; when there are more it starts anew.
-KEPT = 100_000
+#: Distinct matches of which a worker keeps the ids, some 40 MB; when there are more it starts anew.
+KEPT = 1_000_000
+#: Matches that the library is asked for at a time.
+LINES = 10_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint64)
 
 
@@ -202,7 +204,8 @@ class Encoder:
         # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from U+0100
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
-        self.written = {b: 256 + k for k, b in enumerate(rest)}
+        self.written = np.arange(256, dtype="<u4")
+        self.written[rest] = 256 + np.arange(len(rest))
         self.lines.pre_tokenizer = CharDelimiterSplit(chr(self.written[10]))
         self.bytes_of = np.zeros(whole.get_vocab_size(), np.int64)
         for token, i in whole.get_vocab().items():
@@ -211,46 +214,67 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.place, self.pool, self.from_, self.count, self.used = {}, np.zeros(1 << 16, np.uint32), np.zeros(KEPT, np.int64), np.zeros(KEPT, np.int32), 0
-
-    def _ids(self, matches):
-        """Arrays of the ids of some matches (bytes)."""
-        out, lines = [None] * len(matches), []
-        for k, m in enumerate(matches):
-            if m.isspace() or b"\n" in m:
-                out[k] = np.array(self.whole.encode(m.decode(), add_special_tokens=False).ids, np.uint32)
-            else:
-                lines.append(k)
-        if lines:
-            data = b"\n".join(matches[k] for k in lines)
-            ids = np.array(self.lines.encode_batch_fast([data.decode("latin-1").translate(self.written)], add_special_tokens=False)[0].ids, np.uint32)
-            feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-            ends = np.append(feeds, len(data)) - np.arange(len(lines))  # of lines, in bytes without line feeds
-            to = np.searchsorted(done := np.cumsum(self.bytes_of[ids]), ends) + 1
-            if (done[to - 1] != ends).any():
-                raise ValueError("the vocabulary does not keep lines apart")
-            for k, part in zip(lines, np.split(ids, to[:-1])):
-                out[k] = part
+        """Starts anew: hashes of the kept matches in order, and their numbers; by number, their first id in the pool and how many."""
+        self.keys, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.new_keys, self.new_numbers = self.keys, self.numbers
+        self.from_, self.count, self.pool, self.used, self.filled = np.zeros(KEPT, np.int32), np.zeros(KEPT, np.int32), np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _known(self, keys):
+        """The numbers of the kept matches with these hashes, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        for have, numbers in ((self.keys, self.numbers), (self.new_keys, self.new_numbers)):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                np.copyto(out, numbers[at], where=have[at] == keys)
         return out
 
-    def _places(self, keys, matches):
-        """The numbers of the kept matches with these hashes; matches(k) gives the bytes of the k-th."""
+    def _add(self, ids, counts):
+        size = int(counts.sum())
+        while self.filled + size > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + size] = ids
+        self.from_[self.used : self.used + len(counts)] = self.filled + np.cumsum(counts) - counts
+        self.count[self.used : self.used + len(counts)] = counts
+        self.used, self.filled = self.used + len(counts), self.filled + size
+
+    def _learn(self, data, start, end):
+        """Adds the ids of the matches of data with these bounds, in their order."""
+        feeds = np.concatenate([[0], np.cumsum(data == 10)])
+        if (odd := feeds[end] > feeds[start]).any():  # they are white space, so there are few
+            cuts = np.flatnonzero(np.append(True, odd[1:] | odd[:-1]))
+            for a, b in zip(cuts, np.append(cuts[1:], len(odd))):
+                if odd[a]:
+                    ids = np.array(self.whole.encode(data[start[a] : end[a]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+                    self._add(ids, np.array([len(ids)]))
+                else:
+                    self._learn(data, start[a:b], end[a:b])
+            return
+        for a in range(0, len(start), LINES):
+            first, size = start[a : a + LINES], (end - start)[a : a + LINES]
+            to = np.cumsum(size + 1)
+            text = data[np.minimum(np.arange(to[-1]) - np.repeat(to - size - 1, size + 1) + np.repeat(first, size + 1), len(data) - 1)]
+            text[to - 1] = 10
+            ids = np.array(self.lines.encode_batch_fast([self.written[text[:-1]].tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.uint32)
+            done, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(size)
+            at = np.searchsorted(done, ends) + 1
+            if (done[at - 1] != ends).any():
+                raise ValueError("the vocabulary does not keep lines apart")
+            self._add(ids, np.diff(at, prepend=0))
+
+    def _numbers(self, keys, data, start, end):
+        """The numbers of the distinct matches with these hashes (in order) and bounds; new ones are learned."""
         if self.used + len(keys) > KEPT:
             self._forget()
-        found = np.array([self.place.get(k, -1) for k in keys.tolist()], np.int64)
-        new = np.flatnonzero(found < 0)
+        out = self._known(keys)
+        new = np.flatnonzero(out < 0)
         if len(new):
-            ids = self._ids([matches(k) for k in new.tolist()])
-            size = np.array([len(x) for x in ids])
-            at = int(self.from_[self.used - 1] + self.count[self.used - 1]) if self.used else 0
-            while at + size.sum() > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[at : at + size.sum()] = np.concatenate(ids)
-            found[new] = np.arange(self.used, self.used + len(new))
-            self.from_[found[new]], self.count[found[new]] = at + np.cumsum(size) - size, size
-            self.place.update(zip(keys[new].tolist(), found[new].tolist()))
-            self.used += len(new)
-        return found
+            out[new] = np.arange(self.used, self.used + len(new))
+            self._learn(data, start[new], end[new])
+            self.new_keys, self.new_numbers = _merged(self.new_keys, self.new_numbers, keys[new], out[new])
+            if len(self.new_keys) > LINES + len(self.keys) // 8:
+                self.keys, self.numbers = _merged(self.keys, self.numbers, self.new_keys, self.new_numbers)
+                self.new_keys, self.new_numbers = self.keys[:0], self.numbers[:0]
+        return out
 
     def _of_starts(self, data, offs, start):
         """(ids of all texts, number of ids of each)."""
@@ -266,7 +290,7 @@ class Encoder:
         for a in range(0, len(start), KEPT // 2):  # never more distinct matches at once than are kept
             part = key[a : a + KEPT // 2]
             distinct, one, which = np.unique(part, return_index=True, return_inverse=True)
-            place = self._places(distinct, lambda k, a=a, one=one: data[start[a + one[k]] : end[a + one[k]]].tobytes())[which]
+            place = self._numbers(distinct, data, start[a + one], end[a + one])[which]
             size = self.count[place].astype(np.int64)
             total = np.cumsum(size)
             ids.append(self.pool[np.arange(total[-1]) + np.repeat(self.from_[place] - (total - size), size)])
@@ -304,6 +328,12 @@ class Encoder:
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
 
+def _merged(keys, numbers, more, own):
+    keys, numbers = np.concatenate([keys, more]), np.concatenate([numbers, own])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], numbers[order]
+
+
 @lru_cache(2)
 def encoder(path=None):
     """A worker's encoder: what it has kept serves the worker's later tasks too."""
