@@ -33,6 +33,8 @@ from .session import schema_of, small_batches, table, with_text
 #: Most texts of a language that are learned from.
 PER_LANG = 200
 ROUNDS, SMOOTH = 4, 0.5
+#: Parts of a language's texts that are ranked by themselves.
+RANKED = 64
 #: Bytes of a block of a long run.
 BLOCK = 512
 #: Most numbers in one table of expectation().
@@ -275,8 +277,9 @@ def fit(rows, text="text", lang="lang", per_lang=PER_LANG, path=None):
     """A Model from a frame of labelled texts; null texts and labels are passed over."""
     own = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     own = own.withColumn("h", F.xxhash64("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    some = own.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_lang).drop("r")
+    some = own.select("lang", "h").distinct()
+    for of in (["lang", F.pmod("h", F.lit(RANKED))], ["lang"]):  # first within parts, so that no task gets all of a language
+        some = some.withColumn("r", F.row_number().over(Window.partitionBy(*of).orderBy("h"))).where(F.col("r") <= per_lang).drop("r")
     own = own.join(F.broadcast(some), ["lang", "h"]).groupBy("lang", "h").agg(F.any_value("text").alias("text"))  # per_lang rows a language
     found = own.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z\x{80}-\x{10FFFF}]+)"))).alias("word")).groupBy("lang", "word").count().collect()
     langs = sorted({r["lang"] for r in found})
