@@ -5,8 +5,9 @@ import importlib
 __version__ = "0.1.0"
 
 _PLACES = {
-    "functions": "py",
+    "functions": "batch py",
     "operators": "Apply CacheColumns CacheLayer CacheToDisk CacheToRam CheckIds Filter GroupBy HashDigest Join JoinMode Merge Split Transform TransformBase",
+    "operators.serializers": "ChainSerializer JsonSerializer Serializer",
     "plans.dataset": "CallableLayer Chain Dataset Layer LazyChain chained",
     "plans.declare": "AsOutput Function Input InverseInput InverseOutput Mixin Output Parameter Silent hash_by_value impure inverse meta optional positional",
     "plans.names": "DependencyError FieldError GraphError HashError Names",

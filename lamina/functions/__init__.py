@@ -1,6 +1,7 @@
 """Functions for fields: plain Python as a UDF, reductions of groups, and key digests."""
 
 import functools
+import inspect
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +35,35 @@ def py(returns, arrow=True):
     return decorate
 
 
+def batch(returns, load=None):
+    """Marks a function of whole batches: it gets pandas Series (or frames, for structs) and returns one, by an Arrow-batched
+    UDF, so nothing is done row by row. With load, a function without arguments such as one that reads a model, its result is the
+    first argument; it is loaded once for each task, not for each batch."""
+
+    def decorate(func):
+        from collections.abc import Iterator
+
+        import pandas as pd
+
+        def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+            first = () if load is None else (load(),)
+            for series in batches:
+                yield func(*first, *series)
+
+        def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            return run((series,) for series in batches)
+
+        @functools.wraps(func)
+        def call(*columns):
+            return F.pandas_udf(one if len(columns) == 1 else run, returns)(*columns)
+
+        call.digest_parts = lambda: ("batch", str(returns), func, load)
+        call.__signature__ = inspect.Signature(list(inspect.signature(func).parameters.values())[load is not None :])
+        return call
+
+    return decorate
+
+
 class Reduction:
     """A reduction of a group's values. Over a GroupBy it is the plan's own aggregate: the map of the group is never built."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.dataset import Layer, plan_digest, session
 from ..plans.names import DependencyError, listed
-from ..plans.nodes import Kept, Leaf, Lowering, code_digest, columns_of, projected, quoted
+from ..plans.nodes import Kept, Leaf, Lowering, code_digest, columns_of, projected, quoted, static_digest
 from ..sources.tables import exists
 
 MARK = ".lamina-cache"
@@ -172,13 +172,12 @@ class CacheToRam(CacheLayer):
             return low.frame.withColumns(cols)
 
         def narrow(frame):
-            """Only what the held fields and their digests, and the other fields, are made of; on the way back all may be needed."""
-            if data.back:
-                return frame
+            """Only what the held fields and their digests, the other fields and the way back are made of."""
             needed = {"id", data.order}.union(*(columns_of(x, d) for x in outputs.values() for d in (False, True)))
+            needed = needed.union(*(columns_of(x) for step in data.back or () for x in getattr(step, "nodes", ())))
             return frame.select(*(quoted(c) for c in frame.columns if c in needed))
 
-        digest = code_digest((bool(data.back), tuple(sorted(outputs)), tuple(plan_digest(data, n) for n in names)))
+        digest = code_digest((tuple(plan_digest(data, n) for n in sorted(outputs) if data.has_digest(n)), names, [static_digest(x) for step in data.back or () for x in getattr(step, "nodes", ()) if not x.is_impure()]))
         base, found = self._cache.raw_get(digest)
         if not found:
             base = self._cache.raw_set(digest, narrow(extended(data.base)))
@@ -198,13 +197,13 @@ class CacheToDisk(CacheLayer):
 
     _unknown = "left"  # an entry that is not stored is made when it is read
 
-    def __init__(self, root, names=None, *, impure=False, labels=None):
+    def __init__(self, root, names=None, *, serializer=None, impure=False, labels=None):
         super().__init__(names, impure)
-        self.root, self.labels = str(root).rstrip("/"), labels
+        self.root, self.labels, self.serializer = str(root).rstrip("/"), labels, serializer
 
     @classmethod
     def simple(cls, *names, root, serializer=None, labels=None):
-        """A cache of these fields under root, which is made if it is missing. Columns need no serializer."""
+        """A cache of these fields under root, which is made if it is missing."""
         root = str(root).rstrip("/")
         if exists(root):
             spark = session()
@@ -213,13 +212,19 @@ class CacheToDisk(CacheLayer):
             if len(listing) and not exists(f"{root}/{MARK}"):
                 raise FileNotFoundError(f"{root} holds something else than a cache")
         _write_text(f"{root}/{MARK}", "1")
-        return cls(root, names or None, labels=labels)
+        return cls(root, names or None, serializer=serializer, labels=labels)
 
     def _stored(self, data, names):
         cache = ParquetCache(self.root, self.labels)
-        digest = code_digest(("disk", *(plan_digest(data, n) for n in names)))
+        digest = code_digest(("disk", self.serializer, *(plan_digest(data, n) for n in names)))
         found, there = cache.raw_get(digest)
-        return found if there else cache.raw_set(digest, data.frame(names))
+        return found if there else cache.raw_set(digest, self._encoded(data.frame(names)))
+
+    def _encoded(self, frame):
+        if self.serializer is None:
+            return frame
+        kinds = {f.name: f.dataType for f in frame.schema}
+        return projected(frame, [("id", F.col("id")), *((n, self.serializer.encode(quoted(n), k)) for n, k in kinds.items() if n != "id")])
 
     def _at(self, stored, key):
         """The rows of stored with this id."""
@@ -230,8 +235,11 @@ class CacheToDisk(CacheLayer):
         hidden = {n: f"#disk:{id(self)}:{n}" for n in names}
         outputs = data.outputs | {n: Kept(Leaf(hidden[n]), data.outputs[n]) for n in names}
 
+        kinds = {f.name: f.dataType for f in data.frame(names).schema} if self.serializer else {}
+
         def own(frame):
-            return projected(frame, [("id", F.col("id")), *((h, quoted(n)) for n, h in hidden.items())])
+            value = lambda n: self.serializer.decode(quoted(n), kinds[n]) if self.serializer else quoted(n)
+            return projected(frame, [("id", F.col("id")), *((h, value(n)) for n, h in hidden.items())])
 
         whole = set(names) == {n for n in data.fields() if n != "id"} and set().union(*(columns_of(data.outputs[n], True) for n in names)) <= {"id"}
         if whole and not data.back and data.order is None:  # nothing but the files is needed
@@ -255,16 +263,16 @@ class CacheColumns(CacheToDisk):
 
     _unknown = "inner"
 
-    def __init__(self, root, names=None, *, shard_size=None, impure=False, labels=None, verbose=False):
+    def __init__(self, root, names=None, *, serializer=None, shard_size=None, impure=False, labels=None, verbose=False):
         if shard_size == 1:
             raise ValueError("shard_size is a number of rows over 1, or a fraction under 1")
-        super().__init__(root, names, impure=impure, labels=labels)
+        super().__init__(root, names, serializer=serializer, impure=impure, labels=labels)
         self.shard_size = shard_size
 
     @classmethod
     def simple(cls, *names, root, shard_size=None, serializer=None, labels=None):
         made = CacheToDisk.simple(*names, root=root, labels=labels)
-        return cls(made.root, names or None, shard_size=shard_size, labels=labels)
+        return cls(made.root, names or None, serializer=serializer, shard_size=shard_size, labels=labels)
 
     def connect(self, data):
         if data.base is None or "id" not in data.outputs:
@@ -273,12 +281,12 @@ class CacheColumns(CacheToDisk):
 
     def _stored(self, data, names):
         cache = ParquetCache(self.root, self.labels)
-        digest = code_digest(("columns", self.shard_size, *(plan_digest(data, n) for n in names)))
+        digest = code_digest(("columns", self.shard_size, self.serializer, *(plan_digest(data, n) for n in names)))
         found, there = cache.raw_get(digest)
         if not there:
             bounds = lambda stored: stored.groupBy("#shard").agg(F.min("id").alias("low"), F.max("id").alias("high")).coalesce(1)
             path = f"{self.root}/.sorted-{uuid.uuid4().hex}"
-            found = cache.set(digest, sharded(data.frame(names), self.shard_size, path), None, ["#shard"], [("bounds", bounds)])
+            found = cache.set(digest, sharded(self._encoded(data.frame(names)), self.shard_size, path), None, ["#shard"], [("bounds", bounds)])
             _remove(path)
         return found
 

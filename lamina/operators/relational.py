@@ -50,7 +50,7 @@ class Merge(Fixed):
         optional = frozenset(n for n in common if all(n in p.optional for p in parts))
         absent = frozenset(n for p in parts for n in p.absent)
         outputs = {"id": Leaf("id")} | {n: Leaf(n, f"#digest:{n}" if f"#digest:{n}" in clean else None, any(p.outputs[n].is_impure() for p in parts)) for n in common}
-        self._layers = layers
+        self._layers, self._arguments = layers, (layers, {"validate": False})
         self._made = Dataset(outputs, base, lambda key: base.where(F.col("id") == key), persistent=parts[0].persistent, optional=optional, absent=absent, properties={keys: None}, back=None, missing=ValueError, rows=rows_digest(parts[0], "merge", tuple(p.rows for p in parts[1:])), path="Merge", keys=keys)
 
     def __repr__(self):
@@ -121,6 +121,7 @@ class Join(Fixed):
         outputs = {"id": Leaf("id")} | {n: Leaf(n, f"#digest:{n}" if f"#digest:{n}" in have else None, n in impure) for n in fields}
         self._made = Dataset(outputs, base, lambda k: base.where(F.col("id") == k), persistent=frozenset({"id", "ids"}), properties={"ids": None}, back=None, rows=rows_digest(l, "join", r.rows, on, how.value), path="Join", optional=(l.optional | r.optional) & frozenset(fields))
         self._left, self._right, self._on = left, right, on
+        self._arguments = (left, right, on), {"to_key": to_key, "cache": cache, "how": how, "validate": False}
 
     def __repr__(self):
         return f"Join({self._left!r}, {self._right!r}, on={self._on!r})"

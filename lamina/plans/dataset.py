@@ -135,8 +135,8 @@ def plain(value):
 class Method:
     """A compiled field or tuple of fields: called with a key, or with a sourceless chain's inputs."""
 
-    def __init__(self, data, names):
-        self.data, self.names = data, names
+    def __init__(self, data, names, layer=None):
+        self.data, self.names, self.layer = data, names, layer
         self.many = not isinstance(names, str)
         for n in [names] if not self.many else names:
             if not data.has(n) and n not in data.properties:
@@ -144,6 +144,12 @@ class Method:
         self.nodes = [data.node(n) for n in ([names] if not self.many else names) if n not in data.properties]
         self.inputs = ["id"] if data.base is not None else sorted(set().union(*(n.inputs() for n in self.nodes)))
 
+    def __reduce__(self):
+        """Frames can't be pickled, but the layers that make them can."""
+        if self.layer is None:
+            raise TypeError("only fields compiled from a layer can be pickled")
+        return type(self.layer)._compile, (self.layer, self.names)
+
     def __call__(self, *args, **kwargs):
         if isinstance(self.names, str) and self.names in self.data.properties:
             return self.data.property(self.names)
@@ -203,6 +209,9 @@ class CallableLayer(Layer):
     def _dataset(self) -> Dataset:
         return self.connect(OPEN)
 
+    def __reduce__(self):
+        return _remade, (type(self), self.__getstate__())
+
     @property
     def _data(self):
         if "_made" not in self.__dict__:
@@ -229,7 +238,10 @@ class CallableLayer(Layer):
         return sorted(self._data.outputs | dict.fromkeys(self._data.properties))
 
     def _compile(self, names):
-        return Method(self._data, names if isinstance(names, str) else tuple(names))
+        return Method(self._data, names if isinstance(names, str) else tuple(names), self)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_made"}  # it is made anew from what declares it
 
     @property
     def ids_df(self):
@@ -285,6 +297,12 @@ class CallableLayer(Layer):
         return replace(data, outputs=keep | current, properties={}, virtual=Names(), back=None)
 
 
+def _remade(cls, state):
+    layer = object.__new__(cls)
+    layer.__dict__.update(state)
+    return layer
+
+
 class Instance:
     """One entry: its fields by attribute or, several together, by index."""
 
@@ -310,6 +328,15 @@ class Fixed(CallableLayer):
     def connect(self, data):
         raise TypeError("a dataset can only be the head of a chain")
 
+    def __reduce__(self):
+        if "_arguments" not in self.__dict__:
+            raise TypeError("only datasets that are declared by layers can be pickled")
+        return _called, (type(self), *self._arguments)
+
+
+def _called(cls, args, kwargs):
+    return cls(*args, **kwargs)
+
 
 class Chain(CallableLayer):
     """Layers, each connected to the one before."""

@@ -104,19 +104,20 @@ class Forward:
         """The function that takes fields on the way back through this layer."""
         backs = [e for e in self.declared.edges if e.kind == "back"]
 
+        def ahead(place):
+            if isinstance(place, Parameter):
+                return self.argument(place, place)
+            if isinstance(place, Output):
+                return self.own(place.name)
+            return self.input(place.name, place)
+
         def step(current):
             def argument(place):
                 if isinstance(place, InverseInput):
                     if place.name in current:
                         return current[place.name]
                     raise Absent(place.name, True)
-                if isinstance(place, InverseOutput):
-                    return back(place.name)
-                if isinstance(place, Parameter):
-                    return self.argument(place, place)
-                if isinstance(place, Output):
-                    return self.own(place.name)
-                return self.input(place.name, place)
+                return back(place.name) if isinstance(place, InverseOutput) else ahead(place)
 
             memo = {}
 
@@ -136,6 +137,12 @@ class Forward:
                     pass
             return out
 
+        step.nodes = []  # of the way ahead, that the way back needs
+        for p in (p for e in backs for p in e.places if not isinstance(p, (InverseInput, InverseOutput))):
+            try:
+                step.nodes.append(ahead(p))
+            except Absent:
+                pass
         return step
 
 

@@ -1,35 +1,49 @@
 """Registered queries: one or more for each operator over the tables, with their oracle SQL.
 
-Rows are flat: maps of groups are exploded, and sums of doubles rounded, so that any engine can say the same.
+Rows are flat: maps of groups are exploded, and sums of doubles rounded, so that any engine can say the same. Operators whose
+point is a rule have a query of what each case does: its error, or what it gives.
 """
 
+import datetime
+import json
+import pickle
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
 from . import (
     Apply,
+    AsOutput,
     CacheColumns,
     CacheToDisk,
     CacheToRam,
     Chain,
     CheckIds,
     External,
+    ExternalBase,
     Filter,
     Function,
     GroupBy,
     HashDigest,
+    Input,
+    InverseInput,
+    InverseOutput,
     Join,
+    JsonSerializer,
+    Layer,
     LazyChain,
     Merge,
     Mixin,
     Output,
+    Parameter,
     Silent,
     Source,
     SourceBase,
     Split,
     Transform,
     TransformBase,
+    batch,
     chained,
     hash_by_value,
     impure,
@@ -475,11 +489,11 @@ def j7_to_key(spark, sf_dir):
 
 
 @query("""SELECT coalesce(b.k, c.k) AS id, coalesce(b.k, c.k) AS k, a.x, b.y, c.z FROM
-(SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS x FROM customer WHERE c_custkey % 2 = 0) a
+(SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS x FROM customer ) a
 JOIN ((SELECT CAST(p_partkey AS VARCHAR) AS k, p_name AS y FROM part WHERE p_size > 10) b
 FULL JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS k, s_name AS z FROM supplier) c ON b.k = c.k) ON a.k = coalesce(b.k, c.k)""")
 def j11_nested(spark, sf_dir):
-    a = Customer(sf_dir) >> Filter(lambda id: id.cast("long") % 2 == 0) >> Transform(k=lambda id: id, x=lambda name: name)
+    a = Customer(sf_dir) >> Transform(k=lambda id: id, x=lambda name: name)
     b = Part(sf_dir) >> Filter(lambda size: size > 10) >> Transform(k=lambda id: id, y=lambda name: name)
     c = SourceBase({"k": lambda s_suppkey: s_suppkey.cast("string"), "z": lambda s_name: s_name}, spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey")
     return Join(a, Join(b, c, "k", how="outer"), "k").to_df()
@@ -642,9 +656,12 @@ def k1_ram(spark, sf_dir):
     return (Lineitem(sf_dir) >> Net() >> CacheToRam()).to_df()
 
 
-def _folder(spark):
+def _folder(spark, name="cache"):
+    """A folder that executors share: in spark.checkpoint.dir or, for a local session that has none, a new one."""
     place = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{place.rstrip('/')}/cache" if place else tempfile.mkdtemp(prefix="lamina-cache-")
+    if not place and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{place.rstrip('/')}/{name}" if place else tempfile.mkdtemp(prefix=f"lamina-{name}-")
 
 
 @query(ORACLE_SQL["p2_inline"])
@@ -717,3 +734,467 @@ def i2_inverse(spark, sf_dir):
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, round((c_acctbal / (c_nationkey + 1) + 1) * (c_nationkey + 1), 4) AS guess FROM customer")
 def i4_loopback(spark, sf_dir):
     return (Customer(sf_dir) >> Scale() >> Apply(balance=lambda x: x * 1))._loopback(lambda x: x + 1, "balance", "guess").to_df()
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, round(c_acctbal * 2 + 1, 2) AS balance FROM customer")
+def i3_decorate(spark, sf_dir):
+    @(Customer(sf_dir) >> Transform(__inherit__=True))._decorate("balance")
+    def twice(balance):
+        return F.round(balance * 2 + 1, 2)
+
+    return twice.frame()
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_acctbal + 10 AS balance, c_nationkey * 2 AS nation FROM customer")
+def i5_several(spark, sf_dir):
+    class Shift(Transform):
+        __inherit__ = True
+
+        def balance(balance):
+            return balance + 4
+
+        @inverse
+        def balance(balance):
+            return balance + 6
+
+    chain = Customer(sf_dir) >> Shift()
+    return chain._wrap(lambda balance, nation: (balance, nation * 2), ("balance", "nation")).frame()
+
+
+@query("SELECT * FROM (VALUES ('apply', 'none'), ('cache', 'none'), ('filter', 'none'), ('group', 'ValueError'), ('merge', 'ValueError')) t(name, error)")
+def i6_contexts(spark, sf_dir):
+    ds, ask = Nation(sf_dir), lambda chain: lambda: chain._wrap(lambda x: x, "name")
+    return _cases(spark, {"apply": ask(ds >> Apply(name=F.upper)), "cache": ask(ds >> CacheToRam()), "filter": ask(ds >> Filter(lambda region: region > 0)), "group": ask(ds >> GroupBy("name") >> Transform(__inherit__=True)), "merge": ask(Merge(ds) >> Transform(__inherit__=True))})
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, '<' || n_name || '>' AS name FROM nation")
+def i7_inherited_back(spark, sf_dir):
+    chain = Nation(sf_dir) >> Transform(__inherit__="name") >> Transform(__inherit__=True)
+    return chain._wrap(lambda name: F.concat(F.lit("<"), name, F.lit(">")), "name").frame()
+
+
+# -- rules ---------------------------------------------------------------------------------------------
+
+
+def _cases(spark, cases):
+    """One row for each case: the name of the error that its function raises, or `none`."""
+    rows = []
+    for name, f in cases.items():
+        try:
+            f()
+        except Exception as e:  # noqa: BLE001
+            rows.append((name, type(e).__name__))
+        else:
+            rows.append((name, "none"))
+    return spark.createDataFrame(rows, "name string, error string")
+
+
+def _said(**cases):
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in cases.items()) + ") t(name, error)"
+
+
+class Regions(ExternalBase):
+    """An object that is its own layer."""
+
+    def __init__(self, spark, sf_dir):
+        self.frame = spark.read.parquet(f"{sf_dir}/region.parquet")
+        super().__init__(inputs="id", properties=["ids"], fields=["tag"])
+
+    @property
+    def ids(self):
+        return self.frame.select(F.col("r_regionkey").cast("string").alias("id"))
+
+    def tag(self, id):
+        return F.concat(F.lit("region "), id)
+
+
+@query("SELECT CAST(r_regionkey AS VARCHAR) AS id, 'region ' || r_regionkey AS tag, length('region ' || r_regionkey) AS size FROM region")
+def s4_external_base(spark, sf_dir):
+    return (Regions(spark, sf_dir) >> Transform(__inherit__="tag", size=lambda tag: F.length(tag).cast("long"))).to_df()
+
+
+@query(_said(unknown_key="KeyError", unknown_part="ValueError", unknown_joined="KeyError", unknown_group="KeyError", unknown_column="ValueError", unknown_filtered="KeyError"))
+def f5_membership(spark, sf_dir):
+    ds = Nation(sf_dir)
+    pair = Join(ds >> Transform(__inherit__="region", k=lambda id: id), ds >> Transform(k=lambda id: id, other=lambda name: name), "k")
+    columns = ds >> CacheColumns.simple("name", root=_folder(spark), shard_size=10)
+    layers = {"unknown_key": ds, "unknown_part": Merge(ds >> Filter(lambda region: region == 0)), "unknown_joined": pair >> Transform(name=lambda other: other), "unknown_group": ds >> GroupBy("name"), "unknown_column": columns, "unknown_filtered": ds >> CheckIds()}
+    return _cases(spark, {k: (lambda x=x: x.name("none of them")) for k, x in layers.items()})
+
+
+@query(_said(left="ValueError", right="ValueError", both="none"))
+def j5_strict(spark, sf_dir):
+    orders = Orders(sf_dir) >> Transform(k=lambda customer: customer, price=lambda price: price)
+    customers = Customer(sf_dir) >> Transform(k=lambda id: id, name=lambda name: name)
+    other = Customer(sf_dir) >> Transform(k=lambda id: id, balance=lambda balance: balance)
+    return _cases(spark, {"left": lambda: Join(orders, customers, "k"), "right": lambda: Join(customers, orders, "k"), "both": lambda: Join(customers, other, "k")})
+
+
+@query(_said(on_id="ValueError", missing="ValueError", overlap="ValueError", twice="AssertionError", mode="KeyError", number="TypeError"))
+def j8_validations(spark, sf_dir):
+    a, b = Nation(sf_dir) >> Transform(k=lambda id: id, x=lambda name: name), Nation(sf_dir) >> Transform(k=lambda id: id, y=lambda name: name)
+    n = Nation(sf_dir) >> Transform(k=lambda region: region, z=lambda name: name)
+    return _cases(spark, {"on_id": lambda: Join(a, b, "id"), "missing": lambda: Join(a, b, "x"), "overlap": lambda: Join(a, a, "k"), "twice": lambda: Join(a, b, ["k", "k"]), "mode": lambda: Join(a, b, "k", how="cross"), "number": lambda: Join(n, n >> Transform(__inherit__="k", w=lambda z: z), "k")})
+
+
+@query(_JOIN.format("INNER"))
+def j9_cached(spark, sf_dir):
+    english = Documents(sf_dir) >> Filter(lambda lang: lang == "en") >> Transform(__inherit__=["lang", "doc_key"])
+    return Join(english, Labels(sf_dir) >> Filter(lambda quality: quality == 1), "doc_key", cache=True).to_df()
+
+
+@query(_said(null_key="ValueError", unchecked="none"))
+def j10_null_keys(spark, sf_dir):
+    a = Nation(sf_dir) >> Transform(k=lambda id, region: F.when(region != 0, id), x=lambda name: name)
+    b = Nation(sf_dir) >> Transform(k=lambda id: id, y=lambda name: name)
+    return _cases(spark, {"null_key": lambda: Join(a, b, "k"), "unchecked": lambda: Join(a, b, "k", validate=False)})
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS member, n_name AS name FROM nation WHERE n_regionkey = 2")
+def g4_group_lookup(spark, sf_dir):
+    grouped = Nation(sf_dir) >> Transform(__inherit__="name", r=lambda region: region.cast("string")) >> GroupBy("r")
+    return spark.createDataFrame(sorted(grouped.name("2").items()), "member string, name string")
+
+
+@query("SELECT o_orderstatus AS id, count(*) AS n, count(DISTINCT o_orderkey) AS members FROM orders GROUP BY o_orderstatus")
+def g5_mapping(spark, sf_dir):
+    grouped = Orders(sf_dir) >> Transform(__inherit__="status") >> GroupBy("status")
+    return (grouped >> Transform(n=lambda status: F.size(status).cast("long"), members=lambda status: F.size(F.array_distinct(F.map_keys(status))).cast("long"))).to_df()
+
+
+@query(_said(one_field="RuntimeError", impure="HashError", number="TypeError", missing="DependencyError"))
+def g7_errors(spark, sf_dir):
+    noisy = Nation(sf_dir) >> Transform(__inherit__=True, noise=impure(lambda id: F.rand() + F.length(id)))
+    ds = Nation(sf_dir)
+    return _cases(spark, {"one_field": lambda: SourceBase({}, spark.read.parquet(f"{sf_dir}/nation.parquet"), "n_nationkey") >> GroupBy("id"), "impure": lambda: noisy >> GroupBy("name"), "number": lambda: ds >> GroupBy("region"), "missing": lambda: ds >> GroupBy("nowhere")})
+
+
+def _part(__part__):
+    return __part__
+
+
+class Words(Split):
+    _sign: str
+
+    def __split__(id, name, _sign):
+        return F.transform(F.split(name, " "), lambda x, i: F.struct(F.concat_ws(_sign, id, i).alias("id"), x.alias("word")))
+
+    word = _part
+
+    def of(name):
+        return name
+
+
+@query("SELECT id, word, \"of\" FROM (SELECT n_nationkey || '/' || i AS id, string_split(n_name, ' ')[i + 1] AS word, n_name AS \"of\" FROM (SELECT *, unnest(range(len(string_split(n_name, ' ')))) AS i FROM nation))")
+def x3_split_arguments(spark, sf_dir):
+    return (Nation(sf_dir) >> Words(sign="/")).to_df()
+
+
+class Alike(Split):
+    def __split__(region):
+        return F.array(F.struct(region.cast("string").alias("id"), F.lit(0).alias("context")))
+
+    def name(name):
+        return name
+
+
+@query(_said(twice="AssertionError", unchecked="none", missing="DependencyError", unknown="KeyError"))
+def x4_errors(spark, sf_dir):
+    ds = Nation(sf_dir)
+    return _cases(spark, {"twice": lambda: ds >> Alike(), "unchecked": lambda: ds >> Alike(validate=False), "missing": lambda: ds >> Transform(__inherit__="region") >> Words(sign="/"), "unknown": lambda: (ds >> Words(sign="/")).word("0-0")})
+
+
+@query("SELECT count(*) AS parts, count(*) AS equal FROM (SELECT unnest(string_split(n_name, ' ')) FROM nation)")
+def x5_digest_barrier(spark, sf_dir):
+    def same(id, name, _sign):
+        return F.arrays_zip(F.transform(F.split(name, " "), lambda x, i: F.concat_ws(_sign, id, i)).alias("id"), F.split(name, " ").alias("word"))
+
+    other = type(Split)("Other", (Split,), {"__annotations__": {"_sign": str}, "__split__": same, "word": _part})
+    one, two = ((Nation(sf_dir) >> layer(sign="-") >> HashDigest("word")).to_df() for layer in (Words, other))
+    both = one.withColumnRenamed("word", "a").join(two.withColumnRenamed("word", "b"), "id")
+    return both.agg(F.count("*").alias("parts"), F.sum((F.col("a.digest") == F.col("b.digest")).cast("long")).alias("equal"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, upper(n_name) AS shout, n_regionkey AS kept FROM nation WHERE n_regionkey < 2")
+def u3_optional(spark, sf_dir):
+    part = lambda k, **more: Nation(sf_dir) >> Filter(lambda region: region == k) >> Transform(__inherit__="name", shout=optional(lambda name: F.upper(name)), kept=lambda region: region, **more)
+    whole = Merge(part(0, lost=optional(lambda nowhere: nowhere)), part(1, lost=optional(lambda region: region)))
+    return (whole >> Transform(__inherit__=True, later=optional(lambda lost: lost))).to_df()
+
+
+@query(_said(overlap="RuntimeError", properties="ValueError", nothing="ValueError", sourceless="ValueError", disjoint="none"))
+def u4_errors(spark, sf_dir):
+    part = lambda k: Nation(sf_dir) >> Filter(lambda region: region <= k)
+    more = Nation(sf_dir) >> Transform(__inherit__=True, other=meta(lambda: 1))
+    return _cases(spark, {"overlap": lambda: Merge(part(1), part(2)), "properties": lambda: Merge(part(0), more), "nothing": lambda: Merge(), "sourceless": lambda: Merge(part(0), Apply(name=F.upper)), "disjoint": lambda: Merge(part(1), Nation(sf_dir) >> Filter(lambda region: region > 1))})
+
+
+class Doubled(Layer):
+    """A layer of its own making: it looks at the dataset before and doubles all numeric fields."""
+
+    def connect(self, data):
+        numeric = [n for n, kind in data.frame().dtypes if kind in ("bigint", "int", "double")]
+        return Apply(**{n: (lambda x: x * 2) for n in numeric}).connect(data)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, n_regionkey * 2 AS region FROM nation")
+def c6_own_layer(spark, sf_dir):
+    return (Nation(sf_dir) >> Doubled()).to_df()
+
+
+@query("SELECT * FROM (VALUES ('chain', 'Nation(id, name, region) >> Apply(name) >> Filter() >> CheckIds()'), ('lazy', 'LazyChain(Filter(), Apply(name))'), ('merge', 'Merge(Nation(id, name, region))'), ('group', 'GroupBy(''name'')'), ('digest', 'HashDigest(name, region)')) t(name, text)")
+def c7_repr(spark, sf_dir):
+    ds = Nation(sf_dir)
+    layers = {"chain": ds >> Apply(name=F.upper) >> Filter(lambda name: name) >> CheckIds(), "lazy": LazyChain(Filter(lambda name: name), Apply(name=F.upper)), "merge": Merge(ds), "group": GroupBy("name"), "digest": HashDigest(["name", "region"])}
+    return spark.createDataFrame([(k, repr(v)) for k, v in layers.items()], "name string, text string")
+
+
+class Shout(Transform):
+    __inherit__ = "region"
+    _sign = "!"
+
+    def name(name, _sign):
+        return F.concat(F.upper(name), F.lit(_sign))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, upper(n_name) || '?' AS name, n_regionkey AS region FROM nation")
+def c8_pickled(spark, sf_dir):
+    fields = (Nation(sf_dir) >> Shout(sign="?"))._compile(["name", "region"])
+    return pickle.loads(pickle.dumps(fields)).frame()
+
+
+@query("SELECT * FROM (VALUES ('delta'), ('id'), ('ids'), ('region')) t(name)")
+def p20_dir(spark, sf_dir):
+    class Mixed(Transform, SizeMixin):
+        def region(region):
+            return region * 2
+
+    return spark.createDataFrame([(n,) for n in dir(Nation(sf_dir) >> Mixed())], "name string")
+
+
+@query(_said(no_field="AttributeError", no_input="DependencyError", circle="GraphError", both="GraphError", new_id="FieldError", impure_digest="HashError"))
+def p21_errors(spark, sf_dir):
+    ds, frame = Nation(sf_dir), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    noisy = ds >> Transform(noise=impure(lambda id: F.rand() + F.length(id)))
+    circle = lambda: TransformBase({"_a": lambda _b: _b, "_b": lambda _a: _a})
+    cases = {"no_field": lambda: ds.nowhere, "no_input": lambda: ds >> Transform(x=lambda nowhere: nowhere), "circle": circle, "both": lambda: Transform(__inherit__="name", name=lambda name: name), "new_id": lambda: SourceBase({"id": lambda n_name: n_name}, frame, "n_nationkey"), "impure_digest": lambda: (noisy >> HashDigest("noise")).to_df()}
+    return _cases(spark, cases)
+
+
+class Places(Transform):
+    """Every kind of place that an argument can come from."""
+
+    _plus = 3
+
+    def _more(name: Input, _plus: Parameter("_plus")):
+        return F.length(name) + _plus
+
+    def size(x: Parameter("_more")):
+        return x.cast("long")
+
+    def twice(x: Output("size")):
+        return x * 2
+
+    @inverse
+    def low(x: InverseInput("twice"), k: Parameter("_more")):
+        return x - k
+
+    @inverse
+    def lower(x: InverseOutput("low")):
+        return x - 1
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, length(n_name) + 3 AS size, (length(n_name) + 3) * 2 AS twice, (length(n_name) + 3) * 2 * 10 - (length(n_name) + 3) - 1 AS lower FROM nation")
+def p10_places(spark, sf_dir):
+    chain = Nation(sf_dir) >> Places()
+    back = chain._wrap(lambda x: x * 10, "twice", "twice", "lower").frame()
+    return chain.to_df().join(back, "id")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, 2 * n_regionkey + 1 AS odd FROM nation")
+def p16_static(spark, sf_dir):
+    class Helped(Transform):
+        @staticmethod
+        def next_odd(x):
+            return 2 * x + 1
+
+        def odd(region):
+            return Helped.next_odd(region)
+
+    return (Nation(sf_dir) >> Helped()).to_df()
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name || '.' AS name FROM nation")
+def p11_as_output(spark, sf_dir):
+    return (Nation(sf_dir) >> Transform(name=Function(lambda x: F.concat(x, F.lit(".")), AsOutput()))).to_df()
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(floor(p_retailprice * p_size * 100 + 0.5) AS BIGINT) AS cents FROM part")
+def u13_batches(spark, sf_dir):
+    """A model: loaded once a task, and given whole batches."""
+
+    @batch("long", load=lambda: {"factor": 100})
+    def cents(model, price, size):
+        import numpy as np
+
+        return np.floor(price * size * model["factor"] + 0.5).astype("int64")
+
+    return (Part(sf_dir) >> Transform(cents=cents)).to_df()
+
+
+# -- rules of caches -----------------------------------------------------------------------------------
+
+
+def _upper(sf_dir):
+    return Nation(sf_dir) >> Apply(name=F.upper)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, upper(n_name) AS name, n_regionkey AS region FROM nation")
+def k2_clear(spark, sf_dir):
+    layer = CacheToRam("name", size=1)
+    cached = _upper(sf_dir) >> layer
+    cached.to_df().count()
+    layer._clear()
+    return cached.to_df()
+
+
+@query("SELECT * FROM (VALUES ('names', 1, false), ('all', 2, false), ('none of them', 0, true)) t(name, held, same)")
+def k6_names(spark, sf_dir):
+    ds, rows = _upper(sf_dir), []
+    for name, layer in {"names": CacheToRam("name"), "all": CacheToRam(), "none of them": CacheToRam("nam")}.items():
+        data = layer.connect(ds._data)
+        rows.append((name, sum(type(x).__name__ == "Kept" for x in data.outputs.values()), data is ds._data))
+    return spark.createDataFrame(rows, "name string, held int, same boolean")
+
+
+@query(_said(ram="ValueError", disk="ValueError", allowed="none", other_field="none"))
+def k7_guard(spark, sf_dir):
+    noisy = Nation(sf_dir) >> Transform(__inherit__="name", noise=impure(lambda id: F.rand() + F.length(id)))
+    root = _folder(spark)
+    return _cases(spark, {"ram": lambda: noisy >> CacheToRam(), "disk": lambda: noisy >> CacheToDisk.simple(root=root), "allowed": lambda: noisy >> CacheToRam(impure=True), "other_field": lambda: noisy >> CacheToRam("name")})
+
+
+def _files(spark, root):
+    """Data files under a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, listed = [], fs.listFiles(where, True)
+    while listed.hasNext():
+        found.append(listed.next().getPath())
+    return fs, [f for f in found if f.getName().endswith(".parquet")]
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, upper(n_name) AS name, n_regionkey AS region FROM nation")
+def k8_recovery(spark, sf_dir):
+    root = _folder(spark, f"cache-{datetime.datetime.now().timestamp()}")
+    (_upper(sf_dir) >> CacheToDisk.simple("name", root=root)).to_df().count()
+    fs, files = _files(spark, root)
+    for f in files:
+        out = fs.create(f, True)
+        out.write(bytearray(b"no Parquet"))
+        out.close()
+    return (_upper(sf_dir) >> CacheToDisk.simple("name", root=root)).to_df()
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, upper(n_name) AS name FROM nation")
+def k9_writers(spark, sf_dir):
+    """Two threads fill one cache; both, and whoever comes later, read whole entries."""
+    root = _folder(spark, f"cache-{datetime.datetime.now().timestamp()}")
+    make = lambda _: (_upper(sf_dir) >> CacheToDisk.simple("name", root=root)).to_df("name")
+    with ThreadPoolExecutor(2) as pool:
+        first, second = pool.map(make, range(2))
+    return first.intersect(second).intersect(make(0))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation")
+def k10_interface(spark, sf_dir):
+    from .operators.caches import MemoryCache
+
+    class Prefixed(MemoryCache):
+        def prepare(self, digest):
+            return f"own:{digest}", None
+
+    cache = Prefixed(2)
+    cache.raw_set("a", Nation(sf_dir).to_df("name"))
+    assert cache.raw_get("b") == (None, False) and list(cache.frames) == ["own:a"]
+    return cache.raw_get("a")[0]
+
+
+@query("SELECT 'owner' AS label, 'someone' AS value")
+def k11_labels(spark, sf_dir):
+    root = _folder(spark, f"cache-{datetime.datetime.now().timestamp()}")
+    _upper(sf_dir) >> CacheToDisk.simple("name", root=root, labels={"owner": "someone"})
+    fs, files = _files(spark, root)
+    raw = spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(fs.open(spark._jvm.org.apache.hadoop.fs.Path(files[0].getParent(), "_labels.json")))
+    return spark.createDataFrame(list(json.loads(bytes(raw)).items()), "label string, value string")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, upper(n_name) AS name, n_regionkey AS region FROM nation")
+def s8_serializer(spark, sf_dir):
+    return (_upper(sf_dir) >> CacheToDisk.simple(root=_folder(spark), serializer=JsonSerializer())).to_df()
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_size * 2 AS double FROM part")
+def s7_sink(spark, sf_dir):
+    path = f"{_folder(spark, 'sink')}/{datetime.datetime.now().timestamp()}"
+    (Part(sf_dir) >> Transform(double=lambda size: size * 2)).to_df().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _digests(chain, name):
+    return (chain >> HashDigest(name)).to_df().select("id", F.col(name)["digest"].alias("digest"))
+
+
+def _equal(one, two):
+    both = one.join(two.withColumnRenamed("digest", "other"), "id")
+    return both.agg(F.count("*").alias("n"), F.sum((F.col("digest") == F.col("other")).cast("long")).alias("equal"))
+
+
+@query("SELECT count(*) AS n, count(*) AS equal FROM nation")
+def h4_silent(spark, sf_dir):
+    def tag(name, other):
+        return F.concat(name, other.cast("string"))
+
+    chain = lambda other: Nation(sf_dir) >> Transform(__inherit__="name", region=lambda region: region, more=lambda region: region + 1) >> Transform(tag=Function(tag, "name", Silent(other)))
+    return _equal(_digests(chain("region"), "tag"), _digests(chain("more"), "tag"))
+
+
+class Dated(Transform):
+    _day: datetime.date
+
+    def label(name, _day):
+        return F.concat(name, F.lit(f" on {_day}"))
+
+
+@query("""SELECT kind, day, CAST(n_nationkey AS VARCHAR) AS id, n_name || ' on ' || day AS label
+FROM nation, (VALUES ('ram'), ('disk'), ('columns')) k(kind), (VALUES ('2020-01-01'), ('2021-06-30')) d(day)""")
+def h6_invalidation(spark, sf_dir):
+    """Another argument, another entry: whatever its type."""
+    root = _folder(spark)
+    caches, out = {"ram": CacheToRam(), "disk": CacheToDisk.simple(root=root), "columns": CacheColumns.simple(root=root, shard_size=7)}, None
+    for kind, cache in caches.items():
+        for day in (datetime.date(2020, 1, 1), datetime.date(2021, 6, 30)):
+            found = (Nation(sf_dir) >> Dated(day=day) >> cache).to_df().withColumns({"kind": F.lit(kind), "day": F.lit(str(day))})
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("SELECT * FROM (VALUES ('stable', true), ('plain', false)) t(name, equal)")
+def h7_hints(spark, sf_dir):
+    from .plans.digests import code_digest
+
+    def versions(mark):
+        for sign in "ab":
+            def tag(name, sign=None):
+                return F.concat(name, F.lit("."))
+
+            tag.__defaults__ = (sign,)
+            yield code_digest(mark(tag))
+
+    return spark.createDataFrame([(name, len(set(versions(mark))) == 1) for name, mark in (("stable", fn.is_stable), ("plain", fn.is_unstable))], "name string, equal boolean")
+
+
+@query("SELECT count(*) AS n, 64 AS size FROM nation")
+def h1_algorithm(spark, sf_dir):
+    hashed = (_upper(sf_dir) >> HashDigest("name", algorithm="sha256", return_value=True)).to_df()
+    return hashed.where(F.col("name.hash") == F.sha2(F.col("name.digest"), 256)).where("name.value = upper(name.value)").agg(F.count("*").alias("n"), F.max(F.length("name.hash")).alias("size"))

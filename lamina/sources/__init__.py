@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.dataset import CallableLayer, Dataset, one_row, session
+from ..plans.dataset import CallableLayer, Dataset, _called, one_row, session
 from ..plans.declare import Declaration, Function, LayerMeta, Marked
 from ..plans.names import FieldError, Names
 from ..plans.nodes import Argument, ByRow, Call, Leaf, Lowering, code_digest
@@ -98,7 +98,10 @@ class Source(CallableLayer, metaclass=LayerMeta, abstract=True, allowed=("__tabl
         if type(self)._abstract:
             raise RuntimeError("make a subclass of Source")
         self._values = self._declared.bind(args, kwargs)
-        self._made = _dataset(self._declared, self._values)
+        self._made = self._dataset()
+
+    def _dataset(self):
+        return _dataset(self._declared, self._values)
 
     def connect(self, data):
         raise TypeError("a source can only be the head of a chain")
@@ -115,7 +118,11 @@ class SourceBase(CallableLayer):
         declared = Declaration(type(self).__name__, pairs)
         if table is not None:
             declared.special = {"__table__": lambda: table, "__key__": key}
-        self._made = _dataset(declared, {})
+        self._declared = declared
+        self._made = self._dataset()
+
+    def _dataset(self):
+        return _dataset(self._declared, {})
 
     def connect(self, data):
         raise TypeError("a source can only be the head of a chain")
@@ -129,6 +136,7 @@ class External(CallableLayer):
 
     def __init__(self, obj, *, fields=None, properties=None, inputs, inherit=(), marker=None):
         inputs = (inputs,) if isinstance(inputs, str) else tuple(inputs)
+        self._arguments = (obj,), {"fields": fields, "properties": properties, "inputs": inputs, "inherit": inherit, "marker": marker}
         cls, found, props = type(obj), [], []
         for name in dir(cls):
             value = inspect.getattr_static(cls, name)
@@ -155,8 +163,11 @@ class External(CallableLayer):
     def connect(self, data):
         raise TypeError("an external object can only be the head of a chain")
 
+    def __reduce__(self):
+        return _called, (type(self), *self._arguments)
+
     def __getattr__(self, name):
-        if name in ("_obj", "_made") or name.startswith("__"):
+        if name in ("_obj", "_made", "_arguments") or name.startswith("__"):
             raise AttributeError(name)
         if name in self._made.outputs or name in self._made.properties:
             return super().__getattr__(name)
@@ -169,8 +180,11 @@ class ExternalBase(External):
     def __init__(self, *, fields=None, properties=None, inputs, inherit=(), marker=None):
         super().__init__(self, fields=fields, properties=properties, inputs=inputs, inherit=inherit, marker=marker)
 
+    def __reduce__(self):
+        raise TypeError("make the object anew: its constructor is its own")
+
     def __getattr__(self, name):
-        if name.startswith("__") or name in ("_obj", "_made"):
+        if name.startswith("__") or name in ("_obj", "_made", "_arguments"):
             raise AttributeError(name)
         return CallableLayer.__getattr__(self, name)
 

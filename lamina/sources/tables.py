@@ -1,8 +1,12 @@
 """Digests of tables by what they are read from."""
 
+import re
+
 from pyspark.sql import SparkSession
 
-from ..plans.nodes import code_digest
+from ..plans.digests import code_digest
+
+_STATUS = re.compile(r"path=([^;]*);.*?length=(\d+);.*?modification_time=(\d+)", re.S)
 
 
 def _file_system(spark, path):
@@ -11,32 +15,26 @@ def _file_system(spark, path):
 
 
 def exists(path):
-    fs, where = _file_system(SparkSession.getActiveSession(), path)
+    fs, where = _file_system(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), path)  # threads have no active one
     return fs.exists(where)
 
 
-def _roots(frame):
-    """(path, bytes below it, time of its last change) of each path that a frame's plan reads; a table of a great
-    many files costs no more than a small one, since Spark has listed them already."""
-    spark, found = frame.sparkSession, []
+def _files(frame):
+    """(path, bytes, time of change) of every file that a frame's plan reads. Spark's driver has listed them already; one call
+    brings the listing over, in some 400 bytes a file."""
+    found = []
     leaves = frame._jdf.queryExecution().analyzed().collectLeaves().iterator()
     while leaves.hasNext():
         leaf = leaves.next()
-        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
-            continue
-        location = leaf.relation().location()
-        paths = location.rootPaths().iterator()
-        while paths.hasNext():
-            path = paths.next().toString()
-            fs, where = _file_system(spark, path)
-            found.append((path, location.sizeInBytes(), fs.getFileStatus(where).getModificationTime()))
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found += _STATUS.findall(leaf.relation().location().allFiles().toString())
     return sorted(found)
 
 
 def table_digest(frame):
-    """Follows a frame's plan and the paths that it reads, with their sizes and times of change."""
-    roots = _roots(frame)
-    return code_digest((frame.schema.json(), tuple(roots))) if roots and _plain(frame) else code_digest((frame.schema.json(), tuple(roots), frame.semanticHash()))
+    """Follows a frame's plan and the files that it reads, with their sizes and times of change."""
+    files = _files(frame)
+    return code_digest((frame.schema.json(), tuple(files))) if files and _plain(frame) else code_digest((frame.schema.json(), tuple(files), frame.semanticHash()))
 
 
 def _plain(frame):

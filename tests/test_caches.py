@@ -2,11 +2,12 @@
 
 import glob
 import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
 
-from lamina import Apply, CacheColumns, CacheToDisk, CacheToRam, HashDigest, Silent, Source, Transform, hash_by_value, meta
+from lamina import Apply, CacheColumns, CacheToDisk, CacheToRam, HashDigest, Input, Silent, Source, Transform, hash_by_value, inverse, meta
 from lamina.operators.caches import sharded
 
 pytestmark = pytest.mark.usefixtures("spark")
@@ -137,6 +138,13 @@ def test_digests_follow_the_table(spark, tmp_path):
     assert table_digest(spark.read.parquet(place)) != first
     assert table_digest(spark.read.parquet(place).where("id > 1")) != table_digest(spark.read.parquet(place).where("id > 2"))
 
+    nested = f"{tmp_path}/n"
+    spark.range(4).selectExpr("id", "id % 2 AS k").write.partitionBy("k").parquet(nested)
+    before = table_digest(spark.read.parquet(nested))
+    inside = glob.glob(f"{nested}/k=1/*.parquet")[0]
+    os.utime(inside, (1, 1))  # rewritten in place, of equal size
+    assert table_digest(spark.read.parquet(nested)) != before != table_digest(spark.read.parquet(f"{nested}/k=0"))
+
     def one(x):
         return x + 1
 
@@ -146,3 +154,135 @@ def test_digests_follow_the_table(spark, tmp_path):
     assert code_digest(one) != code_digest(two)
     two.__qualname__, two.__module__ = one.__qualname__, one.__module__
     assert code_digest(is_stable(one)) == code_digest(is_stable(two))
+
+
+class Priced(Source):
+    _path: str
+
+    def __table__(spark, _path):
+        return spark.read.parquet(_path)
+
+    __key__ = "k"
+
+    def price(price):
+        return price
+
+    def note(note):
+        return note
+
+
+def executed(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_ram_holds(spark, tmp_path):
+    spark.range(20).selectExpr("id AS k", "id * 1.5 AS price", "'x' AS note", "id AS unused", "id AS other").write.parquet(f"{tmp_path}/t")
+    ds = Priced(f"{tmp_path}/t") >> Transform(more=lambda price: price + 1)
+    held = (ds >> CacheToRam())._data.base.columns
+    assert len(held) == 2 and "id" in held  # ids and one field, no raw column, no digest
+    partly = (Priced(f"{tmp_path}/t") >> Transform(more=lambda price: price + 1, __inherit__="note") >> CacheToRam("more"))._data.base.columns
+    assert [c for c in partly if c.startswith("#raw:")] == ["#raw:note"]
+    class Scaled(Transform):
+        def price(price, note):
+            return price * F.length(note)
+
+        @inverse
+        def price(price, note: Input):
+            return price / F.length(note)
+
+    back = Priced(f"{tmp_path}/t") >> Scaled() >> CacheToRam()
+    assert sorted(c for c in back._data.base.columns if c.startswith("#raw")) == ["#raw:note"]
+    assert sorted(r.price for r in back._wrap(lambda x: x + 2, "price").frame().collect()) == [k * 1.5 + 2 for k in range(20)]
+    whole = {r["id"]: r["more"] for r in (ds >> CacheToRam()).to_df().collect()}
+    assert whole["3"] == 5.5 and (ds >> CacheToRam()).more("3") == 5.5
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string", "date"])
+def test_lookups_reach_the_scan(spark, tmp_path, kind):
+    keys = {"date": "date_add(date'2020-01-01', CAST(id AS int))"}.get(kind, f"CAST(id AS {kind})")
+    spark.range(50).selectExpr(f"{keys} AS k", "id * 1.5 AS price", "'x' AS note").write.parquet(f"{tmp_path}/t")
+    ds = Priced(f"{tmp_path}/t")
+    key = "2020-01-08" if kind == "date" else "7"
+    assert ds.price(key) == 10.5
+    plan = executed(ds._data.open(key).select("id"))
+    assert "EqualTo(k," in plan
+    for odd in ("07", "+7", "7.0", "", "x", "99999999999999999999", "-0"):
+        with pytest.raises(KeyError):
+            ds.price(odd)
+
+
+def test_a_shard_is_read_alone(spark, tmp_path):
+    ds = Many() >> Transform(image=lambda image: image) >> CacheColumns.simple(root=f"{tmp_path}/c", shard_size=50)
+    plan = executed(ds._data.open("77"))
+    assert "PartitionFilters: [isnotnull(#shard" in plan and ds.image("77") == "image 77"
+
+
+def test_ids_are_lazy(spark):
+    ids = Many(n=12).ids
+    assert len(ids) == 12 and "3" in ids and "12" not in ids and ids._found is None
+    assert list(ids) == [str(i) for i in range(12)] == list(ids[:]) and ids == tuple(str(i) for i in range(12))
+
+
+class Upper(Transform):
+    __inherit__ = "size"
+    _sign = "!"
+
+    def image(image, _sign):
+        return F.concat(F.upper(image), F.lit(_sign))
+
+
+def test_pickled_layers(spark):
+    from pyspark import cloudpickle
+
+    from lamina import Chain, Filter, Join, Merge
+
+    ds = Many(n=5) >> Upper(sign="?") >> CacheToRam()
+    method = pickle.loads(pickle.dumps(ds.image))
+    assert method("3") == "IMAGE 3?" and rows(pickle.loads(pickle.dumps(ds))) == rows(ds)
+    more = Chain(ds, Filter(lambda size: size > 0), Apply(image=F.lower))
+    assert rows(cloudpickle.loads(cloudpickle.dumps(more))) == rows(more)
+    other = Many(n=3) >> Transform(__inherit__="image", length=lambda size: size)
+    both = Merge(Join(other >> Transform(__inherit__="image"), other, "image"))
+    assert rows(cloudpickle.loads(cloudpickle.dumps(both))) == rows(both)
+
+
+def test_serializers(tmp_path):
+    from lamina import ChainSerializer, JsonSerializer, Serializer
+
+    class OfText(Serializer):
+        def fits(self, kind):
+            return kind.simpleString() == "string"
+
+        def encode(self, column, kind):
+            return F.base64(column.cast("binary"))
+
+        def decode(self, column, kind):
+            return F.unbase64(column).cast("string")
+
+    step = Transform(image=lambda image: image, pair=lambda image, size: F.struct(image.alias("a"), F.array(size, F.lit(None)).alias("b")))
+    want = sorted(map(str, (Many(n=6) >> step).to_df().collect()))
+    for k, serializer in enumerate((JsonSerializer(), ChainSerializer(OfText(), JsonSerializer()))):
+        for cache in (CacheToDisk, CacheColumns):
+            ds = Many(n=6) >> step >> cache.simple(root=f"{tmp_path}/{k}{cache.__name__}", serializer=serializer)
+            assert sorted(map(str, ds.to_df().collect())) == want and ds.image("5") == "image 5"
+    with pytest.raises(TypeError):
+        Many() >> CacheToDisk.simple(root=f"{tmp_path}/x", serializer=ChainSerializer(OfText()))
+
+
+def test_batches(spark):
+    from lamina import batch
+
+    loads = []
+
+    @batch("double", load=lambda: 10.0)
+    def scored(model, size, image):
+        assert len(size) == len(image)
+        return size * model
+
+    @batch("string")
+    def shout(image):
+        return image.str.upper()
+
+    ds = Many(n=30) >> Transform(score=scored, image=shout)
+    assert ds.score("11") == 20.0 and ds.image("11") == "IMAGE 11" and not loads
+    assert digests(Many(n=2) >> Transform(image=shout)) != digests(Many(n=2) >> Transform(image=batch("string")(lambda image: image.str.lower())))
