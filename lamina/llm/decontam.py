@@ -3,8 +3,9 @@
 Words are runs of ASCII letters, digits and non-ASCII bytes of the lower-cased text. Every n-gram of a
 test item is a seed, however many documents have it, and opens a window in each of them. No alignment of a
 window with the item scores more than bound(), which needs no alignment; only windows whose bound is under
-LEAST are passed over, so no pair is lost by it. The others are aligned with the whole item; the best score
-over what a perfect copy would have is the pair's score.
+the limit are passed over, so no pair is lost by it. The others are aligned with the whole item; the best score
+over what a perfect copy would have is the pair's score. The limit is LEAST, and at least what EVIDENCE matching words
+(or all of a shorter item) score, so that a common turn of phrase is no copy of a short item.
 
 The benchmark is taken in blocks of about BLOCK_WORDS words, so what is sent to executors is bounded;
 each block is matched with all documents.
@@ -24,8 +25,8 @@ from .session import schema_of, small_batches, spread, table, with_text
 
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Least score, of 1 for a perfect copy.
-LEAST = 0.5
+#: Least score, of 1 for a perfect copy; and the matching words that it must be worth, or all of a shorter item's.
+LEAST, EVIDENCE = 0.5, 8
 #: Words a window has besides the item's own number, on either side: SLACK and a quarter of the item.
 SLACK = 8
 BLOCK_WORDS = 1_000_000
@@ -157,18 +158,23 @@ def bound(items, spans):
     return np.minimum(*(_best_run(np.isin(own, other), part, len(items)) for own, other, part in zip(keys, keys[::-1], parts)))
 
 
+def limit(size):
+    """The least score of items of so many words."""
+    return np.maximum(LEAST, np.minimum(size, EVIDENCE) / size)
+
+
 def promising(items, spans):
-    """Which pairs can score LEAST."""
+    """Which pairs can reach the limit."""
     size = np.array([len(x) for x in items])
     cells = np.cumsum(size + [len(x) for x in spans])
     cuts = np.searchsorted(cells, np.arange(CELLS // 4, cells[-1], CELLS // 4)) if len(cells) else []
     cuts = np.unique([0, *cuts, len(items)])
     most = np.concatenate([bound(items[a:b], spans[a:b]) for a, b in zip(cuts, cuts[1:])])
-    return np.flatnonzero(most / (MATCH * size) >= LEAST)
+    return np.flatnonzero(most / (MATCH * size) >= limit(size))
 
 
 def find(seeds, texts):
-    """(text, item, score, start, end) of the pairs at or over LEAST; start and end are code points of the lower-cased text."""
+    """(text, item, score, start, end) of the pairs at or over the limit; start and end are code points of the lower-cased text."""
     w = split(texts)
     first = np.cumsum(w.count) - w.count
     at, k = seeds.hits(w)
@@ -192,7 +198,7 @@ def find(seeds, texts):
     got = aligned([items[k] for k in may], [spans[k] for k in may])
     best = {}
     for d, i, x, (score, lo, hi) in zip(doc.tolist(), item.tolist(), a.tolist(), got):
-        if score >= LEAST and score > best.get((d, i), (0,))[0]:
+        if score >= limit(size[i]) and score > best.get((d, i), (0,))[0]:
             best[d, i] = (score, x + lo, x + hi - 1)
     if not best:
         return []

@@ -91,14 +91,14 @@ def slices(batch, column="text", most=SLICE_BYTES):
 
 
 def windows(hashes, doc, n):
-    """(first word, hash) of each run of n words inside a text."""
+    """(first word, hash) of each run of n words inside a text. Hashes roll: each is a difference of two prefix sums."""
     if len(hashes) < n:
         return np.zeros(0, np.int64), np.zeros(0, U)
     at = np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1])
-    h = np.zeros(len(at), U)
-    for k in range(n):
-        h = h * U(0xD6E8FEB86659FD93) + hashes[at + k]
-    return at, mix(h)
+    up, down = _power(len(hashes) + 1)
+    prefix = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * up[: len(hashes)], out=prefix[1:])
+    return at, mix((prefix[at + n] - prefix[at]) * down[at])
 
 
 def repeated(key):

@@ -51,7 +51,7 @@ def test_pairs_equal_brute_force(spark):
     docs, items = fixture()
     df = spark.createDataFrame([(*d, 1.0) for d in docs], "doc_id long, text string, score double")
     got = decontam.pairs(df, spark.createDataFrame(items, "item_id long, text string")).collect()
-    want = {(d, i) for d, t in docs if t for i, x in items if x and brute(words(x), words(t)) / (2 * len(words(x))) >= decontam.LEAST}
+    want = {(d, i) for d, t in docs if t for i, x in items if x and brute(words(x), words(t)) / (2 * len(words(x))) >= max(0.5, min(8, len(words(x))) / len(words(x)))}
     assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 60
     text = dict(docs)
     for r in got:
@@ -99,3 +99,9 @@ def test_no_alignment_scores_over_the_bound():
     assert all(brute(x, y) <= m for x, y, m in zip(a, b, most.tolist()))
     own = [np.array(x, np.uint64) for x in a]
     assert decontam.bound(own, own).tolist() == [2 * len(x) for x in a]
+
+
+def test_a_common_phrase_is_no_copy_of_a_short_item(spark):
+    items = spark.createDataFrame([(1, "a few more words that are here"), (2, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so there are a few more words in it"), (2, "well a few more words that are here now"), (3, "x one two three four five six seven eight y"), (4, "x one two three four five six seven y")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.pairs(docs, items).collect()) == [(2, 1), (3, 2)]
