@@ -38,10 +38,30 @@ OTHER_TITLES = "Dr|Prof|Professor|Doctor|Docteur"
 CAPITAL_TITLES = "MR|MRS|DR|PROF|HERR|FRAU|MONSIEUR|MADAME|SEÑOR|SEÑORA"
 MALE_NAMES = "Ahmed|Alejandro|Andreas|Andrew|Anthony|Antonio|Carlos|Charles|Christopher|Daniel|David|Diego|Dmitri|Edward|Fernando|François|Frank|George|Giovanni|Günter|Hans|Henri|Hiroshi|Ibrahim|Ivan|Jacques|James|Jean|Jiro|John|José|Joseph|Juan|Jürgen|Kenji|Kevin|Klaus|Kumar|Luca|Luis|Manuel|Marco|Mark|Matthew|Michael|Miguel|Mohamed|Mohammed|Nikolai|Omar|Paul|Pedro|Peter|Philippe|Pierre|Raj|Richard|Robert|Sergei|Stefan|Steven|Thomas|Wei|William|Wolfgang|Иван|Пётр|Алексей|Дмитрий|Сергей"
 FEMALE_NAMES = "Aisha|Alice|Ana|Angela|Anna|Barbara|Camille|Carmen|Catherine|Charlotte|Chiara|Christine|Claire|Elena|Elizabeth|Emily|Emma|Fatima|Giulia|Hannah|Heike|Helena|Helga|Ingrid|Irina|Isabel|Jennifer|Jessica|Julia|Karen|Katharina|Laura|Li|Linda|Lucía|Margaret|Maria|María|Marie|Mary|Mei|Monika|Nadia|Nancy|Natalia|Olga|Patricia|Petra|Priya|Renate|Rosa|Sabine|Sakura|Sarah|Sofia|Sophie|Susan|Svetlana|Tatiana|Teresa|Ursula|Yuki|Анна|Мария|Ольга|Елена|Наталья"
+
+
+def _any(*lists):
+    """A pattern for any word of some lists, factored by common beginnings, so that a place is tried against few of them."""
+    tree = {}
+    for word in "|".join(lists).split("|"):
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node):
+        parts = [c.replace("-", "\\-") + pattern(node[c]) for c in sorted(node) if c]
+        if not parts:
+            return ""
+        return parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)}){'?' * ('' in node)}"
+
+    return pattern(tree)
+
+
 _NOT_IN, _NOT_ON = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _PART = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)?"
 _CAPITALS = r"\p{Lu}{2,}(?:[-'’]\p{Lu}{2,})?"
-_TITLE = rf"(?:{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES})\.? "
+_TITLE = rf"{_any(MALE_TITLES, FEMALE_TITLES, OTHER_TITLES)}\.? "
 #: All that stands before a name, in any case.
 _TITLES = rf"^(?iu:{_TITLE})+"
 _HEX = "[0-9A-Fa-f]{1,4}"
@@ -57,13 +77,13 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<![\w+.,-])[2-9]\d{9}(?![\w-]|[.,]\d)",
-    "name": rf"{_NOT_IN}(?:(?:{_TITLE}){{1,3}}{_PART}(?: {_PART})?|(?:(?:{CAPITAL_TITLES})\.? ){{1,3}}{_CAPITALS}(?: {_CAPITALS})?|(?:{MALE_NAMES}|{FEMALE_NAMES}) {_PART}|(?:{MALE_NAMES.upper()}|{FEMALE_NAMES.upper()}) {_CAPITALS}){_NOT_ON}",
+    "name": rf"{_NOT_IN}(?:(?:{_TITLE}){{1,3}}{_PART}(?: {_PART})?|(?:{_any(CAPITAL_TITLES)}\.? ){{1,3}}{_CAPITALS}(?: {_CAPITALS})?|{_any(MALE_NAMES, FEMALE_NAMES)} {_PART}|{_any(MALE_NAMES.upper(), FEMALE_NAMES.upper())} {_CAPITALS}){_NOT_ON}",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
-_WORDS = f"{MALE_TITLES}|{FEMALE_TITLES}|{OTHER_TITLES}|{CAPITAL_TITLES}|{MALE_NAMES}|{FEMALE_NAMES}|{MALE_NAMES.upper()}|{FEMALE_NAMES.upper()}"
+_WORDS = (MALE_TITLES, FEMALE_TITLES, OTHER_TITLES, CAPITAL_TITLES, MALE_NAMES, FEMALE_NAMES, MALE_NAMES.upper(), FEMALE_NAMES.upper())
 #: What every text with an entity matches; it is cheap, and spares the others the search for ENTITY.
-GATE = rf"[0-9@]|{_NOT_IN}(?=[{''.join(sorted({w[0] for w in _WORDS.split('|')}))}])(?:{_WORDS})[. ]"
+GATE = rf"[0-9@]|{_NOT_IN}(?=[{''.join(sorted({w[0] for w in '|'.join(_WORDS).split('|')}))}]){_any(*_WORDS)}[. ]"
 
 
 def _quoted(s):
@@ -244,8 +264,9 @@ def replace(df, text="text", secret=None):
     with_pattern = df.where(has).withColumn("__first", first).withColumn("__pattern", F.expr(_with_families("__first")))
     found = F.regexp_extract_all(F.col(text), F.col("__pattern"), 0)
     marked = with_pattern.select(*names, F.md5(F.col(text)).alias("__key"), found.alias("__found"), F.split(F.col(text), F.col("__pattern"), -1).alias("__plain"))
+    marked = materialize(spark, marked, "marked")  # the rows with entities alone, so that these are searched once
 
-    surfaces = with_pattern.select(F.md5(F.col(text)).alias("__key"), F.explode(F.array_distinct(found)).alias("s")).distinct()
+    surfaces = marked.select("__key", F.explode(F.array_distinct("__found")).alias("s")).distinct()
     pairs = materialize(spark, surfaces.select("__key", F.explode(F.expr(keys_of("s"))).alias("k")).select("__key", "k.*").distinct(), "pairs")
     wanted = materialize(spark, given_names(pairs), "wanted")
     given = surrogates(wanted.select(F.col("skind").alias("kind"), F.col("scanon").alias("canon")).distinct(), secret)
