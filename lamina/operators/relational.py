@@ -67,7 +67,8 @@ class JoinMode(enum.Enum):
 class Join(Fixed):
     """A one-to-one join of two datasets on common fields; entries get new ids, by default from the values of `on`.
 
-    Repeated or null keys: ValueError (validate=False leaves the check out, one job over the keys of each side).
+    Repeated or null keys: ValueError (validate=False leaves the check out, one job over the keys of each side). cache=True
+    keeps the joined rows in storage memory until _clear().
     """
 
     def __init__(self, left, right, on, *, verbose=False, to_key=None, cache=None, how=JoinMode.inner, validate=True):
@@ -120,9 +121,14 @@ class Join(Fixed):
         fields = [*on, *names[0], *names[1]]
         outputs = {"id": Leaf("id")} | {n: Leaf(n, f"#digest:{n}" if f"#digest:{n}" in have else None, n in impure) for n in fields}
         self._made = Dataset(outputs, base, lambda k: base.where(F.col("id") == k), persistent=frozenset({"id", "ids"}), properties={"ids": None}, back=None, rows=rows_digest(l, "join", r.rows, on, how.value), path="Join", optional=(l.optional | r.optional) & frozenset(fields))
-        self._left, self._right, self._on = left, right, on
+        self._left, self._right, self._on, self._persisted = left, right, on, base if cache else None
         self._arguments = (left, right, on), {"to_key": to_key, "cache": cache, "how": how, "validate": False}
 
+    def _clear(self):
+        """Drops what cache=True keeps; later reads join anew."""
+        if self._persisted is not None:
+            self._persisted.unpersist()
+
     def __repr__(self):
         return f"Join({self._left!r}, {self._right!r}, on={self._on!r})"
 

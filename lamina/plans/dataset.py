@@ -380,7 +380,8 @@ class Chain(CallableLayer):
         return self._filterfalse(lambda x: getattr(x, "_is_cache", False))
 
     def __repr__(self):
-        return " >> ".join(map(repr, self._layers))
+        parts = list(map(repr, self._layers))
+        return " >> ".join(parts) if len(parts) == 2 else f"Chain({', '.join(parts)})"
 
 
 class LazyChain(Layer):

@@ -840,7 +840,10 @@ def j8_validations(spark, sf_dir):
 @query(_JOIN.format("INNER"))
 def j9_cached(spark, sf_dir):
     english = Documents(sf_dir) >> Filter(lambda lang: lang == "en") >> Transform(__inherit__=["lang", "doc_key"])
-    return Join(english, Labels(sf_dir) >> Filter(lambda quality: quality == 1), "doc_key", cache=True).to_df()
+    joined = Join(english, Labels(sf_dir) >> Filter(lambda quality: quality == 1), "doc_key", cache=True)
+    joined.to_df().count()
+    joined._clear()
+    return joined.to_df()
 
 
 @query(_said(null_key="ValueError", unchecked="none"))
@@ -942,10 +945,10 @@ def c6_own_layer(spark, sf_dir):
     return (Nation(sf_dir) >> Doubled()).to_df()
 
 
-@query("SELECT * FROM (VALUES ('chain', 'Nation(id, name, region) >> Apply(name) >> Filter() >> CheckIds()'), ('lazy', 'LazyChain(Filter(), Apply(name))'), ('merge', 'Merge(Nation(id, name, region))'), ('group', 'GroupBy(''name'')'), ('digest', 'HashDigest(name, region)')) t(name, text)")
+@query("SELECT * FROM (VALUES ('pair', 'Nation(id, name, region) >> Apply(name)'), ('chain', 'Chain(Nation(id, name, region), Apply(name), Filter(), CheckIds())'), ('lazy', 'LazyChain(Filter(), Apply(name))'), ('merge', 'Merge(Nation(id, name, region))'), ('group', 'GroupBy(''name'')'), ('digest', 'HashDigest(name, region)')) t(name, text)")
 def c7_repr(spark, sf_dir):
     ds = Nation(sf_dir)
-    layers = {"chain": ds >> Apply(name=F.upper) >> Filter(lambda name: name) >> CheckIds(), "lazy": LazyChain(Filter(lambda name: name), Apply(name=F.upper)), "merge": Merge(ds), "group": GroupBy("name"), "digest": HashDigest(["name", "region"])}
+    layers = {"pair": ds >> Apply(name=F.upper), "chain": ds >> Apply(name=F.upper) >> Filter(lambda name: name) >> CheckIds(), "lazy": LazyChain(Filter(lambda name: name), Apply(name=F.upper)), "merge": Merge(ds), "group": GroupBy("name"), "digest": HashDigest(["name", "region"])}
     return spark.createDataFrame([(k, repr(v)) for k, v in layers.items()], "name string, text string")
 
 
