@@ -56,11 +56,15 @@ FILE_ROWS = 20_000
 
 def materialize(spark, df, name, rows=None):
     """df, written to the shared folder and read again: a cut of the lineage that survives lost executors. With rows, a
-    bound of its rows, a small table gets few files."""
-    path = new_dir(spark, name)
+    bound of its rows, a small table gets few files. Columns without a type, which Parquet can't hold, come back as they were."""
+    path, schema = new_dir(spark, name), df.schema
+    void = [f.name for f in schema if f.dataType.typeName() == "void"]
+    if void:
+        df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in void})
     df = df if rows is None else df.coalesce(1 + rows // FILE_ROWS)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.withColumns({c: F.lit(None) for c in void}) if void else out
 
 
 #: Bytes of a table, as Spark estimates them, that are worth a task of their own.

@@ -46,3 +46,12 @@ def test_small_tables_are_spread_over_cores(spark, tmp_path):
     assert df.rdd.getNumPartitions() <= 2 and session.spread(df).rdd.getNumPartitions() == 4
     assert sorted(r.id for r in session.spread(df).select("id").collect()) == list(range(500))
     assert session.spread(spark.range(0)).count() == 0
+
+
+def test_columns_without_a_type(spark):
+    from lamina.llm import pii
+
+    df = spark.createDataFrame([(1, "mail a.b@cd.org"), (2, None)], "doc_id long, text string").selectExpr("NULL AS `a b`", "*", "NULL AS n")
+    assert session.materialize(spark, df, "t").dtypes == df.dtypes
+    out = pii.replace(df)
+    assert out.columns == ["a b", "doc_id", "text", "n", "n_entities"] and out.count() == 2

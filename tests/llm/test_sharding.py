@@ -64,3 +64,8 @@ def test_query_columns_and_odd_rows(spark, tmp_path):
     assert dict(out.dtypes)["slot"] == "bigint" and dict(out.dtypes)["shard"] == "int"
     assert sharding.shuffle(spark.range(0)).count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_columns_without_a_type(spark):
+    out = sharding.shuffle(spark.range(20).selectExpr("id", "NULL AS n"), 3)
+    assert sorted(r.id for r in out.collect()) == list(range(20)) and out.columns == ["id", "n", "shard", "slot"]
