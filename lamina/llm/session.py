@@ -15,8 +15,11 @@ def table(spark, sf_dir, name):
 
 
 def small_batches(spark):
-    """Batches of ARROW_ROWS rows between the JVM and Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Batches of ARROW_ROWS rows at most between the JVM and Python; Spark reads this setting from the session when a frame
+    is executed, so it stays. A smaller value of the user's own is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def shared_dir(spark):
