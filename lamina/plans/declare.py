@@ -1,7 +1,5 @@
 """The language of layers: decorators, annotations and the class machinery."""
 
-import inspect
-
 from .names import FieldError, GraphError, inherited
 from .nodes import Call, code_digest, parameters
 
@@ -341,8 +339,3 @@ class LayerMeta(MixinMeta):
 
 class Mixin(metaclass=MixinMeta, abstract=True):
     """Members for use in several layers: class A(Transform, MyMixin)."""
-
-
-def signature_of(names):
-    """A signature of positional-or-keyword parameters."""
-    return inspect.Signature([inspect.Parameter(n, inspect.Parameter.POSITIONAL_OR_KEYWORD) for n in names])
