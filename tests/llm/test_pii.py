@@ -94,6 +94,16 @@ def test_distinct_and_coreferent_over_a_random_corpus(spark):
     assert not set(seen.values()) & {w[1] for w in seen} and len({f[1] for w, f in seen.items() if w[0] == "person"}) == len({w[2] for w in seen if w[0] == "person"})
 
 
+def test_a_hot_entity_and_copies(spark):
+    """One address in a third of all rows, and one text in another third: each row comes back once, all with one surrogate."""
+    rows = [(k, f"note {k} to a.b@cd.org" if k % 3 == 0 else "write to a.b@cd.org or Mr. Alex Weber" if k % 3 == 1 else f"nothing in {k}") for k in range(600)]
+    out = {r.doc_id: (r.text, r.n_entities) for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == 600 and all(out[k] == (t, 0) for k, t in rows if k % 3 == 2)
+    mail = out[0][0].removeprefix("note 0 to ")
+    assert mail != "a.b@cd.org" and all(out[k] == (f"note {k} to {mail}", 1) for k in range(0, 600, 3))
+    assert len({out[k] for k in range(1, 600, 3)}) == 1 and out[1][0].startswith(f"write to {mail} or Mr. ") and out[1][1] == 2
+
+
 def test_the_secret_is_a_setting(spark):
     df = spark.createDataFrame([(1, "mail a.b@cd.org")], "doc_id long, text string")
     one = pii.replace(df).first().text
