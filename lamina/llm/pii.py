@@ -25,7 +25,7 @@ import secrets
 
 from pyspark.sql import functions as F
 
-from .session import materialize, table
+from .session import materialize, spread, table
 
 ATTEMPTS = 8
 SETTING = "spark.lamina.pii.secret"
@@ -256,7 +256,7 @@ def given_names(pairs):
 
 def replace(df, text="text", secret=None):
     """df with its entities replaced in column `text`, and their number in n_entities (int)."""
-    spark = df.sparkSession
+    spark, df = df.sparkSession, spread(df)
     secret = secret or spark.conf.get(SETTING, None) or _drawn
     names = [c for c in df.columns if c != "n_entities"]
     first = F.regexp_extract_all(F.col(text), F.lit(ENTITY), 0)
