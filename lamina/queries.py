@@ -537,13 +537,18 @@ class Lines(Split):
     __inherit__ = "lang"
 
     def __split__(id, text):
-        return F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.concat_ws("-", id, i).alias("id"), F.struct(x.alias("line"), i.alias("at")).alias("context")))
+        def parts(size):
+            return F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.concat_ws("-", id, i).alias("id"), F.struct(x.alias("line"), i.alias("at"), size.alias("size")).alias("context")))
+
+        return F.transform(F.array(F.length(text)), parts)[0]  # the length is counted once a text, and no line carries its whole text
 
     def line(__part__):
         return __part__["line"]
 
-    def share(__part__, text):
-        return F.round(F.length(__part__["line"]) / F.length(text), 6)
+    def share(__part__):
+        """Rounded as doubles are; of an empty text it is 0 / 0, which is an error in ANSI mode."""
+        share = F.when(__part__["size"] > 0, F.length(__part__["line"]) / __part__["size"]).otherwise(float("nan"))
+        return F.round(share * 1e6) / 1e6
 
 
 @query("""SELECT doc_id || '-' || i AS id, lang, lines[i + 1] AS line, round(length(lines[i + 1]) / length(text), 6) AS share

@@ -39,6 +39,25 @@ def test_query_equals_sql(spark, connection, name):
     assert got == sorted(({c: plain(v) for c, v in r.items()} for r in want), key=key)
 
 
+def test_lines_of_odd_texts(spark, tmp_path):
+    """Empty texts, which have 0 / 0 as their line's share, and shares halfway between two roundings."""
+    texts = ["", None, "\n", "a\r\n\nb", "é\n\U0001f600"] + ["\n".join(("x" * k, "y" * (639 - k))) for k in range(0, 640, 3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = c.execute(f"SELECT id, lang, line, share FROM ({queries.ORACLE_SQL['x1_split']})").fetchall()
+    got = queries.x1_split(spark, str(tmp_path)).select("id", "lang", "line", "share").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
+    assert "('0-0', 'en', '', nan)" in map(repr, want)
+
+
+def test_lines_do_not_carry_their_text(spark):
+    """A row of a line that holds the whole text makes a long text cost its length times its lines."""
+    plan = queries.x1_split(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate ")]
+    assert "raw:text" not in above and "raw:text" in plan
+
+
 def test_entry(spark):
     import __spark_entry__
 
